@@ -32,16 +32,20 @@ def urine_output(outputevents: DataFrame) -> DataFrame:
     )
 
 
-def rolling_urine_output(
-    urine: DataFrame, weights: DataFrame, max_rows: int = pieces.MAX_ROWS, sized_by: DataFrame | None = None
+def rolling_sums(
+    urine: DataFrame, max_rows: int = pieces.MAX_ROWS, sized_by: DataFrame | None = None
 ) -> DataFrame:
-    """Forward 6/12/24 h sums (5, 11 and 23 hours ahead) with the weight in force.
+    """Forward 6/12/24 h urine sums (5, 11 and 23 hours ahead).
 
     ``sized_by`` may be the raw output events, to be counted in place of ``urine``.
     """
-    summed = rolling.forward_rolling_sum(
+    return rolling.forward_rolling_sum(
         urine, ["icustay_id"], "charttime", "value", ROLLING_SPANS, max_rows, sized_by
     )
+
+
+def rolling_urine_output(summed: DataFrame, weights: DataFrame) -> DataFrame:
+    """Rolling sums with the weight in force; overlapping weight intervals repeat a reading."""
     weighed = intervals.attach_interval_value(
         summed, weights, ["icustay_id"], "charttime", "starttime", "endtime", "weight"
     )

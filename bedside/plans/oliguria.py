@@ -65,16 +65,17 @@ def base_cohort(icustay_detail: DataFrame, labevents: DataFrame) -> DataFrame:
     )
 
 
-def oliguria_events(rolling: DataFrame, urine: DataFrame, base: DataFrame, chartevents: DataFrame) -> DataFrame:
+def oliguria_events(summed: DataFrame, urine: DataFrame, base: DataFrame, chartevents: DataFrame) -> DataFrame:
     """First oliguria of each stay with a sign of circulation in the following day.
 
+    Works on the rolling sums before weights are attached: the weight is not used and would only repeat rows.
     The sign is any positive heart rate or systolic reading, so one good reading outweighs a zero (literal).
     Stays with a negative urine volume are left out.
     """
     low = (F.col("urineoutput_24hr") < LOW_24H) | (F.col("urineoutput_12hr") < LOW_12H)
-    first = cohort.first_event(rolling, base, "icustay_id", "charttime", low, "outtime")
+    first = cohort.first_event(summed, base, "icustay_id", "charttime", low, "outtime")
     values = cohort.value_at_event(
-        rolling,
+        summed,
         first,
         "icustay_id",
         "charttime",
@@ -195,8 +196,9 @@ def run_study(
     urine = keep("urineoutput", concepts.urine_output(outputevents))
     echo = concepts.echo_data(noteevents)
     weights = concepts.weight_durations(chartevents, icustays, echo, max_rows=max_rows)
-    rolling = keep("kdigo_uo", concepts.rolling_urine_output(urine, weights, max_rows, sized_by=outputevents))
+    summed = keep("rolling_sums", concepts.rolling_sums(urine, max_rows, sized_by=outputevents))
+    rolling = concepts.rolling_urine_output(summed, weights)
     base = keep("base_cohort", base_cohort(icustay_detail, labevents))
-    events = keep("oliguria", oliguria_events(rolling, urine, base, chartevents))
+    events = keep("oliguria", oliguria_events(summed, urine, base, chartevents))
     study = keep("oliguria_base_cohort", study_cohort(base, events, urine))
     return Study(urine, rolling, events, study, cohort_vitals(study, chartevents), cohort_labs(study, labevents))
