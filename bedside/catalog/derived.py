@@ -30,7 +30,7 @@ class Tables:
         return self["events"]
 
     def readings(self) -> DataFrame:
-        """Events with their property ``k`` and the compressed time ``at``."""
+        """Events with their property ``k`` and the compressed time ``moment``."""
         micros = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', ts)"
         return self["events"].select(
             "event_id",
@@ -39,7 +39,7 @@ class Tables:
             "value",
             F.get_json_object("props", "$.k").cast("int").alias("k"),
             F.expr(f"timestampadd(MICROSECOND, ({micros} div 480000000) * 60000000, timestamp_ntz'2024-01-01')").alias(
-                "at"
+                "moment"
             ),
         )
 
@@ -47,7 +47,7 @@ class Tables:
         return (
             self.readings()
             .groupBy("user_id")
-            .agg(F.min("at").alias("intime"), F.max("at").alias("outtime"))
+            .agg(F.min("moment").alias("intime"), F.max("moment").alias("outtime"))
             .select(
                 (F.col("user_id") + 2000000).alias("subject_id"),
                 (F.col("user_id") + 1000000).alias("hadm_id"),
@@ -91,7 +91,7 @@ class Tables:
             (F.col("user_id") + 2000000).alias("subject_id"),
             F.col("user_id").alias("icustay_id"),
             "itemid",
-            F.col("at").alias("charttime"),
+            F.col("moment").alias("charttime"),
             F.when((F.col("itemid") == 723) & click, "1.0 ET/Trach")
             .when((F.col("itemid") == 223900) & click, "No Response-ETT")
             .when(F.col("itemid").isin(467, 469, 226732) & click, "CPAP Mask")
@@ -110,7 +110,7 @@ class Tables:
             (F.col("user_id") + 2000000).alias("subject_id"),
             (F.col("user_id") + 1000000).alias("hadm_id"),
             _code(codes.LABS).alias("itemid"),
-            F.col("at").alias("charttime"),
+            F.col("moment").alias("charttime"),
             F.col("event_type").alias("value"),
             (F.col("value") / 10 - 0.5).alias("valuenum"),
         )
@@ -126,7 +126,7 @@ class Tables:
             .when(kind == "purchase", 40069)
             .otherwise(220050)
             .alias("itemid"),
-            F.col("at").alias("charttime"),
+            F.col("moment").alias("charttime"),
             (F.col("value") * F.when(F.col("k") > 97, 40).otherwise(2)).alias("value"),
         )
 
@@ -139,7 +139,7 @@ class Tables:
             (F.col("user_id") + 2000000).alias("subject_id"),
             (F.col("user_id") + 1000000).alias("hadm_id"),
             F.col("user_id").alias("icustay_id"),
-            F.col("at").alias("charttime"),
+            F.col("moment").alias("charttime"),
             "itemid",
             F.when(swapped, F.col("k").cast("double")).otherwise(rate).alias("rate"),
             F.when(swapped, rate).otherwise(F.col("k").cast("double")).alias("amount"),
@@ -255,7 +255,7 @@ class Tables:
         """Per-stay summary inputs of the severity score, from the first day's readings."""
         rows = self.readings().withColumnRenamed("user_id", "icustay_id")
         spine = self.icustays().select("icustay_id", "intime")
-        day = rows.join(spine, "icustay_id", "inner").filter(F.col("at") <= F.col("intime") + F.expr("INTERVAL 24 HOURS"))
+        day = rows.join(spine, "icustay_id", "inner").filter(F.col("moment") <= F.col("intime") + F.expr("INTERVAL 24 HOURS"))
         spread = {
             "heartrate": ("click", "value + 40"), "sysbp": ("view", "value * 2"), "resprate": ("error", "value / 2"),
             "tempc": ("purchase", "30 + value / 8"), "vital_glucose": ("signup", "value / 4"),

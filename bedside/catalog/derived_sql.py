@@ -30,11 +30,11 @@ RELATIONS = {
     "readings": """
         SELECT event_id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS INT) AS k,
                TIMESTAMP '2024-01-01' + to_microseconds(
-                   ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 480000000) * 60000000) AS at
+                   ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 480000000) * 60000000) AS moment
         FROM events""",
     "icustays": """
         SELECT user_id + 2000000 AS subject_id, user_id + 1000000 AS hadm_id, user_id AS icustay_id,
-               min(at) AS intime, max(at) AS outtime
+               min(moment) AS intime, max(moment) AS outtime
         FROM readings GROUP BY user_id""",
     "icustay_detail": """
         SELECT i.*, CASE WHEN c_mktsegment < 'F' THEN 'M' ELSE 'F' END AS gender,
@@ -58,20 +58,20 @@ RELATIONS = {
                     ELSE v END AS valuenum,
                CASE WHEN kind = 'purchase' AND k BETWEEN 30 AND 40 THEN 1 WHEN kind = 'view' THEN 0 END AS error
         FROM (SELECT user_id + 2000000 AS subject_id, user_id AS icustay_id, {_code(codes.CHART)} AS itemid,
-                     at AS charttime, event_type AS kind, value AS v, k FROM readings)""",
+                     moment AS charttime, event_type AS kind, value AS v, k FROM readings)""",
     "labevents": f"""
         SELECT user_id + 2000000 AS subject_id, user_id + 1000000 AS hadm_id, {_code(codes.LABS)} AS itemid,
-               at AS charttime, event_type AS value, value / 10 - 0.5 AS valuenum FROM readings""",
+               moment AS charttime, event_type AS value, value / 10 - 0.5 AS valuenum FROM readings""",
     "outputevents": """
         SELECT user_id AS icustay_id,
                CASE event_type WHEN 'signup' THEN CASE WHEN k < 2 THEN 227488 ELSE 227489 END
                    WHEN 'click' THEN 40055 WHEN 'view' THEN 226559 WHEN 'purchase' THEN 40069 ELSE 220050 END AS itemid,
-               at AS charttime, value * CASE WHEN k > 97 THEN 40 ELSE 2 END AS value
+               moment AS charttime, value * CASE WHEN k > 97 THEN 40 ELSE 2 END AS value
         FROM readings""",
     "inputevents_cv": f"""
         SELECT icustay_id, charttime, itemid, CASE WHEN itemid = 42273 THEN k ELSE r END::DOUBLE AS rate,
                CASE WHEN itemid = 42273 THEN r ELSE k END::DOUBLE AS amount, stopped
-        FROM (SELECT user_id AS icustay_id, at AS charttime, {_code(codes.VASOPRESSORS)} AS itemid, k,
+        FROM (SELECT user_id AS icustay_id, moment AS charttime, {_code(codes.VASOPRESSORS)} AS itemid, k,
                      CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN 0 ELSE value END AS r,
                      CASE WHEN event_type = 'error' THEN CASE WHEN k < 50 THEN 'Stopped' ELSE 'D/C''d' END END AS stopped
               FROM readings)""",
@@ -121,7 +121,7 @@ RELATIONS = {
                floor(min(value) FILTER (event_type = 'signup') / 5) + 2 AS mingcs,
                sum(value * 10) FILTER (event_type = 'view') AS urineoutput,
                max(CASE WHEN k > 90 THEN 1 WHEN k > 50 THEN 0 END) AS mechvent
-        FROM readings JOIN icustays ON icustay_id = user_id WHERE at <= intime + 24 * {_HOUR} GROUP BY icustay_id""",
+        FROM readings JOIN icustays ON icustay_id = user_id WHERE moment <= intime + 24 * {_HOUR} GROUP BY icustay_id""",
 }
 
 _NEEDS = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bedside.functions import text
@@ -14,10 +14,14 @@ from bedside.operators.intervals import interval_join
 from bedside.specs import echo as echo_spec
 from bedside.specs import fluids
 
-NOT_ERROR = ~F.expr("error <=> 1")
 ROLLING_SPANS = {"urineoutput_6hr": 5, "urineoutput_12hr": 11, "urineoutput_24hr": 23}
 
 
+def not_error() -> Column:
+    """Rows whose error flag is anything but 1, unknown included."""
+    return ~F.col("error").eqNullSafe(F.lit(1))
+
+
 def urine_output(outputevents: DataFrame) -> DataFrame:
     """Urine volume per stay and time, irrigant counted as negative."""
     present = outputevents.filter(F.col("icustay_id").isNotNull())
@@ -76,7 +80,7 @@ def weight_durations(
             F.col("itemid").isin(*fluids.ADMIT_WEIGHT, *fluids.DAILY_WEIGHT)
             & F.col("valuenum").isNotNull()
             & (F.col("valuenum") != 0)
-            & NOT_ERROR
+            & not_error()
             & F.col("icustay_id").isNotNull()
         )
         .select(
@@ -200,7 +204,7 @@ def height_weight(chartevents: DataFrame) -> DataFrame:
         for value in dict.fromkeys(factors.values())
     ])
     readings = chartevents.filter(
-        F.col("itemid").isin(*factors) & F.col("valuenum").isNotNull() & (F.col("valuenum") != 0) & NOT_ERROR
+        F.col("itemid").isin(*factors) & F.col("valuenum").isNotNull() & (F.col("valuenum") != 0) & not_error()
     ).select(
         "subject_id",
         "icustay_id",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bedside.functions import scores, text
 from bedside.functions.time import age_in_years, order_micros, plus_hours
 from bedside.operators import intervals, runs, pieces
-from bedside.plans.concepts import NOT_ERROR
+from bedside.plans.concepts import not_error
 from bedside.specs import diuretics, fluids
 from bedside.specs.saps import SAPS_RUNGS
 
@@ -135,7 +135,7 @@ def _equivalents() -> Column:
 def mask_ventilation(chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
     """Stays with a CPAP or BiPAP mask recorded on their first day."""
     masks = chartevents.filter(
-        F.col("itemid").isin(*fluids.CPAP_CODES) & F.lower("value").rlike(fluids.CPAP_PATTERN) & NOT_ERROR
+        F.col("itemid").isin(*fluids.CPAP_CODES) & F.lower("value").rlike(fluids.CPAP_PATTERN) & not_error()
     ).select("icustay_id", "charttime")
     days = icustays.select("icustay_id", "intime", plus_hours("intime", 24).alias("dayend"))
     seen = intervals.interval_join(masks, days, ["icustay_id"], "charttime", "intime", "dayend", "inner", closed=True)

@@ -106,7 +106,7 @@ def cohort_vitals(study: DataFrame, chartevents: DataFrame) -> DataFrame:
     """Wide vital signs of the 24 hours from the observation start."""
     return pivots.pivot_measurements(
         study,
-        chartevents.filter(concepts.NOT_ERROR),
+        chartevents.filter(concepts.not_error()),
         measurements.VITALS,
         ["icustay_id"],
         "starttime",
@@ -132,7 +132,7 @@ def old_vitals(study: DataFrame, chartevents: DataFrame) -> DataFrame:
     """Earlier form: vital signs up to the event, so controls give no rows."""
     return pivots.pivot_measurements(
         study,
-        chartevents.filter(concepts.NOT_ERROR),
+        chartevents.filter(concepts.not_error()),
         measurements.VITALS,
         ["icustay_id"],
         "starttime",

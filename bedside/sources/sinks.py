@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bedside.operators import pieces
@@ -48,18 +48,26 @@ def write_features(df: DataFrame, path: str, id_name: str | None = None, order:
 
 
 def with_row_id(
-    df: DataFrame, group: str, key: str, ties: Sequence[str] = (), name: str = "id", max_rows: int = pieces.MAX_ROWS
+    df: DataFrame,
+    group: str,
+    key: str,
+    ties: Sequence[str] = (),
+    name: str = "id",
+    max_rows: int = pieces.MAX_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Ids 0, 1, ... by (group, key, ties): numbered inside each group, then shifted by the smaller groups.
 
-    ``group`` is a column of few values, such as the label; its counts are one row per value.
+    ``group`` is a column of few values, such as the label, so its counts are few rows; a column of many values
+    belongs in ``key``. ``df`` is read twice, so an expensive one is best materialized before.
     """
-    numbered = pieces.add_row_number(df, [group], key, ties, "__n", max_rows)
+    numbered = pieces.add_row_number(df, [group], key, ties, "__n", max_rows, sized_by)
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    shift = pieces.add_running_sums(counts, [], group, {"__upto": "__size"}, max_rows)
+    earlier = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(group, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__shift"))
     return (
         numbered.join(F.broadcast(shift), group, "inner")
-        .withColumn(name, F.col("__n") - 1 + F.col("__upto") - F.col("__size"))
+        .withColumn(name, F.col("__n") - 1 + F.col("__shift"))
         .select(name, *df.columns)
     )
 
