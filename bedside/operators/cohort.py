@@ -43,16 +43,26 @@ def eligible_by_measure(
 
 
 def first_event(
-    readings: DataFrame, spine: DataFrame, stay: str, time: str, low: Column, end: str, days_before_end: float = 1.0
+    readings: DataFrame,
+    spine: DataFrame,
+    stay: str,
+    time: str,
+    low: Column,
+    end: str,
+    days_before_end: float = 1.0,
+    values: Sequence[str] = (),
 ) -> DataFrame:
     """Earliest reading per stay that satisfies ``low`` and lies ``days_before_end`` or more before the end.
 
     Later readings are only nearer to the end, so the stay's minimum decides; it is combined on the map side
-    and one row per stay reaches the join.
+    and one row per stay reaches the join. ``values`` of that reading come along in the same aggregation,
+    which spares joining back to the readings; (stay, time) is unique then.
     """
-    earliest = readings.filter(low).groupBy(stay).agg(F.min(time).alias(time))
+    earliest = readings.filter(low).groupBy(stay).agg(F.min(F.struct(time, *values)).alias("__first"))
+    earliest = earliest.select(stay, "__first.*")
     late_enough = F.round(elapsed_days(time, end), 4) >= days_before_end
-    return earliest.join(spine.select(stay, end), stay, "inner").filter(late_enough).select(stay, time)
+    kept = earliest.join(spine.select(stay, end), stay, "inner").filter(late_enough)
+    return kept.select(stay, time, *values)
 
 
 def value_at_event(readings: DataFrame, first: DataFrame, stay: str, time: str, columns: Sequence[Column | str]) -> DataFrame:
@@ -65,14 +75,13 @@ def evidence_gate(
 ) -> DataFrame:
     """Index events with at least one evidence row in [event, event + hours_after].
 
-    ``evidence`` is already filtered to what counts. The matches are reduced to distinct stays before they
-    meet the events again.
+    ``evidence`` is already filtered to what counts. The events' own columns ride through the join and are
+    made distinct on the map side, so neither side is read twice.
     """
-    windows = first.select(stay, F.col(event_time).alias("__from"), plus_hours(event_time, hours_after).alias("__to"))
-    windows = windows.distinct()
-    seen = interval_join(evidence.select(stay, time), windows, [stay], time, "__from", "__to", "inner", closed=True)
-    seen = seen.select(stay, F.col("__from").alias(event_time)).distinct()
-    return first.join(seen, [stay, event_time], "left_semi").distinct()
+    windows = first.withColumn("__from", F.col(event_time)).withColumn("__to", plus_hours(event_time, hours_after))
+    marks = evidence.select(stay, F.col(time).alias("__seen"))
+    seen = interval_join(marks, windows, [stay], "__seen", "__from", "__to", "inner", closed=True)
+    return seen.select(*first.columns).distinct()
 
 
 def hours_to_event(start: str, event: str) -> Column:

@@ -12,13 +12,18 @@ from bedside.operators import pieces
 
 def _by_score(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score: ties collapse before anything is ordered."""
-    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    positive = F.when(F.col(label) == 1, 1).otherwise(0)
-    return known.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+    positive = F.when(F.col("label") == 1, 1).otherwise(0)
+    return _known(df, score, label, by).groupBy(*by, "score").agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
     )
 
 
+def _known(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
+    """Rows with both score and label, under fixed names; their number bounds that of the distinct scores."""
+    rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
+    return rows.dropna(subset=["score", "label"])
+
+
 def auc(
     df: DataFrame, score: str, label: str, by: Sequence[str] = (), max_rows: int = pieces.MAX_ROWS
 ) -> DataFrame:
@@ -27,7 +32,9 @@ def auc(
     Per distinct score the negatives below it are a running sum, built piece by piece, so the global order
     never passes through one task. Null when a class is missing.
     """
-    counted = pieces.add_running_sums(_by_score(df, score, label, by), by, "score", {"neg_upto": "neg"}, max_rows)
+    counted = pieces.add_running_sums(
+        _by_score(df, score, label, by), by, "score", {"neg_upto": "neg"}, max_rows, _known(df, score, label, by)
+    )
     won = F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") * F.lit(0.5))
     totals = counted.groupBy(*by).agg(
         F.sum(won).alias("won"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n")
@@ -50,12 +57,13 @@ def roc_points(
     """
     by = list(by)
     counted = _by_score(df, score, label, by).withColumn("__desc", -F.col("score"))
+    sized = _known(df, score, label, by).withColumn("__desc", -F.col("score"))
     totals = counted.groupBy(*by).agg(
         F.sum("pos").alias("__p"), F.sum("neg").alias("__n"), F.max("score").alias("__top")
     )
-    points = pieces.add_running_sums(counted, by, "__desc", {"tps": "pos", "fps": "neg"}, max_rows)
+    points = pieces.add_running_sums(counted, by, "__desc", {"tps": "pos", "fps": "neg"}, max_rows, sized)
     if drop_intermediate:
-        points = pieces.add_next(points, by, "__desc", {"__np": "pos", "__nn": "neg"}, max_rows=max_rows)
+        points = pieces.add_next(points, by, "__desc", {"__np": "pos", "__nn": "neg"}, (), max_rows, sized)
         turns = (F.col("pos") != F.col("__np")) | (F.col("neg") != F.col("__nn")) | F.col("__np").isNull()
         points = _join_totals(points, totals, by).filter(turns | (F.col("score") == F.col("__top")))
     else:

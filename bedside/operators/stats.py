@@ -23,7 +23,25 @@ def exact_quantiles(
     """
     long = _unpivoted(df, columns)
     cut = pieces.cut_rows(long, ["variable"], "v", max_rows)
-    rows = cut.rows if cut.cut else long.withColumn(PIECE, F.lit(None).cast("long"))
+    counted = _ranked_in_pieces(cut.rows, quantiles) if cut.cut else _ranked(long)
+    found = []
+    for i, q in enumerate(quantiles):
+        low, high = _ranks(q, F.col("total"))
+        found.append(F.min(F.when(F.col("upto") > low, F.col("v"))).alias(f"lo{i}"))
+        found.append(F.min(F.when(F.col("upto") > high, F.col("v"))).alias(f"hi{i}"))
+    ends = counted.groupBy("variable").agg(F.first("total").alias("total"), *found)
+    return ends.select("variable", *[_interpolate(i, q).alias(quantile_name(q)) for i, q in enumerate(quantiles)])
+
+
+def _ranked(long: DataFrame) -> DataFrame:
+    """Distinct values with the count up to each and in all, for columns that fit a task each."""
+    counted = long.groupBy("variable", "v").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("variable")
+    return counted.withColumns({"upto": F.sum("n").over(whole.orderBy("v")), "total": F.sum("n").over(whole)})
+
+
+def _ranked_in_pieces(rows: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """The same for the values of those pieces only that hold a wanted rank."""
     by_piece = Window.partitionBy("variable").orderBy(PIECE)
     sizes = (
         rows.groupBy("variable", PIECE)
@@ -42,19 +60,12 @@ def exact_quantiles(
     )
     match = (F.col("variable") == F.col("__v")) & F.col(PIECE).eqNullSafe(F.col("__p"))
     in_piece = pieces.upto(Window.partitionBy("variable", PIECE).orderBy("v"))
-    counted = (
+    return (
         rows.join(F.broadcast(needed), match, "inner")
         .groupBy("variable", PIECE, "v", "skipped", "total")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.col("skipped") + F.sum("n").over(in_piece))
     )
-    found = []
-    for i, q in enumerate(quantiles):
-        low, high = _ranks(q, F.col("total"))
-        found.append(F.min(F.when(F.col("upto") > low, F.col("v"))).alias(f"lo{i}"))
-        found.append(F.min(F.when(F.col("upto") > high, F.col("v"))).alias(f"hi{i}"))
-    ends = counted.groupBy("variable").agg(F.first("total").alias("total"), *found)
-    return ends.select("variable", *[_interpolate(i, q).alias(quantile_name(q)) for i, q in enumerate(quantiles)])
 
 
 def quantile_name(q: float) -> str:

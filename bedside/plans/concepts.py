@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bedside.functions import text
@@ -73,59 +74,83 @@ def weight_durations(
     play. ``use_admit_weight`` keeps it, valid from two hours before admission; ``echo_fallback`` uses echo
     weights for stays without a charted one.
     """
-    slack = fluids.INTERVAL_SLACK_HOURS
-    stays = icustays.select("icustay_id", "hadm_id", "intime", "outtime").filter(F.col("icustay_id").isNotNull())
-    charted = (
-        chartevents.filter(
-            F.col("itemid").isin(*fluids.ADMIT_WEIGHT, *fluids.DAILY_WEIGHT)
-            & F.col("valuenum").isNotNull()
-            & (F.col("valuenum") != 0)
-            & not_error()
-            & F.col("icustay_id").isNotNull()
-        )
-        .select(
-            "icustay_id",
-            "charttime",
-            F.col("itemid").isin(*fluids.ADMIT_WEIGHT).alias("admit"),
-            F.col("valuenum").alias("weight"),
-        )
-    )
-    numbered = pieces.add_row_number(
-        charted, ["icustay_id", "admit"], order_micros("charttime"), ["weight"], "rn", max_rows
-    )
-    first_admit = F.col("admit") & (F.col("rn") == 1)
-    placed = numbered.join(stays.drop("hadm_id"), "icustay_id", "inner")
-    if use_admit_weight:
-        at = F.when(first_admit, plus_hours("intime", -slack)).otherwise(F.col("charttime"))
-        placed = placed.withColumn("charttime", at)
-    else:
-        placed = placed.filter(~first_admit)
-    placed = placed.withColumn("until", plus_hours("outtime", slack))
-    held = intervals.lead_intervals(placed, ["icustay_id"], "charttime", "weight", "until", max_rows, charted)
-
-    # weights at the very first time of a stay, all of them on a tie, reach back to before admission
-    first_time = held.groupBy("icustay_id").agg(F.min("starttime").alias("starttime"))
-    first_held = held.join(first_time, ["icustay_id", "starttime"], "inner")
-    back = first_held.join(stays, "icustay_id", "inner").filter(F.col("intime") < F.col("starttime"))
-    back = back.select(
-        "icustay_id",
-        plus_hours("intime", -slack).alias("starttime"),
-        F.col("starttime").alias("endtime"),
-        "weight",
+    slack, key = fluids.INTERVAL_SLACK_HOURS, "icustay_id"
+    stays = icustays.select(key, "hadm_id", "intime", "outtime").filter(F.col(key).isNotNull())
+    charted = chartevents.filter(
+        F.col("itemid").isin(*fluids.ADMIT_WEIGHT, *fluids.DAILY_WEIGHT)
+        & F.col("valuenum").isNotNull()
+        & (F.col("valuenum") != 0)
+        & not_error()
+        & F.col(key).isNotNull()
+    ).select(
+        key,
+        "charttime",
+        F.col("itemid").isin(*fluids.ADMIT_WEIGHT).cast("int").alias("admit"),
+        F.col("valuenum").alias("weight"),
     )
-    unweighed = stays.join(held.select("icustay_id").distinct(), "icustay_id", "left_anti").select(
-        "icustay_id",
+    held = _charted_intervals(charted, stays, slack, use_admit_weight, max_rows)
+
+    # a stay has charted weights unless the left-out first admission weight was the only one
+    counts = charted.groupBy(key).agg(F.sum("admit").alias("admits"), F.count(F.lit(1)).alias("all"))
+    spared = F.lit(0) if use_admit_weight else F.least("admits", F.lit(1))
+    weighed = counts.filter(F.col("all") > spared).select(key)
+    unweighed = stays.join(weighed, key, "left_anti").select(
+        key,
         F.lit(None).cast("timestamp_ntz").alias("starttime"),
         F.lit(None).cast("timestamp_ntz").alias("endtime"),
         F.lit(None).cast("double").alias("weight"),
     )
-    out = held.unionByName(back).unionByName(unweighed)
+    out = held.unionByName(unweighed)
     if echo_fallback:
-        from_echo = _echo_intervals(echo, stays, slack, max_rows)
-        out = out.unionByName(from_echo.join(held.select("icustay_id").distinct(), "icustay_id", "left_anti"))
+        out = out.unionByName(_echo_intervals(echo, stays, slack, max_rows).join(weighed, key, "left_anti"))
     return out.distinct()
 
 
+def _charted_intervals(
+    charted: DataFrame, stays: DataFrame, slack: int, use_admit_weight: bool, max_rows: int
+) -> DataFrame:
+    """Charted weights as intervals in one partitioning by stay: admission weight, next time and back-fill."""
+    key = ["icustay_id"]
+    placed = charted.join(stays.drop("hadm_id"), key, "inner").withColumn("__t", order_micros("charttime"))
+    sized = charted.withColumn("__t", order_micros("charttime"))
+    cut = pieces.cut_rows(placed, key, "__t", max_rows, sized_by=sized)
+    cut = cut.carry({"__a": F.sum("admit")}, lambda p: {"__admits": F.sum("__a").over(pieces.before(p))})
+    admits = F.sum("admit").over(pieces.upto(cut.window("__t", "weight"))) + F.coalesce("__admits", F.lit(0))
+    # among equal rows ROWS order is arbitrary, and so is which of them is left out
+    cut = cut.with_column("__is_first", (F.col("admit") == 1) & (admits == 1))
+    if use_admit_weight:
+        before = plus_hours("intime", -slack)
+        moved = F.when(F.col("__is_first"), before).otherwise(F.col("charttime"))
+        # a moved row may leave its piece, so the order is cut anew
+        rows = cut.result().withColumn("charttime", moved).withColumn("__t", order_micros("charttime"))
+        cut = pieces.cut_rows(rows, key, "__t", max_rows)
+    else:
+        cut = replace(cut, rows=cut.rows.filter(~F.col("__is_first")))
+    entry = F.struct("__t", "weight", "charttime")
+    cut = cut.carry(
+        {"__e": F.min(entry)},
+        lambda p: {
+            "__edge": F.lead("__e").over(p),
+            "__earliest": F.min("__e").over(Window.partitionBy(*key)),
+        },
+        spread=use_admit_weight,
+    )
+    following = F.lead("charttime").over(cut.window("__t", "weight"))
+    edge = F.col("__edge.charttime") if cut.cut else F.lit(None).cast("timestamp_ntz")
+    earliest = F.min("charttime").over(Window.partitionBy(*cut.by))
+    if cut.cut:
+        earliest = F.coalesce(F.col("__earliest.charttime"), earliest)
+    until = F.coalesce(following, edge, plus_hours("outtime", slack))
+    cut = cut.with_column("__until", until).with_column("__earliest_time", earliest)
+    own = F.struct(F.col("charttime").alias("starttime"), F.col("__until").alias("endtime"))
+    back = F.struct(plus_hours("intime", -slack).alias("starttime"), F.col("charttime").alias("endtime"))
+    at_start = (F.col("charttime") == F.col("__earliest_time")) & (F.col("intime") < F.col("charttime"))
+    spans = F.when(at_start, F.array(own, back)).otherwise(F.array(own))
+    return cut.rows.select(*key, "weight", F.explode(spans).alias("s")).select(
+        *key, "s.starttime", "s.endtime", "weight"
+    )
+
+
 def _echo_intervals(echo: DataFrame, stays: DataFrame, slack: int, max_rows: int) -> DataFrame:
     """Echo weights as intervals, the first one reaching back to before admission."""
     readings = (

@@ -65,40 +65,39 @@ def base_cohort(icustay_detail: DataFrame, labevents: DataFrame) -> DataFrame:
     )
 
 
-def oliguria_events(summed: DataFrame, urine: DataFrame, base: DataFrame, chartevents: DataFrame) -> DataFrame:
-    """First oliguria of each stay with a sign of circulation in the following day.
+def clean_base(base: DataFrame, urine: DataFrame) -> DataFrame:
+    """Stays of the base cohort without a negative urine volume.
+
+    Events and controls both leave such stays out; doing it once here gives the same rows as doing it in each.
+    """
+    return cohort.exclude_if_exists(base, urine.filter(F.col("value") < 0), ["icustay_id"])
+
+
+def oliguria_events(summed: DataFrame, clean: DataFrame, chartevents: DataFrame) -> DataFrame:
+    """First oliguria of each clean stay with a sign of circulation in the following day.
 
     Works on the rolling sums before weights are attached: the weight is not used and would only repeat rows.
     The sign is any positive heart rate or systolic reading, so one good reading outweighs a zero (literal).
-    Stays with a negative urine volume are left out.
     """
     low = (F.col("urineoutput_24hr") < LOW_24H) | (F.col("urineoutput_12hr") < LOW_12H)
-    first = cohort.first_event(summed, base, "icustay_id", "charttime", low, "outtime")
-    values = cohort.value_at_event(
-        summed,
-        first,
-        "icustay_id",
-        "charttime",
-        ["urineoutput_24hr", (F.col("urineoutput_12hr") / 12).alias("urineoutput_h")],
-    )
-    placed = values.join(base.select("icustay_id", "intime"), "icustay_id", "inner").select(
+    sums = ["urineoutput_24hr", "urineoutput_12hr"]
+    first = cohort.first_event(summed, clean, "icustay_id", "charttime", low, "outtime", values=sums)
+    placed = first.join(clean.select("icustay_id", "intime"), "icustay_id", "inner").select(
         "icustay_id",
         "intime",
         F.col("charttime").alias("og_starttime"),
         cohort.hours_to_event("intime", "charttime").alias("los_og"),
         "urineoutput_24hr",
-        "urineoutput_h",
+        (F.col("urineoutput_12hr") / 12).alias("urineoutput_h"),
     )
     signs = chartevents.filter(
         F.col("itemid").isin(*measurements.HEART_RATE, *measurements.SYSTOLIC_EVIDENCE) & (F.col("valuenum") > 0)
     )
-    gated = cohort.evidence_gate(placed, signs, "icustay_id", "og_starttime", "charttime")
-    return cohort.exclude_if_exists(gated, urine.filter(F.col("value") < 0), ["icustay_id"])
+    return cohort.evidence_gate(placed, signs, "icustay_id", "og_starttime", "charttime")
 
 
-def study_cohort(base: DataFrame, events: DataFrame, urine: DataFrame) -> DataFrame:
+def study_cohort(clean: DataFrame, events: DataFrame) -> DataFrame:
     """Cases and controls with their observation start."""
-    clean = cohort.exclude_if_exists(base, urine.filter(F.col("value") < 0), ["icustay_id"])
     return cohort.label_and_window(clean, events, "icustay_id", "intime", "og_starttime", "los_og")
 
 
@@ -189,16 +188,16 @@ def run_study(
 ) -> Study:
     """The whole chain from raw relations.
 
-    ``keep(name, frame)`` is called for the relations that several later steps read; pass
-    ``lambda name, df: materialize(df, f"{folder}/{name}")`` on a cluster so they are computed once and cut
-    the lineage.
+    ``keep(name, frame)`` is called for the relations that several later steps read: urine totals and three
+    relations of one row per stay. Pass ``lambda name, df: materialize(df, f"{folder}/{name}")`` so they are
+    computed once and the lineage ends there.
     """
     urine = keep("urineoutput", concepts.urine_output(outputevents))
     echo = concepts.echo_data(noteevents)
     weights = concepts.weight_durations(chartevents, icustays, echo, max_rows=max_rows)
-    summed = keep("rolling_sums", concepts.rolling_sums(urine, max_rows, sized_by=outputevents))
+    summed = concepts.rolling_sums(urine, max_rows, sized_by=outputevents)
+    clean = keep("base_cohort", clean_base(base_cohort(icustay_detail, labevents), urine))
+    events = keep("oliguria", oliguria_events(summed, clean, chartevents))
+    study = keep("oliguria_base_cohort", study_cohort(clean, events))
     rolling = concepts.rolling_urine_output(summed, weights)
-    base = keep("base_cohort", base_cohort(icustay_detail, labevents))
-    events = keep("oliguria", oliguria_events(summed, urine, base, chartevents))
-    study = keep("oliguria_base_cohort", study_cohort(base, events, urine))
     return Study(urine, rolling, events, study, cohort_vitals(study, chartevents), cohort_labs(study, labevents))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +29,12 @@ def materialize_table(df: DataFrame, name: str, bucket_by: Sequence[str] = (), b
     return df.sparkSession.table(name)
 
 
+def keep_in(folder: str):
+    """A ``keep(name, frame)`` that materializes under a fresh subfolder of ``folder``."""
+    run = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return lambda name, df: materialize(df, f"{run}/{name}")
+
+
 def shared_folder(spark: SparkSession, default: str | None = None) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
