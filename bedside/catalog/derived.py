@@ -50,7 +50,7 @@ class Tables:
             "user_id",
             "event_type",
             "value",
-            F.get_json_object("props", "$.k").cast("int").alias("k"),
+            F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int").alias("k"),
             F.expr(f"timestampadd(MICROSECOND, ({micros} div 480000000) * 60000000, timestamp_ntz'2024-01-01')").alias(
                 "moment"
             ),

@@ -100,7 +100,7 @@ def merge_intervals(
     before they start are dropped (deviation: the self join would chain them to later intervals). ``sized_by``
     may name the raw rows (keys, start) behind ``df``, to be counted in its place.
     """
-    raw = df.dropna(subset=list(keys)).filter(F.col(end) >= F.col(start))
+    raw = df.filter(pieces.present(*keys) & (F.col(end) >= F.col(start)))
     raw = raw.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"))
     longest = raw.groupBy(*keys, "__s").agg(F.max("__e").alias("__e"))
     sized = raw if sized_by is None else sized_by.select(*keys, F.col(start).alias("__s"))

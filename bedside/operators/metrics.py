@@ -21,7 +21,7 @@ def _by_score(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataF
 def _known(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
     """Rows with both score and label, under fixed names; their number bounds that of the distinct scores."""
     rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
-    return rows.dropna(subset=["score", "label"])
+    return rows.filter(pieces.present("score", "label"))
 
 
 def auc(

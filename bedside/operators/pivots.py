@@ -27,18 +27,18 @@ class Measure:
     convert: str | None = None
     text: bool = False
 
-    def value(self, code: str, number: str, text: str) -> Column:
-        held = F.col(code).isin(*self.codes)
-        if self.above is not None:
-            held = held & (F.col(number) > self.above)
-        if self.below is not None:
-            held = held & (F.col(number) < self.below)
-        if self.at_most is not None:
-            held = held & (F.col(number) <= self.at_most)
-        taken = F.col(text if self.text else number)
-        if self.convert is not None:
-            taken = F.expr(self.convert.replace("value", f"`{number}`"))
-        return F.when(held, taken)
+    def when(self, code: str, number: str, text: str) -> str:
+        """The measure as one WHEN arm."""
+        held = [f"`{code}` IN ({', '.join(map(_literal, self.codes))})"]
+        for sign, bound in ((">", self.above), ("<", self.below), ("<=", self.at_most)):
+            if bound is not None:
+                held.append(f"`{number}` {sign} {float(bound)}D")
+        taken = f"`{text}`" if self.text else (self.convert or "value").replace("value", f"`{number}`")
+        return f"WHEN {' AND '.join(held)} THEN {taken}"
+
+
+def _literal(code) -> str:
+    return "'" + code.replace("'", "\\'") + "'" if isinstance(code, str) else str(code)
 
 
 Spec = dict[str, tuple[Measure, ...]]
@@ -51,7 +51,7 @@ def spec_codes(spec: Spec) -> list:
 def pivot_columns(spec: Spec, code: str, number: str, text: str = "value") -> list[Column]:
     """``max`` per wide column over the rows whose code and value fit one of its measures."""
     return [
-        F.max(F.coalesce(*[m.value(code, number, text) for m in measures])).alias(name)
+        F.expr(f"max(CASE {' '.join(m.when(code, number, text) for m in measures)} END)").alias(name)
         for name, measures in spec.items()
     ]
 

@@ -59,4 +59,4 @@ def previous_reading(
 
 def _placed(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Rows with a known entity and their place in time."""
-    return df.dropna(subset=list(keys)).withColumn("__t", order_micros(time))
+    return df.filter(pieces.present(*keys)).withColumn("__t", order_micros(time))

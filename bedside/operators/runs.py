@@ -26,7 +26,7 @@ def dose_runs(
     after a zero rate, or after a disconnect; it ends at the first disconnect, zero rate or last reading that
     carries its number. Runs without a positive rate or without length are dropped.
     """
-    raw = df.dropna(subset=list(keys))
+    raw = df.filter(pieces.present(*keys))
     readings = (
         raw.groupBy(*keys, F.col(time).alias("__at"))
         .agg(F.max(rate).alias("__rate"), F.max(stopped).alias("__stopped"))
