@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from bedside.functions.time import parse_timestamp
+from bedside.sources.schemas import column_names
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet scan; with a schema only its columns are read."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
@@ -20,7 +20,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
-    schema: StructType,
+    schema: str,
     timestamps: Sequence[str] = (),
     header: bool = True,
 ) -> DataFrame:
@@ -33,13 +33,13 @@ def read_csv(
     return raw.withColumns({c: parse_timestamp(c) for c in timestamps})
 
 
-def read_wide_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_wide_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Wide measurement file: parses every declared time column present."""
-    times = [c for c in ("intime", "outtime", "og_starttime", "starttime", "endtime", "charttime") if c in schema.names]
+    times = [c for c in ("intime", "outtime", "og_starttime", "starttime", "endtime", "charttime") if c in column_names(schema)]
     return read_csv(spark, path, schema, times)
 
 
-def read_importance(spark: SparkSession, paths: str | list[str], schema: StructType, header: bool = True) -> DataFrame:
+def read_importance(spark: SparkSession, paths: str | list[str], schema: str, header: bool = True) -> DataFrame:
     """Feature-importance files, whose header leaves the first column unnamed; adds the file as ``source``."""
     raw = spark.read.csv(paths, schema=schema, header=header, mode="FAILFAST", enforceSchema=True)
     return raw.withColumn("source", F.input_file_name())

@@ -1,57 +1,50 @@
-"""Explicit schemas of the input relations and of the file fixtures."""
+"""Explicit schemas, as DDL, of the input relations and of the file fixtures."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 from bedside.specs.measurements import LAB_CODES, VITALS
 
-
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
 _IDS = "subject_id bigint, hadm_id bigint, icustay_id bigint"
 
-TABLES: dict[str, StructType] = {
-    "icustay_detail": _schema(
+TABLES: dict[str, str] = {
+    "icustay_detail": (
         f"{_IDS}, gender string, age double, hospital_expire_flag int, intime timestamp_ntz, outtime timestamp_ntz, "
         "los_icu double, first_hosp_stay string, first_icu_stay string"
     ),
-    "icustays": _schema(f"{_IDS}, intime timestamp_ntz, outtime timestamp_ntz"),
-    "admissions": _schema("hadm_id bigint"),
-    "patients": _schema("subject_id bigint, dob timestamp_ntz"),
-    "chartevents": _schema(
+    "icustays": f"{_IDS}, intime timestamp_ntz, outtime timestamp_ntz",
+    "admissions": "hadm_id bigint",
+    "patients": "subject_id bigint, dob timestamp_ntz",
+    "chartevents": (
         "subject_id bigint, icustay_id bigint, itemid int, charttime timestamp_ntz, value string, valuenum double, error int"
     ),
-    "labevents": _schema(
+    "labevents": (
         "subject_id bigint, hadm_id bigint, itemid int, charttime timestamp_ntz, value string, valuenum double"
     ),
-    "outputevents": _schema("icustay_id bigint, itemid int, charttime timestamp_ntz, value double"),
-    "inputevents_cv": _schema(
+    "outputevents": "icustay_id bigint, itemid int, charttime timestamp_ntz, value double",
+    "inputevents_cv": (
         f"{_IDS}, charttime timestamp_ntz, itemid int, rate double, amount double, amountuom string, stopped string"
     ),
-    "inputevents_mv": _schema(
+    "inputevents_mv": (
         f"{_IDS}, linkorderid bigint, itemid int, starttime timestamp_ntz, endtime timestamp_ntz, amount double, "
         "amountuom string, statusdescription string"
     ),
-    "prescriptions": _schema(
+    "prescriptions": (
         "subject_id bigint, hadm_id bigint, drug string, startdate timestamp_ntz, dose_val_rx string, "
         "dose_unit_rx string, route string"
     ),
-    "noteevents": _schema(
+    "noteevents": (
         "row_id bigint, subject_id bigint, hadm_id bigint, chartdate date, category string, text string"
     ),
-    "gcsfirstday": _schema("icustay_id bigint, mingcs double"),
-    "vitalsfirstday": _schema(
+    "gcsfirstday": "icustay_id bigint, mingcs double",
+    "vitalsfirstday": (
         "icustay_id bigint, "
         + ", ".join(
             f"{v}_{a} double" for v in ("heartrate", "sysbp", "resprate", "tempc", "glucose") for a in ("min", "max")
         )
     ),
-    "uofirstday": _schema("icustay_id bigint, urineoutput double"),
-    "ventfirstday": _schema("icustay_id bigint, mechvent int"),
-    "labsfirstday": _schema(
+    "uofirstday": "icustay_id bigint, urineoutput double",
+    "ventfirstday": "icustay_id bigint, mechvent int",
+    "labsfirstday": (
         "icustay_id bigint, "
         + ", ".join(
             f"{v}_{a} double"
@@ -66,17 +59,21 @@ _WIDE_HEAD = (
     f"{_IDS}, og_label int, intime string, og_starttime string, charttime string, charttime_h double, "
 )
 _EPISODE_TAIL = "starttime string, endtime string, duration_hours double"
-FILES: dict[str, StructType] = {
-    "wide_vitals": _schema(_WIDE_HEAD + ", ".join(f"{v} double" for v in VITALS)),
-    "wide_labs": _schema(_WIDE_HEAD + ", ".join(f"{v} double" for v in LAB_CODES)),
-    "vasopressor_episodes": _schema(
+FILES: dict[str, str] = {
+    "wide_vitals": (_WIDE_HEAD + ", ".join(f"{v} double" for v in VITALS)),
+    "wide_labs": (_WIDE_HEAD + ", ".join(f"{v} double" for v in LAB_CODES)),
+    "vasopressor_episodes": (
         f"icustay_id bigint, vasonum int, {_EPISODE_TAIL}, starttime_h double, endtime_h double"
     ),
-    "vasopressor_episodes_short": _schema(f"icustay_id bigint, vasonum int, {_EPISODE_TAIL}"),
-    "ventilation_episodes": _schema(
+    "vasopressor_episodes_short": f"icustay_id bigint, vasonum int, {_EPISODE_TAIL}",
+    "ventilation_episodes": (
         f"icustay_id bigint, ventnum int, {_EPISODE_TAIL}, starttime_h double, endtime_h double"
     ),
-    "ventilation_episodes_short": _schema(f"icustay_id bigint, ventnum int, {_EPISODE_TAIL}"),
-    "importance": _schema("position int, feature string, gain double, split bigint"),
-    "importance_oldest": _schema("position int, split bigint"),
+    "ventilation_episodes_short": f"icustay_id bigint, ventnum int, {_EPISODE_TAIL}",
+    "importance": "position int, feature string, gain double, split bigint",
+    "importance_oldest": "position int, split bigint",
 }
+
+
+def column_names(ddl: str) -> list[str]:
+    return [column.split()[0] for column in ddl.split(",")]
