@@ -120,40 +120,7 @@ def cut_rows(
     return Pieces(out, keys, True)
 
 
-def cut_rows_with_reach(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    reach: int,
-    max_rows: int = MAX_ROWS,
-    sized_by: DataFrame | None = None,
-    own: str = "__own",
-) -> Pieces:
-    """Cut heavy keys so that a frame ``[x, x + reach]`` never leaves the piece of its row.
-
-    A piece is at least ``reach`` wide, and a row is copied into the previous piece if that piece looks ahead
-    to it: at most one copy. Results are to be kept for rows marked ``own`` only.
-    """
-    keys = tuple(keys)
-    heavy = _heavy(df if sized_by is None else sized_by, keys, F.col(order), max_rows, float(reach))
-    if heavy.isEmpty():
-        return Pieces(df.withColumn(own, F.lit(True)), keys, False)
-    first = _piece(F.col(order) - F.lit(reach))
-    alone = F.array(F.lit(None).cast("long"))
-    reached = F.when(F.col("__home").isNotNull(), F.sequence(first, "__home")).otherwise(alone)
-    rows = (
-        _lookup(df, heavy, keys)
-        .withColumn("__home", _piece(F.col(order)))
-        .withColumn(PIECE, F.explode(reached))
-        .withColumn(own, F.col(PIECE).eqNullSafe(F.col("__home")))
-        .drop("__home", *_CUT)
-    )
-    return Pieces(rows.repartition(*keys, PIECE), keys, True)
-
-
-def _heavy(
-    df: DataFrame, keys: Sequence[str], order: Column, max_rows: int, min_width: float = 0.0
-) -> DataFrame:
+def _heavy(df: DataFrame, keys: Sequence[str], order: Column, max_rows: int) -> DataFrame:
     """Start, piece width and piece count of every key with more than ``max_rows`` rows."""
     n, lo, hi = F.col("__n"), F.col("__lo"), F.col("__hi")
     pieces = F.ceil(n / F.lit(max_rows))
@@ -165,7 +132,7 @@ def _heavy(
         .select(
             *keys,
             "__lo",
-            F.greatest((hi - lo) / pieces, F.lit(min_width)).alias("__width"),
+            ((hi - lo) / pieces).alias("__width"),
             pieces.cast("long").alias("__pieces"),
         )
     )

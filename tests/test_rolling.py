@@ -44,6 +44,25 @@ def test_against_scan(frame, max_rows):
         assert {(r["k"], r["t"]): r[name] for r in out.collect()} == expected
 
 
+def test_crowded_frames_are_swept(frame, monkeypatch):
+    """Many readings per frame, unknown values, fractions and a second, quiet key."""
+    monkeypatch.setattr(rolling, "MAX_FRAME_ROWS", 10)
+    rng = random.Random(9)
+    data = [(1, datetime(2024, 1, 1) + timedelta(seconds=s), rng.choice([None, None, round(rng.random() * 5000, 3)]))
+            for s in sorted(rng.sample(range(200_000), 300))]
+    data += [(2, datetime(2024, 1, 1), None), (2, datetime(2024, 1, 5), 0.5)]
+    out = rolling.forward_rolling_sum(frame(DDL, data), ["k"], "t", "v", {"s1": 1, "s3": 3}, max_rows=100)
+    assert out.columns == ["k", "t", "v", "s1", "s3"]
+    found = {(r["k"], r["t"]): r for r in out.collect()}
+    assert len(found) == len(data)
+    for k, t, v in data:
+        for name, hours in (("s1", 1), ("s3", 3)):
+            held = [w for j, u, w in data if j == k and t <= u <= t + timedelta(hours=hours) and w is not None]
+            got = found[k, t][name]
+            assert (got is None) == (not held) and found[k, t]["v"] == v
+            assert got is None or abs(got - sum(held)) < 1e-8
+
+
 def test_daylight_saving_zone_does_not_matter(spark, frame, rows):
     df = frame(DDL, [(1, "2024-03-10 00:30:00", 1.0), (1, "2024-03-10 05:30:00", 2.0), (1, "2024-03-10 05:31:00", 4.0)])
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
