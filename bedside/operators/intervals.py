@@ -11,6 +11,10 @@ from bedside.functions.time import MICROS_PER_HOUR, elapsed_hours, order_micros
 from bedside.operators import pieces
 
 BUCKET = "__bucket"
+BUCKET_HOURS = 24
+# an entity with this many intervals, and this many starting within one bucket, gets narrower buckets
+CROWDED_INTERVALS = 10_000
+CROWDED_BUCKET = 500
 
 
 def interval_join(
@@ -22,28 +26,33 @@ def interval_join(
     end: str,
     how: str = "left",
     closed: bool = False,
-    bucket_hours: int = 24,
+    widths: DataFrame | None = None,
 ) -> DataFrame:
     """Pair each point with every interval of its entity that holds it.
 
     ``start <= time < end``, or ``<= end`` when ``closed``; overlapping intervals multiply points. Beside the
     entity both sides carry a time bucket as equality key: a long-lived entity is spread over its buckets, and
     an interval meets only the points of the buckets it touches. An interval is repeated once per bucket, so
-    the copies are bounded by its length. The bucket column stays in the result so that a following
-    aggregation per (entity, time) can reuse this partitioning; drop it when done.
+    the copies are bounded by its length. ``widths``, from :func:`crowded_widths`, narrows the buckets of
+    entities with a crowd of intervals. The bucket column stays in the result so that a following aggregation
+    per (entity, time) can reuse this partitioning; drop it when done.
     """
-    width = bucket_hours * MICROS_PER_HOUR
+    default = F.lit(BUCKET_HOURS * MICROS_PER_HOUR)
+    width = default if widths is None else F.coalesce(F.col("__w"), default)
+
+    def with_width(side: DataFrame) -> DataFrame:
+        return side if widths is None else side.join(F.broadcast(widths), list(on), "left")
 
     def bucket(at):
-        return F.floor(order_micros(at) / F.lit(width)).cast("long")
+        return F.floor(order_micros(at) / width).cast("long")
 
     last = F.col(end) >= F.col(start) if closed else F.col(end) > F.col(start)
     spread = (
-        intervals.filter(last)
+        with_width(intervals.filter(last))
         .withColumn(BUCKET, F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
         .withColumnsRenamed({start: f"__{start}", end: f"__{end}"})
     )
-    keyed = points.withColumn(BUCKET, bucket(F.col(time)))
+    keyed = with_width(points).withColumn(BUCKET, bucket(F.col(time)))
     p, i = keyed.alias("p"), spread.alias("i")
     match = F.col(f"p.{BUCKET}") == F.col(f"i.{BUCKET}")
     for key in on:
@@ -52,16 +61,43 @@ def interval_join(
     match = match & (at >= lo) & ((at <= hi) if closed else (at < hi))
     taken = [c for c in intervals.columns if c not in on]
     return p.join(i, match, how).select(
-        *[F.col(f"p.{c}") for c in keyed.columns],
+        *[F.col(f"p.{c}") for c in points.columns],
+        F.col(f"p.{BUCKET}"),
         *[F.col(f"i.__{c}" if c in (start, end) else f"i.{c}").alias(c) for c in taken],
     )
 
 
+def crowded_widths(starts: DataFrame, on: Sequence[str], start: str) -> DataFrame | None:
+    """Bucket widths of entities whose intervals would crowd a bucket: their mean distance of starts.
+
+    ``starts`` are the intervals or the raw readings they are built from. For intervals that follow each other
+    this is their mean length, so each is repeated about once and a point meets about two. None if there is no
+    such entity; else at most N / CROWDED_INTERVALS rows, which bounds the broadcast.
+    """
+    counted = starts.select(*on, order_micros(start).alias("__t")).groupBy(*on)
+    counted = counted.agg(F.count("__t").alias("__n"), (F.max("__t") - F.min("__t")).alias("__length"))
+    gap = F.greatest(F.floor(F.col("__length") / F.col("__n")), F.lit(1)).cast("long")
+    narrow = gap * CROWDED_BUCKET < BUCKET_HOURS * MICROS_PER_HOUR
+    widths = counted.filter((F.col("__n") > CROWDED_INTERVALS) & narrow).select(*on, gap.alias("__w"))
+    return None if widths.isEmpty() else widths
+
+
 def attach_interval_value(
-    points: DataFrame, intervals: DataFrame, on: Sequence[str], time: str, start: str, end: str, value: str
+    points: DataFrame,
+    intervals: DataFrame,
+    on: Sequence[str],
+    time: str,
+    start: str,
+    end: str,
+    value: str,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Left lookup of the interval value in force at each point."""
-    held = interval_join(points, intervals.select(*on, start, end, value), on, time, start, end)
+    """Left lookup of the interval value in force at each point.
+
+    ``sized_by`` may name the raw readings (on, start) behind ``intervals``, to be counted in their place.
+    """
+    widths = crowded_widths(intervals if sized_by is None else sized_by, on, start)
+    held = interval_join(points, intervals.select(*on, start, end, value), on, time, start, end, widths=widths)
     return held.select(*points.columns, value)
 
 

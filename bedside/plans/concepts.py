@@ -49,10 +49,19 @@ def rolling_sums(
     )
 
 
-def rolling_urine_output(summed: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rolling sums with the weight in force; overlapping weight intervals repeat a reading."""
+def rolling_urine_output(
+    summed: DataFrame, weights: DataFrame, chartevents: DataFrame | None = None
+) -> DataFrame:
+    """Rolling sums with the weight in force; overlapping weight intervals repeat a reading.
+
+    ``chartevents`` lets crowded stays be found among the charted weights instead of the built intervals.
+    """
+    charted = None
+    if chartevents is not None:
+        of_weight = F.col("itemid").isin(*fluids.ADMIT_WEIGHT, *fluids.DAILY_WEIGHT)
+        charted = chartevents.filter(of_weight).select("icustay_id", F.col("charttime").alias("starttime"))
     weighed = intervals.attach_interval_value(
-        summed, weights, ["icustay_id"], "charttime", "starttime", "endtime", "weight"
+        summed, weights, ["icustay_id"], "charttime", "starttime", "endtime", "weight", sized_by=charted
     )
     return weighed.select("icustay_id", "charttime", "weight", *ROLLING_SPANS)
 

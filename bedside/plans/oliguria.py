@@ -199,5 +199,5 @@ def run_study(
     clean = keep("base_cohort", clean_base(base_cohort(icustay_detail, labevents), urine))
     events = keep("oliguria", oliguria_events(summed, clean, chartevents))
     study = keep("oliguria_base_cohort", study_cohort(clean, events))
-    rolling = concepts.rolling_urine_output(summed, weights)
+    rolling = concepts.rolling_urine_output(summed, weights, chartevents)
     return Study(urine, rolling, events, study, cohort_vitals(study, chartevents), cohort_labs(study, labevents))

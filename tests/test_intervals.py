@@ -63,6 +63,26 @@ def test_point_lookup(frame, rows):
     ]
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_lookup_in_a_crowd(frame, monkeypatch, crowded):
+    """Narrow buckets for the crowded entity change nothing, long intervals over them included."""
+    if crowded:
+        monkeypatch.setattr(intervals, "CROWDED_INTERVALS", 20)
+        monkeypatch.setattr(intervals, "CROWDED_BUCKET", 5)
+    rng = random.Random(4)
+    starts = sorted(rng.sample(range(5000), 120))
+    held = [(1, at(s), at(e), float(s)) for s, e in zip(starts, [*starts[1:], 5200])] + [(1, at(100), at(3000), -1.0), (2, at(0), at(4000), 0.5)]
+    points = [(k, at(rng.randrange(5300))) for k in (1, 1, 1, 2) for _ in range(40)]
+    intervals_df = frame("k bigint, s timestamp_ntz, e timestamp_ntz, w double", held)
+    assert (intervals.crowded_widths(intervals_df, ["k"], "s") is not None) == crowded
+    out = intervals.attach_interval_value(frame("k bigint, t timestamp_ntz", points), intervals_df, ["k"], "t", "s", "e", "w")
+    expected = []
+    for k, t in points:
+        found = [w for j, s, e, w in held if j == k and s <= t < e]
+        expected += [(k, t, w) for w in found or [None]]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
+
+
 def test_closed_window_holds_both_ends(frame, rows):
     points = frame("k bigint, t timestamp_ntz", [(1, at(0)), (1, at(1440)), (1, at(1441))])
     windows = frame(DDL, [(1, at(0), at(1440))])
