@@ -107,7 +107,7 @@ def lead_intervals(
     time: str,
     value: str,
     until: str,
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Each reading holds until the next one of its entity, the last until column ``until``.
@@ -127,7 +127,7 @@ def merge_intervals(
     keys: Sequence[str],
     start: str,
     end: str,
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Union of overlapping or touching closed intervals per entity.
@@ -168,7 +168,7 @@ def number_episodes(
     start: str,
     end: str,
     number: str,
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Episode number per entity by start, and length in hours."""

@@ -25,7 +25,7 @@ def _known(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFram
 
 
 def auc(
-    df: DataFrame, score: str, label: str, by: Sequence[str] = (), max_rows: int = pieces.MAX_ROWS
+    df: DataFrame, score: str, label: str, by: Sequence[str] = (), max_rows: int | None = pieces.MAX_ROWS
 ) -> DataFrame:
     """Area under the ROC curve: share of (positive, negative) pairs ranked right, ties counting half.
 
@@ -49,7 +49,7 @@ def roc_points(
     label: str,
     by: Sequence[str] = (),
     drop_intermediate: bool = False,
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
 ) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, descending; the curve's origin has the top score plus one.
 

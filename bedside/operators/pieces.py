@@ -99,11 +99,16 @@ def cut_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: str | Column,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> Pieces:
-    """Cut the heavy keys of ``df`` along ``order``; ``sized_by`` has the same keys and order to count instead."""
+    """Cut the heavy keys of ``df`` along ``order``; ``sized_by`` has the same keys and order to count instead.
+
+    Without ``max_rows`` no key is heavy and nothing is counted.
+    """
     keys, order = tuple(keys), _col(order)
+    if max_rows is None:
+        return Pieces(df, keys, False)
     sized = df if sized_by is None else sized_by
     heavy = _heavy(sized, keys, order, max_rows)
     if heavy.isEmpty():
@@ -120,6 +125,17 @@ def cut_rows(
     return Pieces(out, keys, True)
 
 
+def limit_for(sized: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_ROWS) -> int | None:
+    """``max_rows`` if some key of ``sized`` has more rows, else None: one count for several steps on these keys.
+
+    Finer keys, and frames derived from these rows, are covered too.
+    """
+    if max_rows is None:
+        return None
+    heavy = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_rows)
+    return None if heavy.isEmpty() else max_rows
+
+
 def _heavy(df: DataFrame, keys: Sequence[str], order: Column, max_rows: int) -> DataFrame:
     """Start, piece width and piece count of every key with more than ``max_rows`` rows."""
     n, lo, hi = F.col("__n"), F.col("__lo"), F.col("__hi")
@@ -160,7 +176,7 @@ def add_row_number(
     order: str | Column,
     ties: Sequence[str | Column],
     name: str,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """``row_number`` over ``keys`` by ``order`` then ``ties`` (BIGINT, from 1); global without keys."""
@@ -175,7 +191,7 @@ def add_running_sums(
     keys: Sequence[str],
     order: str | Column,
     sums: dict[str, str],
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``{output: input}`` along ``order``, whose values are unique per key."""
@@ -196,7 +212,7 @@ def add_next(
     order: str,
     columns: dict[str, str],
     ties: Sequence[str] = (),
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Values ``{output: input}`` of the following row, null on the last one."""
@@ -209,7 +225,7 @@ def add_previous(
     order: str,
     columns: dict[str, str],
     ties: Sequence[str] = (),
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Values ``{output: input}`` of the preceding row, null on the first one."""

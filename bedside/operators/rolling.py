@@ -21,7 +21,7 @@ def forward_rolling_sum(
     time: str,
     value: str,
     spans: dict[str, int],
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from each reading until ``span`` hours later, both ends included.
@@ -33,12 +33,13 @@ def forward_rolling_sum(
     """
     rows = _placed(df, keys, time)
     sized = rows if sized_by is None else _placed(sized_by, keys, time)
-    crowded = _crowded(sized, keys, max(spans.values()) * MICROS_PER_HOUR, max_rows)
+    limit = pieces.MAX_ROWS if max_rows is None else max_rows
+    crowded = _crowded(sized, keys, max(spans.values()) * MICROS_PER_HOUR, limit)
     if crowded.isEmpty():
         return _sum_by_frames(rows, keys, value, spans).select(*df.columns, *spans)
     crowded = F.broadcast(crowded)
     plain = _sum_by_frames(rows.join(crowded, list(keys), "left_anti"), keys, value, spans)
-    swept = _sum_by_sweep(rows.join(crowded, list(keys), "left_semi"), df.columns, keys, value, spans, max_rows)
+    swept = _sum_by_sweep(rows.join(crowded, list(keys), "left_semi"), df.columns, keys, value, spans, limit)
     return plain.select(*df.columns, *spans).unionByName(swept)
 
 
@@ -122,7 +123,7 @@ def previous_reading(
     time: str,
     columns: dict[str, str],
     within_hours: int | None = None,
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Values ``{output: input}`` of the preceding reading, null if it is ``within_hours`` or more back."""

@@ -17,7 +17,7 @@ def dose_runs(
     time: str,
     rate: str,
     stopped: str,
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
 ) -> DataFrame:
     """Start and end of each delivery of one drug to one entity; ``keys`` are (entity, drug).
 

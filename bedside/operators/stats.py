@@ -13,17 +13,27 @@ from bedside.operators.pieces import PIECE
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], quantiles: Sequence[float], max_rows: int = pieces.MAX_ROWS
+    df: DataFrame, columns: Sequence[str], quantiles: Sequence[float], max_rows: int | None = pieces.MAX_ROWS
 ) -> DataFrame:
     """(variable, q<percent>...) with linear interpolation between neighbouring ranks, exact at any size.
 
-    The values of each column are cut into pieces along their range and the pieces only counted; the counts
-    tell which piece holds each wanted rank. Only those pieces are ranked, value by value with multiplicity,
-    so neither a whole column nor a heavy value ends up in one task.
+    Columns of up to ``max_rows`` values use the built-in exact percentile, whose buffer holds them all. Larger
+    ones are cut into pieces along their range and the pieces only counted; the counts tell which piece holds
+    each wanted rank. Only those pieces are ranked, value by value with multiplicity, so neither a whole
+    column nor a heavy value ends up in one task.
     """
-    long = _unpivoted(df, columns)
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if max_rows is None or max(typed.agg(*[F.count(c) for c in columns]).first()) <= max_rows:
+        wanted = F.array(*[F.lit(float(q)) for q in quantiles])
+        found = typed.agg(*[F.percentile(c, wanted).alias(c) for c in columns])
+        entries = [
+            F.struct(F.lit(c).alias("variable"), *[F.col(c)[i].alias(quantile_name(q)) for i, q in enumerate(quantiles)])
+            for c in columns
+        ]
+        return found.select(F.inline(F.array(*entries)))
+    long = typed.unpivot([], list(columns), "variable", "v").filter(F.col("v").isNotNull())
     cut = pieces.cut_rows(long, ["variable"], "v", max_rows)
-    counted = _ranked_in_pieces(cut.rows, quantiles) if cut.cut else _ranked(long)
+    counted = _ranked_in_pieces(cut.rows, quantiles)
     found = []
     for i, q in enumerate(quantiles):
         low, high = _ranks(q, F.col("total"))
@@ -33,15 +43,8 @@ def exact_quantiles(
     return ends.select("variable", *[_interpolate(i, q).alias(quantile_name(q)) for i, q in enumerate(quantiles)])
 
 
-def _ranked(long: DataFrame) -> DataFrame:
-    """Distinct values with the count up to each and in all, for columns that fit a task each."""
-    counted = long.groupBy("variable", "v").agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy("variable")
-    return counted.withColumns({"upto": F.sum("n").over(whole.orderBy("v")), "total": F.sum("n").over(whole)})
-
-
 def _ranked_in_pieces(rows: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    """The same for the values of those pieces only that hold a wanted rank."""
+    """Distinct values with the count up to each and in all, of those pieces only that hold a wanted rank."""
     by_piece = Window.partitionBy("variable").orderBy(PIECE)
     sizes = (
         rows.groupBy("variable", PIECE)
@@ -72,11 +75,6 @@ def quantile_name(q: float) -> str:
     return f"q{round(q * 100)}"
 
 
-def _unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return typed.unpivot([], list(columns), "variable", "v").filter(F.col("v").isNotNull())
-
-
 def _ranks(q: float, total):
     place = (total - 1) * F.lit(q)
     return F.floor(place), F.ceil(place)
@@ -88,7 +86,7 @@ def _interpolate(i: int, q: float):
     return low + (high - low) * (place - F.floor(place))
 
 
-def describe(df: DataFrame, columns: Sequence[str], max_rows: int = pieces.MAX_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], max_rows: int | None = pieces.MAX_ROWS) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, as rows."""
     moments = df.agg(
         F.array(*[

@@ -38,7 +38,7 @@ def urine_output(outputevents: DataFrame) -> DataFrame:
 
 
 def rolling_sums(
-    urine: DataFrame, max_rows: int = pieces.MAX_ROWS, sized_by: DataFrame | None = None
+    urine: DataFrame, max_rows: int | None = pieces.MAX_ROWS, sized_by: DataFrame | None = None
 ) -> DataFrame:
     """Forward 6/12/24 h urine sums (5, 11 and 23 hours ahead).
 
@@ -72,7 +72,7 @@ def weight_durations(
     echo: DataFrame,
     use_admit_weight: bool = False,
     echo_fallback: bool = False,
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
 ) -> DataFrame:
     """Validity intervals of weights.
 
@@ -182,7 +182,7 @@ def _echo_intervals(echo: DataFrame, stays: DataFrame, slack: int, max_rows: int
     return held.unionByName(back).distinct()
 
 
-def gcs(chartevents: DataFrame, icustays: DataFrame, max_rows: int = pieces.MAX_ROWS) -> DataFrame:
+def gcs(chartevents: DataFrame, icustays: DataFrame, max_rows: int | None = pieces.MAX_ROWS) -> DataFrame:
     """Coma scale per stay and time.
 
     A missing component is taken from the reading before, if it is less than six hours old and not from an

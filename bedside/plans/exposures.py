@@ -15,7 +15,7 @@ from bedside.specs import diuretics, fluids
 from bedside.specs.saps import SAPS_RUNGS
 
 
-def infusion_runs(inputevents_cv: DataFrame, max_rows: int = pieces.MAX_ROWS) -> DataFrame:
+def infusion_runs(inputevents_cv: DataFrame, max_rows: int | None = pieces.MAX_ROWS) -> DataFrame:
     """Vasopressor deliveries per (stay, drug) from point readings; two codes store rate and amount swapped."""
     swapped = F.col("itemid").isin(*fluids.VASOPRESSOR_SWAPPED)
     doses = inputevents_cv.filter(F.col("itemid").isin(*fluids.VASOPRESSOR_CV)).select(
@@ -37,24 +37,26 @@ def order_intervals(inputevents_mv: DataFrame) -> DataFrame:
 
 
 def vasopressor_durations(
-    inputevents_cv: DataFrame, inputevents_mv: DataFrame, max_rows: int = pieces.MAX_ROWS
+    inputevents_cv: DataFrame, inputevents_mv: DataFrame, max_rows: int | None = pieces.MAX_ROWS
 ) -> DataFrame:
     """Vasopressor episodes per stay over all drugs, numbered within each source system."""
     readings = inputevents_cv.filter(F.col("itemid").isin(*fluids.VASOPRESSOR_CV))
     orders = inputevents_mv.filter(F.col("itemid").isin(*fluids.VASOPRESSOR_MV))
     key, start, end = ["icustay_id"], "starttime", "endtime"
+    cv_limit = pieces.limit_for(readings, key, max_rows)
+    mv_limit = pieces.limit_for(orders, key, max_rows)
     parts = []
-    for source, raw in (
-        (infusion_runs(inputevents_cv, max_rows), readings.select(*key, F.col("charttime").alias(start))),
-        (order_intervals(inputevents_mv), orders.select(*key, start)),
+    for source, raw, limit in (
+        (infusion_runs(inputevents_cv, cv_limit), readings.select(*key, F.col("charttime").alias(start)), cv_limit),
+        (order_intervals(inputevents_mv), orders.select(*key, start), mv_limit),
     ):
-        merged = intervals.merge_intervals(source, key, start, end, max_rows, sized_by=raw)
-        parts.append(intervals.number_episodes(merged, key, start, end, "vasonum", max_rows, sized_by=raw))
+        merged = intervals.merge_intervals(source, key, start, end, limit, sized_by=raw)
+        parts.append(intervals.number_episodes(merged, key, start, end, "vasonum", limit, sized_by=raw))
     return parts[0].unionByName(parts[1]).distinct()
 
 
 def diuretic_exposure(
-    inputevents_mv: DataFrame, inputevents_cv: DataFrame, prescriptions: DataFrame, max_rows: int = pieces.MAX_ROWS
+    inputevents_mv: DataFrame, inputevents_cv: DataFrame, prescriptions: DataFrame, max_rows: int | None = pieces.MAX_ROWS
 ) -> DataFrame:
     """Daily diuretic doses from three sources with resistance flag, sequence and equivalents."""
     columns = ["subject_id", "hadm_id", "drug", "startdate", "dose", "dose_unit_rx", "route"]
@@ -90,10 +92,18 @@ def diuretic_exposure(
         .unionByName(prescribed)
         .select(columns)
     )
-    return daily_exposure(doses, "hadm_id", max_rows)
+    # the raw rows bound the doses and are counted without looking at their texts
+    raw = (
+        inputevents_mv.select("hadm_id", F.col("starttime").cast("date").alias("startdate"))
+        .unionByName(inputevents_cv.select("hadm_id", F.col("charttime").cast("date").alias("startdate")))
+        .unionByName(prescriptions.select("hadm_id", F.col("startdate").cast("date").alias("startdate")))
+    )
+    return daily_exposure(doses, "hadm_id", max_rows, sized_by=raw)
 
 
-def daily_exposure(doses: DataFrame, entity: str, max_rows: int = pieces.MAX_ROWS) -> DataFrame:
+def daily_exposure(
+    doses: DataFrame, entity: str, max_rows: int | None = pieces.MAX_ROWS, sized_by: DataFrame | None = None
+) -> DataFrame:
     """Daily dose per drug, unit and route; ``druguse_seq`` numbers an entity's days by date.
 
     Columns wanted: subject_id, hadm_id, drug, startdate (date), dose, dose_unit_rx, route.
@@ -109,7 +119,7 @@ def daily_exposure(doses: DataFrame, entity: str, max_rows: int = pieces.MAX_ROW
         ["subject_id", "drug", "route", "dose_unit_rx"],
         "druguse_seq",
         max_rows,
-        sized_by=doses.select(entity, "startdate"),
+        sized_by=doses.select(entity, "startdate") if sized_by is None else sized_by,
     )
     return numbered.withColumn("unit", _equivalents())
 

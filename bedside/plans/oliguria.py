@@ -183,7 +183,7 @@ def run_study(
     labevents: DataFrame,
     outputevents: DataFrame,
     noteevents: DataFrame,
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
     keep=lambda name, df: df,
 ) -> Study:
     """The whole chain from raw relations.

@@ -60,7 +60,7 @@ def with_row_id(
     key: str,
     ties: Sequence[str] = (),
     name: str = "id",
-    max_rows: int = pieces.MAX_ROWS,
+    max_rows: int | None = pieces.MAX_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Ids 0, 1, ... by (group, key, ties): numbered inside each group, then shifted by the smaller groups.

@@ -182,3 +182,23 @@ def test_cross_validation(training):
 def test_elimination(training):
     found = models.rfe_cv(training, ["x", "noise", "z"], "label", "id", k=2, params=PARAMS)
     assert set(found.scores) == {1, 2, 3} and found.best == len(found.selected) and "x" in found.selected
+
+
+def test_modeling_steps(training):
+    from bedside.plans import modeling
+
+    feature = training.select(
+        "id", F.when(F.col("noise") > 0.3, F.col("x")).alias("x"), "noise", F.when(F.col("id") < 10, 1.0).alias("sparse")
+    )
+    data = modeling.prepare(feature, training.select("id", "label"), "id", "label")
+    assert data.columns == ("x", "noise", "x_isnull", "noise_isnull")
+    assert data.train.filter(features_missing(data.columns)).count() == 0
+    cv = modeling.cross_validate(data, "id", "label", PARAMS, k=2)
+    scores = {r["part"]: r for r in modeling.evaluate(cv, "label").collect()}
+    assert set(scores) == {"valid", "test"} and scores["valid"]["auc"] > 0.7 and scores["test"]["error_rate"] < 0.5
+    found, again = modeling.select_and_retrain(data, "id", "label", 3, 2, PARAMS, PARAMS)
+    assert set(found.scores) == {4, 1} and again.out_of_fold.count() == data.train.count()
+
+
+def features_missing(columns):
+    return " or ".join(f"{c} is null" for c in columns)
