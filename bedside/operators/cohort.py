@@ -65,7 +65,9 @@ def first_event(
     return kept.select(stay, time, *values)
 
 
-def value_at_event(readings: DataFrame, first: DataFrame, stay: str, time: str, columns: Sequence[Column | str]) -> DataFrame:
+def value_at_event(
+    readings: DataFrame, first: DataFrame, stay: str, time: str, columns: Sequence[Column | str]
+) -> DataFrame:
     """The readings taken at each stay's index event, with chosen columns."""
     return readings.join(first.select(stay, time), [stay, time], "inner").select(stay, time, *columns)
 

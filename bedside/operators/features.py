@@ -12,7 +12,10 @@ AGGREGATES = {"max": F.max, "min": F.min, "mean": F.avg}
 
 
 def aggregate_features(
-    wide: DataFrame, entity: str, columns: Sequence[str] | None = None, aggs: Sequence[str] = ("max", "min", "mean"),
+    wide: DataFrame,
+    entity: str,
+    columns: Sequence[str] | None = None,
+    aggs: Sequence[str] = ("max", "min", "mean"),
     drop: Sequence[str] = (),
 ) -> DataFrame:
     """One row per entity with ``<column>_<agg>`` of all measurement columns, nulls skipped, in one pass."""
@@ -22,7 +25,11 @@ def aggregate_features(
 
 
 def build_features(
-    vitals: DataFrame, labs: DataFrame, entity: str, aggs: Sequence[str] = ("max", "min", "mean"), drop: Sequence[str] = ()
+    vitals: DataFrame,
+    labs: DataFrame,
+    entity: str,
+    aggs: Sequence[str] = ("max", "min", "mean"),
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """Feature matrix of the entities that have both vitals and labs."""
     left = aggregate_features(vitals, entity, aggs=aggs, drop=drop)
@@ -30,7 +37,10 @@ def build_features(
 
 
 def build_features_paired(
-    negatives: tuple[DataFrame, DataFrame], positives: tuple[DataFrame, DataFrame], entity: str, drop: Sequence[str] = ()
+    negatives: tuple[DataFrame, DataFrame],
+    positives: tuple[DataFrame, DataFrame],
+    entity: str,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """Max/min features of (vitals, labs) pairs: label 0 from the first, label 1 from the second pair."""
     parts = [

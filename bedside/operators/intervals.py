@@ -34,8 +34,11 @@ def interval_join(
     entity both sides carry a time bucket as equality key: a long-lived entity is spread over its buckets, and
     an interval meets only the points of the buckets it touches. An interval is repeated once per bucket, so
     the copies are bounded by its length. ``widths``, from :func:`crowded_widths`, narrows the buckets of
-    entities with a crowd of intervals. The bucket column stays in the result so that a following aggregation
-    per (entity, time) can reuse this partitioning; drop it when done.
+    entities with a crowd of intervals.
+
+    The bucket is not part of the result: an aggregation per (entity, time) that reused its partitioning would
+    keep a crowded bucket in one task and forbid the adaptive split of a skewed join. It shuffles the partly
+    aggregated matches again instead, which are few beside the points.
     """
     default = F.lit(BUCKET_HOURS * MICROS_PER_HOUR)
     width = default if widths is None else F.coalesce(F.col("__w"), default)
@@ -62,7 +65,6 @@ def interval_join(
     taken = [c for c in intervals.columns if c not in on]
     return p.join(i, match, how).select(
         *[F.col(f"p.{c}") for c in points.columns],
-        F.col(f"p.{BUCKET}"),
         *[F.col(f"i.__{c}" if c in (start, end) else f"i.{c}").alias(c) for c in taken],
     )
 

@@ -170,7 +170,9 @@ def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
     return spark.createDataFrame(importance_rows(trained), "feature string, gain double, split bigint")
 
 
-def merge_importance(importance: DataFrame, feature: str = "feature", columns: Sequence[str] = ("gain", "split")) -> DataFrame:
+def merge_importance(
+    importance: DataFrame, feature: str = "feature", columns: Sequence[str] = ("gain", "split")
+) -> DataFrame:
     """Mean importance per feature over folds, runs or files, and how many named it."""
     means = [F.avg(c).alias(f"{c}_mean") for c in columns]
     return importance.groupBy(feature).agg(*means, F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bedside.functions.time import elapsed_hours
-from bedside.operators.intervals import BUCKET, interval_join
+from bedside.operators.intervals import interval_join
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,7 @@ def pivot_measurements(
     end = F.col(end) if isinstance(end, str) else end
     spine = cohort.select(*on, *extra, start.alias("__from"), end.alias("__to"))
     held = interval_join(wanted, spine, on, time, "__from", "__to", how="inner", closed=True)
-    # the join is partitioned by (on, bucket) and the bucket follows from time: no second shuffle
-    return held.groupBy(*on, BUCKET, *extra, time).agg(*pivot_columns(spec, code, number, text)).drop(BUCKET)
+    return held.groupBy(*on, *extra, time).agg(*pivot_columns(spec, code, number, text))
 
 
 def slice_relative(

@@ -26,8 +26,9 @@ def exact_quantiles(
     if max_rows is None or max(typed.agg(*[F.count(c) for c in columns]).first()) <= max_rows:
         wanted = F.array(*[F.lit(float(q)) for q in quantiles])
         found = typed.agg(*[F.percentile(c, wanted).alias(c) for c in columns])
+        names = [quantile_name(q) for q in quantiles]
         entries = [
-            F.struct(F.lit(c).alias("variable"), *[F.col(c)[i].alias(quantile_name(q)) for i, q in enumerate(quantiles)])
+            F.struct(F.lit(c).alias("variable"), *[F.col(c)[i].alias(name) for i, name in enumerate(names)])
             for c in columns
         ]
         return found.select(F.inline(F.array(*entries)))

@@ -202,12 +202,10 @@ def gcs(chartevents: DataFrame, icustays: DataFrame, max_rows: int | None = piec
     stays = icustays.select("icustay_id", "intime", "outtime")
     inside = interval_join(scored, stays, ["icustay_id"], "charttime", "intime", "outtime", "inner", closed=True)
     parts = list(fluids.GCS_CODES)
-    wide = inside.groupBy("icustay_id", intervals.BUCKET, "charttime").agg(
+    wide = inside.groupBy("icustay_id", "charttime").agg(
         *[F.max(F.when(F.col("part") == p, F.col("score"))).alias(p) for p in parts]
     )
-    wide = wide.drop(intervals.BUCKET).withColumn(
-        "endotrachflag", F.when(F.col("gcsverbal") == 0, 1).otherwise(0)
-    )
+    wide = wide.withColumn("endotrachflag", F.when(F.col("gcsverbal") == 0, 1).otherwise(0))
     wide = rolling.previous_reading(
         wide, ["icustay_id"], "charttime", {f"{p}prev": p for p in parts}, fluids.GCS_REACH_HOURS, max_rows, scored
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bedside.functions import scores, text
-from bedside.functions.time import age_in_years, order_micros, plus_hours
+from bedside.functions.time import age_in_years, plus_hours
 from bedside.operators import intervals, runs, pieces
 from bedside.plans.concepts import not_error
 from bedside.specs import diuretics, fluids
@@ -56,7 +56,10 @@ def vasopressor_durations(
 
 
 def diuretic_exposure(
-    inputevents_mv: DataFrame, inputevents_cv: DataFrame, prescriptions: DataFrame, max_rows: int | None = pieces.MAX_ROWS
+    inputevents_mv: DataFrame,
+    inputevents_cv: DataFrame,
+    prescriptions: DataFrame,
+    max_rows: int | None = pieces.MAX_ROWS,
 ) -> DataFrame:
     """Daily diuretic doses from three sources with resistance flag, sequence and equivalents."""
     columns = ["subject_id", "hadm_id", "drug", "startdate", "dose", "dose_unit_rx", "route"]

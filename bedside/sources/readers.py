@@ -35,7 +35,8 @@ def read_csv(
 
 def read_wide_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Wide measurement file: parses every declared time column present."""
-    times = [c for c in ("intime", "outtime", "og_starttime", "starttime", "endtime", "charttime") if c in column_names(schema)]
+    known = ("intime", "outtime", "og_starttime", "starttime", "endtime", "charttime")
+    times = [c for c in known if c in column_names(schema)]
     return read_csv(spark, path, schema, times)
 
 

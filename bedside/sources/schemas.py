@@ -15,7 +15,8 @@ TABLES: dict[str, str] = {
     "admissions": "hadm_id bigint",
     "patients": "subject_id bigint, dob timestamp_ntz",
     "chartevents": (
-        "subject_id bigint, icustay_id bigint, itemid int, charttime timestamp_ntz, value string, valuenum double, error int"
+        "subject_id bigint, icustay_id bigint, itemid int, charttime timestamp_ntz, value string, "
+        "valuenum double, error int"
     ),
     "labevents": (
         "subject_id bigint, hadm_id bigint, itemid int, charttime timestamp_ntz, value string, valuenum double"

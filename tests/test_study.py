@@ -4,7 +4,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from bedside.functions.time import plus_hours
 from bedside.operators import cohort, pivots
 from bedside.plans import oliguria
 from bedside.sources.schemas import TABLES
