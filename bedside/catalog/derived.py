@@ -70,6 +70,18 @@ class Tables:
             )
         )
 
+    def all_stays(self) -> DataFrame:
+        """Every customer as a stay; those without events stay for four days."""
+        seen = self.icustays().select("icustay_id", "intime", "outtime")
+        people = self["customer"].select(F.col("c_custkey").alias("icustay_id"))
+        return people.join(seen, "icustay_id", "left").select(
+            (F.col("icustay_id") + 2000000).alias("subject_id"),
+            (F.col("icustay_id") + 1000000).alias("hadm_id"),
+            "icustay_id",
+            F.coalesce("intime", F.lit("2024-01-01").cast("timestamp_ntz")).alias("intime"),
+            F.coalesce("outtime", F.lit("2024-01-05").cast("timestamp_ntz")).alias("outtime"),
+        )
+
     def icustay_detail(self) -> DataFrame:
         person = self["customer"].select(
             F.col("c_custkey").alias("icustay_id"),

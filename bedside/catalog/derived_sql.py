@@ -36,6 +36,10 @@ RELATIONS = {
         SELECT user_id + 2000000 AS subject_id, user_id + 1000000 AS hadm_id, user_id AS icustay_id,
                min(moment) AS intime, max(moment) AS outtime
         FROM readings GROUP BY user_id""",
+    "all_stays": """
+        SELECT c_custkey + 2000000 AS subject_id, c_custkey + 1000000 AS hadm_id, c_custkey AS icustay_id,
+               coalesce(intime, TIMESTAMP '2024-01-01') AS intime, coalesce(outtime, TIMESTAMP '2024-01-05') AS outtime
+        FROM customer LEFT JOIN icustays ON icustay_id = c_custkey""",
     "icustay_detail": """
         SELECT i.*, CASE WHEN c_mktsegment < 'F' THEN 'M' ELSE 'F' END AS gender,
                floor(abs(c_acctbal) * 3 / 365) AS age, CAST(c_acctbal < 0 AS INT) AS hospital_expire_flag,
@@ -127,6 +131,7 @@ RELATIONS = {
 _NEEDS = {
     "readings": [],
     "icustays": ["readings"],
+    "all_stays": ["icustays"],
     "icustay_detail": ["icustays"],
     "chartevents": ["readings"],
     "labevents": ["readings"],

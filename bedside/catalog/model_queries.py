@@ -9,6 +9,7 @@ from bedside.catalog.derived import Tables
 from bedside.catalog.registry import query, rounded
 from bedside.functions.time import parse_timestamp
 from bedside.operators import features, metrics, models, stats
+from bedside.plans import modeling
 
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _QUANTILES = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
@@ -277,6 +278,14 @@ def gbt_auc(t: Tables) -> DataFrame:
     return metrics.auc(gbt_cv(t), "score", "quality", by=["part"])
 
 
+@query("model_report")
+def model_report(t: Tables) -> DataFrame:
+    """The modeling steps from raw features to validation and test scores."""
+    rows = labelled_documents(t)
+    data = modeling.prepare(rows.select("doc_id", *_FEATURE_NAMES), rows.select("doc_id", "quality"), "doc_id", "quality")
+    return modeling.evaluate(modeling.cross_validate(data, "doc_id", "quality", _SMALL, k=2), "quality")
+
+
 @query("gbt_importance")
 def gbt_importance(t: Tables) -> DataFrame:
     cv = _cross_validated(t)
