@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bedside.catalog import codes
+from bedside.functions.time import elapsed_days
 from bedside.sources.readers import read_table
 from bedside.sources.sinks import shared_folder
 
@@ -93,7 +94,7 @@ class Tables:
         return (
             self.icustays()
             .join(person, "icustay_id", "inner")
-            .withColumn("los_icu", F.expr("timestampdiff(MICROSECOND, intime, outtime) / 86400000000D"))
+            .withColumn("los_icu", elapsed_days("intime", "outtime"))
             .withColumn("first_hosp_stay", F.lit("Y"))
         )
 

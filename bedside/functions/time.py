@@ -15,8 +15,13 @@ def _col(c) -> Column:
 
 
 def micros_between(start, end) -> Column:
-    """Elapsed microseconds from ``start`` to ``end`` as BIGINT."""
-    return F.timestamp_diff("MICROSECOND", _col(start), _col(end))
+    """Elapsed microseconds from ``start`` to ``end`` as BIGINT, exact.
+
+    Goes through the interval, since ``timestampdiff`` reads its arguments in the session zone and is an hour
+    off for times that a daylight-saving change skips there.
+    """
+    elapsed = _col(end).cast("timestamp_ntz") - _col(start).cast("timestamp_ntz")
+    return (elapsed.cast("interval second").cast("decimal(18,6)") * F.lit(MICROS_PER_SECOND)).cast("long")
 
 
 def order_micros(ts) -> Column:

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from bedside.functions.time import micros_between
 from bedside.operators import rolling
 
 SPANS = {"s6": 5, "s12": 11, "s24": 23}
@@ -65,9 +66,11 @@ def test_crowded_frames_are_swept(frame, monkeypatch):
 
 def test_daylight_saving_zone_does_not_matter(spark, frame, rows):
     df = frame(DDL, [(1, "2024-03-10 00:30:00", 1.0), (1, "2024-03-10 05:30:00", 2.0), (1, "2024-03-10 05:31:00", 4.0)])
+    skipped = frame("a timestamp_ntz, b timestamp_ntz", [("2024-03-10 01:00:00", "2024-03-10 02:30:00.000001")])
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         out = rows(rolling.forward_rolling_sum(df, ["k"], "t", "v", {"s": 5}), "s")
+        assert skipped.select(micros_between("a", "b")).first()[0] == 5_400_000_001
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert out == [(3.0,), (4.0,), (6.0,)]
