@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from bedside.llm import mixing, quality_rules
+from bedside.llm import html_extract, mixing, piece_scan, quality_rules, token_files, toxicity, url_filter, vector_search
 
 QUERIES = {
+    "op1_piece_scan": piece_scan.op1_piece_scan,
+    "op2_vector_search": vector_search.op2_vector_search,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_token_files": token_files.op6_token_files,
     "op8_mixing": mixing.op8_mixing,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLES = {
+    "op2_vector_search": vector_search.OP2_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
