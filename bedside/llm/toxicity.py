@@ -1,9 +1,12 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier trained on its posteriors.
 
-Voters are lexicon words and patterns; each fires or not on a text, and a text's firings are one bit mask. Everything learnt is
-learnt from the table of distinct masks with their counts, which Spark aggregates over all training rows (labelled or not).
+Voters are words of a fixed lexicon, fixed patterns, and words and word beginnings found in labelled training rows; each fires or
+not on a text, and a text's firings are one bit mask. The models are learnt from the table of distinct masks with their counts,
+which Spark aggregates over all training rows (labelled or not).
 
-1. Label model. Each voter fires with one rate in toxic and another in clean texts. Expectation maximisation estimates the rates
+0. Lexicon induction. In a bounded sample of labelled training rows (``SAMPLE`` of each class) Spark counts the texts that hold
+   each word and word beginning. Terms that are frequent in toxic texts and nearly absent from clean ones become voters.
+1. Label model. Each voter fires with one rate in toxic and another in clean texts, else it abstains. Expectation maximisation estimates the rates
    and the class share from the unlabelled counts, with the labelled rows held at their labels (without labels it starts from the
    assumption that lexicon words speak for toxicity). Only the sums of a round come to the driver, a few numbers per voter.
 2. Correlations. Expected joint firings per class give the correlation of every two voters given the class; a voter's vote
@@ -19,6 +22,8 @@ label. Repeated ids in ``labels`` count once (toxic wins); repeated documents ar
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -29,9 +34,9 @@ from bedside.llm.common import Scratch, free_name, table, text_or_empty
 
 #: Words of abuse, each a voter (lower case).
 LEXICON = (
-    "idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "pathetic", "worthless", "trash", "garbage", "scum", "clown",
-    "disgusting", "imbecile", "fool", "jerk", "filth", "vermin", "ugly", "hate", "shit", "fuck", "bitch", "bastard", "asshole", "crap",
-    "dummkopf", "arschloch", "abschaum", "connard", "salaud", "pendejo", "cabron", "estúpido", "basura", "idiota", "dumm", "crétin",
+    "idiot", "idiots", "moron", "stupid", "dumb", "loser", "pathetic", "worthless", "trash", "garbage", "scum", "clown", "disgusting",
+    "imbecile", "jerk", "vermin", "shit", "fuck", "bitch", "bastard", "asshole", "dummkopf", "arschloch", "abschaum", "connard", "salaud",
+    "pendejo", "idiota",
 )
 #: Patterns, each a voter: (name, regular expression). The last two speak for a clean text.
 PATTERNS = (
@@ -43,26 +48,77 @@ PATTERNS = (
     ("courtesy", r"(?i)\b(?:please|thank you|thanks|gracias|merci|danke|bitte)\b"),
     ("citation", r"(?i)\bhttps?://|\[\d+\]|\bet al\b"),
 )
-VOTERS = (*LEXICON, *(name for name, _ in PATTERNS))
 MAX_VOTERS = 62
 EM_ROUNDS = 8
 SMOOTH = 1.0
 #: Start when there are no labels: rates of a lexicon voter in toxic and clean texts, of a pattern, and the toxic share.
 START_LEXICON, START_PATTERN, START_SHARE = (0.1, 0.002), (0.05, 0.05), 0.1
-
-
-def votes(text: Column) -> Column:
-    """The bit mask of the voters that fire."""
-    bits = F.create_map(*[x for k, w in enumerate(LEXICON) for x in (F.lit(w), F.lit(1 << k).cast("bigint"))])
-    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: w.isin(*LEXICON))
-    mask = F.aggregate(found, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(F.element_at(bits, w)))
-    for k, (_, pattern) in enumerate(PATTERNS, len(LEXICON)):
-        mask = mask.bitwiseOR(F.when(text.rlike(pattern), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return mask
-
-
-def fires(mask: Column, k: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << k).cast("bigint")) != 0
+#: Labelled rows of each class that lexicon induction reads at most (about), word beginnings in letters, and what a term needs:
+#: so many toxic texts, this share of them, and this many times the share of the clean ones.
+SAMPLE = 10_000
+BEGINNINGS = (4, 5)
+TERM_TEXTS, TERM_SHARE, TERM_LIFT = 5, 0.02, 50.0
+
+
+@dataclass(frozen=True)
+class Voters:
+    """What fires: whole words, word beginnings, and the fixed patterns, in the order of their bits."""
+
+    words: tuple[str, ...] = LEXICON
+    beginnings: tuple[str, ...] = ()
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.beginnings) + len(PATTERNS)
+
+    @property
+    def n_terms(self) -> int:
+        return len(self.words) + len(self.beginnings)
+
+    def mask(self, text: Column) -> Column:
+        """The bit mask of the voters that fire on a text."""
+        terms = (*self.words, *self.beginnings)
+        whole = "|".join(sorted(map(re.escape, self.words), key=len, reverse=True))
+        begin = "".join("|" + re.escape(b) for b in sorted(self.beginnings, key=len, reverse=True))
+        found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})(?:(?:{whole})(?!\p{{L}}){begin})"), F.lit(0))
+        bits = F.create_map(*[x for k, t in enumerate(terms) for x in (F.lit(t), F.lit(1 << k).cast("bigint"))])
+        mask = F.aggregate(found, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseOR(F.element_at(bits, t)))
+        for k, (_, pattern) in enumerate(PATTERNS, len(terms)):
+            mask = mask.bitwiseOR(F.when(text.rlike(pattern), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return mask
+
+
+def induce(docs: DataFrame, marks: DataFrame, doc_id: str, text: str, room: int) -> Voters:
+    """Voters with up to ``room`` more terms from labelled training rows; ``marks`` has ``doc_id, toxic``."""
+    training = marks.filter(~held_out(F.col("doc_id")))
+    sizes = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return Voters()
+    # a deterministic share of each class, by a hash of the id: about SAMPLE rows, which bounds the broadcast
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("terms")), F.lit(1_000_000))
+    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / sizes[1])).otherwise(min(1.0, SAMPLE / sizes[0]))
+    sample = training.filter(spot < 1_000_000 * share).withColumnRenamed("doc_id", "marked")
+    read = docs.select(F.col(doc_id).alias("marked"), text_or_empty(text).alias("text")).join(F.broadcast(sample), "marked")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    terms = F.array_distinct(F.concat("w", *[_beginnings("w", n) for n in BEGINNINGS]))
+    counted = read.select("toxic", words.alias("w")).select("toxic", F.explode(terms).alias("term")).groupBy("term").agg(
+        F.sum("toxic").cast("long").alias("bad"), F.sum(1 - F.col("toxic")).cast("long").alias("good")
+    )
+    n_bad, n_good = (min(SAMPLE, sizes[k]) for k in (1, 0))
+    rate = lambda n, of: (n + 0.5) / (of + 1)
+    strong = counted.filter((F.col("bad") >= max(TERM_TEXTS, TERM_SHARE * n_bad)) & (rate(F.col("bad"), n_bad) >= TERM_LIFT * rate(F.col("good"), n_good)))
+    # more toxic texts first, clean ones count against; of equals whole words, then longer ones
+    worth = F.col("bad") - 20 * F.col("good")
+    best = strong.orderBy(worth.desc(), F.col("term").endswith("-").asc(), F.length("term").desc(), "term").limit(600).collect()
+    chosen: list[str] = []
+    for row in best:
+        term = row["term"]
+        stem = term.rstrip("-")
+        known = [c.rstrip("-") for c in chosen] + list(LEXICON)
+        if not any(stem.startswith(k) or k.startswith(stem) for k in known):
+            chosen.append(term)
+        if len(chosen) >= room:
+            break
+    return Voters((*LEXICON, *[t for t in chosen if not t.endswith("-")]), tuple(t[:-1] for t in chosen if t.endswith("-")))
 
 
 def _logit(p: float) -> float:
@@ -70,10 +126,9 @@ def _logit(p: float) -> float:
 
 
 def _posterior(mask: Column, share: float, rates: list[tuple[float, float]], weights: list[float]) -> Column:
-    """P(toxic | mask); a voter's log ratio counts with its weight."""
-    total = _logit(share) + sum(w * math.log((1 - t) / (1 - c)) for (t, c), w in zip(rates, weights))
-    gains = [w * (math.log(t / c) - math.log((1 - t) / (1 - c))) for (t, c), w in zip(rates, weights)]
-    return 1 / (1 + F.exp(-_linear(mask, total, gains)))
+    """P(toxic | mask). A voter that does not fire abstains; one that fires counts its log ratio times its weight."""
+    gains = [w * math.log(t / c) for (t, c), w in zip(rates, weights)]
+    return 1 / (1 + F.exp(-_linear(mask, _logit(share), gains)))
 
 
 def _linear(mask: Column, bias: float, gains: list[float]) -> Column:
@@ -86,9 +141,19 @@ def _linear(mask: Column, bias: float, gains: list[float]) -> Column:
     )
 
 
-def mask_counts(voted: DataFrame, labels: DataFrame) -> DataFrame:
+def _beginnings(words: str, n: int) -> Column:
+    """The first ``n`` letters of each long enough word, marked by a hyphen."""
+    return F.transform(F.filter(words, lambda w: F.char_length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))
+
+
+def label_marks(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic`` (0 or 1), one row per labelled id."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    return known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
+def mask_counts(voted: DataFrame, marks: DataFrame) -> DataFrame:
     """``mask, unlabelled, toxic, clean``: training rows per distinct mask. ``voted`` has ``doc_id, mask``."""
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     training = voted.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id", "left")
     count = lambda c: F.sum(c.cast("long"))
     return training.groupBy("mask").agg(
@@ -102,13 +167,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def label_model(counts: DataFrame) -> tuple[float, list[tuple[float, float]], list[float]]:
+def label_model(counts: DataFrame, voters: Voters) -> tuple[float, list[tuple[float, float]], list[float]]:
     """(toxic share, firing rates of each voter in toxic and clean texts, weight of each voter)."""
-    mask, n = F.col("mask"), len(VOTERS)
+    mask, n = F.col("mask"), len(voters)
     set_bits = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.getbit(mask, k) == 1)
     first = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     labelled = bool(first["t"]) and bool(first["c"])
-    rates = [START_LEXICON if k < len(LEXICON) else START_PATTERN for k in range(n)]
+    rates = [START_LEXICON if k < voters.n_terms else START_PATTERN for k in range(n)]
     share, ones = START_SHARE, [1.0] * n
 
     def expected(posterior: Column | None) -> DataFrame:
@@ -137,7 +202,7 @@ def label_model(counts: DataFrame) -> tuple[float, list[tuple[float, float]], li
 
 def _correlation_weights(weighted: DataFrame, rates) -> list[float]:
     """1 / (1 + sum of positive correlations given the class), from expected joint firings (at most voters squared numbers)."""
-    n, mask = len(VOTERS), F.col("mask")
+    n, mask = len(rates), F.col("mask")
     bits = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.getbit(mask, k) == 1)
     totals = weighted.agg(F.sum("w1"), F.sum("w0")).first()
     pairs = (
@@ -156,15 +221,15 @@ def _correlation_weights(weighted: DataFrame, rates) -> list[float]:
                 a, b = rates[r["i"]][side], rates[r["j"]][side]
                 spread = math.sqrt(a * (1 - a) * b * (1 - b))
                 strongest = max(strongest, min(1.0, (both / total - a * b) / spread) if spread > 0 else 0.0)
-        if strongest > 0.1:
+        if strongest > 0.3:
             burden[r["i"]] += strongest
             burden[r["j"]] += strongest
     return [1 / (1 + b) for b in burden]
 
 
-def classifier(counts: DataFrame, model) -> tuple[float, list[float]]:
+def classifier(counts: DataFrame, model, voters: Voters) -> tuple[float, list[float]]:
     """(intercept, weight of each voter) of a logistic regression on the posteriors."""
-    n, mask = len(VOTERS), F.col("mask")
+    n, mask = len(voters), F.col("mask")
     if counts.isEmpty():
         return _logit(START_SHARE), [0.0] * n
     posterior = _posterior(mask, *model)
@@ -173,20 +238,20 @@ def classifier(counts: DataFrame, model) -> tuple[float, list[float]]:
     soft = counts.select(features.alias("features"), posterior.alias("p"), total.alias("n"))
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("w"))))
     rows = soft.select("features", sides.alias("side")).select("features", "side.label", "side.w").filter(F.col("w") > 0)
-    fitted = LogisticRegression(maxIter=40, regParam=1e-4, standardization=False, weightCol="w", aggregationDepth=2).fit(rows)
+    fitted = LogisticRegression(maxIter=40, regParam=1e-6, standardization=False, weightCol="w", aggregationDepth=2).fit(rows)
     return float(fitted.intercept), [float(x) for x in fitted.coefficients]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``held_out``, ``score`` and ``predicted`` (an underscore is added where a name is taken)."""
-    if len(VOTERS) > MAX_VOTERS:
-        raise ValueError("more voters than bits")
     names = {k: free_name(k, docs.columns) for k in ("mask", "held_out", "score", "predicted")}
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    voted = scratch.keep(docs.select(*kept, votes(text_or_empty(text)).alias(names["mask"])), "votes")
+    marks = scratch.keep(label_marks(labels), "marks")
+    voters = induce(docs, marks, doc_id, text, MAX_VOTERS - len(Voters()))
+    voted = scratch.keep(docs.select(*kept, voters.mask(text_or_empty(text)).alias(names["mask"])), "votes")
     ready = voted.select(F.col(doc_id).alias("doc_id"), F.col(names["mask"]).alias("mask"))
-    counts = scratch.keep(mask_counts(ready, labels.select("doc_id", "toxic")), "masks")
-    bias, weights = classifier(counts, label_model(counts))
+    counts = scratch.keep(mask_counts(ready, marks), "masks")
+    bias, weights = classifier(counts, label_model(counts, voters), voters)
     score = 1 / (1 + F.exp(-_linear(F.col(names["mask"]), bias, weights)))
     scored = voted.withColumns({names["held_out"]: held_out(F.col(doc_id)), names["score"]: score})
     return scored.withColumn(names["predicted"], (F.col(names["score"]) >= 0.5).cast("int")).drop(names["mask"])
