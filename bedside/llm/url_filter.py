@@ -5,8 +5,8 @@ Rules. The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or t
 longest fitting rule gives the verdict.
 
 Language models. Two smoothed variable-order Markov models (Witten-Bell interpolation of contexts of 4 to 0 characters) are
-estimated from rejected and accepted URLs: rejected are those that a block rule fits or whose host holds a seed word, accepted
-those that an allow rule fits. What the rules look at (the registered domain and the first path segment) is left out of the
+estimated from rejected and accepted URLs: rejected are those whose host holds a seed word, accepted the others that an allow rule
+fits. What block rules catch trains neither: they name places, and the same hosts go on elsewhere. What the rules look at (the registered domain and the first path segment) is left out of the
 modelled string, so that the models learn from the rest of the URL; digits are folded to ``0``. Counts come from four fifths
 of the labelled strings. A URL's score is the mean over its characters of log P(accepted) - log P(rejected). The held-out fifth
 of the accepted strings calibrates the limit: mean minus ``STRICTNESS`` standard deviations of their scores. No rule and a score
@@ -109,7 +109,7 @@ def judge(pages: DataFrame, scratch: Scratch, url: str = "url", rules=RULES, see
     seeded = F.lit(False)
     for word in seeds:
         seeded = seeded | host.contains(word)
-    rejected = (F.col(n["ruled"]) == "block") | seeded
+    rejected = seeded
     accepted = (F.col(n["ruled"]) == "allow") & ~seeded
     as_count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     strings = parts.groupBy(F.col(n["string"]).alias("s")).agg(as_count(accepted).alias("all_accepted"), as_count(rejected).alias("rejected"))
