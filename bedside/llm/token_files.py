@@ -15,17 +15,19 @@ Files are written and read by Spark's Parquet source, so any store works. A retr
 empty; null ids come first; repeated rows are documents of their own; an empty table gives no files and no rows. A text longer
 than a shard makes one longer shard. Other columns are not read.
 
-Encoding. The tokenizer drops white space and splits words from marks anyhow, so equal words are encoded once per batch, and a
-bounded memory of words is kept between batches. Texts are folded to lower case (ASCII letters) beforehand, except where that
-could change the result: texts with combining marks or with ``<|``.
+Encoding. The tokenizer drops white space and splits letters from marks anyhow, so a batch's distinct words are encoded once, and a
+bounded memory of words and letter runs is kept between batches.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,14 @@ from bedside.llm.common import Scratch, shuffle_partitions, table, text_or_empty
 
 END_ID = 1
 SHARD_IDS = 1 << 20
-ROUNDS = 5
+PIECE = 4096
+ROUNDS = 4
 ROUND_RULES = 3000
 MIN_COUNT = 8
 MAGIC = b"RPR1"
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_000_000
+LETTERS = re.compile(r"[^\W\d_]+")
+SPECIAL_CASE = re.compile("[\u0130\u03a3]")  # letters whose lower case depends on the place or is longer
 SCHEMA = "part int, shard int, n_ids bigint, doc_ids array<bigint>, block binary"
 
 
@@ -51,51 +56,73 @@ class Encoder:
 
     def __init__(self, path: str, words_kept: int = WORDS_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for one run of lower-case letters in composed form, normalisation and splitting change nothing
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words_kept = words_kept
         self.number: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of a text without white space. Its leading letters are a token run of their own, unless a mark may join them."""
+        run = LETTERS.match(word)
+        if run is None:
+            return self._part(word, self.tokenizer)
+        letters, rest = run[0], word[run.end() :]
+        fine = letters.isascii() or (letters.isalpha() and unicodedata.is_normalized("NFC", letters) and not SPECIAL_CASE.search(letters))
+        if not fine or rest and not rest[0].isascii():
+            return self._part(word, self.tokenizer)
+        ids = self._part(letters.lower(), self.plain)
+        return ids + self._part(rest, self.tokenizer) if rest else ids
+
+    def _part(self, text: str, tokenizer) -> list[int]:
+        found = self.parts.get(text)
+        if found is None:
+            found = tokenizer.encode(text, add_special_tokens=False).ids
+            if len(text) <= 64:
+                self.parts[text] = found
+        return found
+
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        if len(self.parts) > self.words_kept:
+            self.parts.clear()
+        found = [self.word_ids(w) for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         more, have = int(sizes.sum()), len(self.number)
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while have + len(words) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + more] = np.fromiter((i for ids in found for i in ids), np.int32, more)
+        self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(found), np.int32, more)
         self.ends[have + 1 : have + 1 + len(words)] = self.used + np.cumsum(sizes)
         self.used += more
         self.number.update(zip(words, range(have, have + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with the end id after each text, number of ids of each text)."""
-        texts = texts.cast(pa.large_string())
-        as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\\x{0300}-\\x{036f}]"))
-        texts = pc.if_else(as_is, texts, pc.ascii_lower(texts))
-        # a word ends where a mark follows a letter, so a mark can be split off without changing the ids
-        texts = pc.replace_substring_regex(texts, r"([a-z])([.,;:!?])", r"\1 \2")
         split = pc.ascii_split_whitespace(texts)
-        coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.number) + len(words) > self.words_kept:
             self.number.clear()
             self.used = 0
         get = self.number.get
-        unknown = [w for w in words if get(w) is None]
+        unknown = [w for w in words if w not in self.number]
         if unknown:
             self._learn(unknown)
-        numbers = np.fromiter((get(w) for w in words), np.int64, len(words))
+        numbers = np.fromiter(map(get, words), np.int64, len(words))
         word = numbers[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
         begin, size = self.ends[word], self.ends[word + 1] - self.ends[word]
         offsets = split.offsets.to_numpy()
         upto = np.concatenate([[0], np.cumsum(size)])
-        counts = np.diff(upto[offsets]) + 1
+        counts = np.diff(upto[offsets - offsets[0]]) + 1
         out = np.full(int(counts.sum()), END_ID, np.int32)
         place = np.ones(len(out), bool)
         place[np.cumsum(counts) - 1] = False
@@ -251,8 +278,8 @@ def blocks(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
             return pa.RecordBatch.from_arrays(columns, ["part", "shard", "n_ids", "doc_ids", "block"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                piece = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, PIECE):
+                piece = batch.take(pa.array(range(at, min(batch.num_rows, at + PIECE))))
                 got, sizes = encode(piece.column("text"))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 begin = 0
