@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import html_extract, mixing, piece_scan, quality_rules, token_files, toxicity, url_filter, vector_search
+from bedside.llm import html_extract, jaccard_join, mixing, piece_scan, quality_rules, token_files, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_piece_scan": piece_scan.op1_piece_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_token_files": token_files.op6_token_files,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_mixing": mixing.op8_mixing,
     "op10_html_extract": html_extract.op10_html_extract,
 }
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_vector_search": vector_search.OP2_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
