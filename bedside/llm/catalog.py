@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedside.llm import html_extract, jaccard_join, mixing, piece_scan, quality_rules, token_files, toxicity, url_filter, vector_search
+from bedside.llm import html_extract, jaccard_join, mixing, piece_scan, quality_rules, suffix_dedup, token_files, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_piece_scan": piece_scan.op1_piece_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_files": token_files.op6_token_files,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_mixing": mixing.op8_mixing,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_html_extract": html_extract.op10_html_extract,
 }
 
