@@ -149,7 +149,9 @@ def measured(docs: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
         "n_list_lines": F.size(F.filter(F.col(lines), lambda x: x.rlike("^[\\x20\\x09-\\x0D]*[-*•●]"))),
         "n_cut_lines": F.size(F.filter(F.col(lines), lambda x: x.rlike("(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$"))),
     }
-    return step.select(*own, F.struct(*[values[k].cast("long").alias(k) for k in MEASURES]).alias(into))
+    # as a generated row, so that a filter on the measures is not pushed below them, where it would repeat their expressions
+    row = F.struct(*[values[k].cast("long").alias(k) for k in MEASURES])
+    return step.select(*own, F.explode(F.array(row)).alias(into))
 
 
 def base_failed(into: str = "m") -> Column:
