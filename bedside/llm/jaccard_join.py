@@ -39,7 +39,7 @@ LINK_TOP, LINK_PART = 100, 75
 #: N-grams in a fragment (about), coarser fragments for verification, bytes of text hashed at once.
 FRAGMENT = 2_000_000
 VERIFY_FRAGMENTS = 4
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: Pivot rounds end when the pairs left are at most this many times the postings, or after so many rounds.
 ENOUGH, MAX_ROUNDS = 2, 12
 
@@ -161,7 +161,7 @@ def _cut(n_fragments: int):
                     keys.append(digest(grams))
                     sets.append(grams)
                     size += len(grams)
-                if size >= 4_000_000:
+                if size >= 1_000_000:
                     yield pack(keys, sets)
                     keys, sets, size = [], [], 0
             if sets:

@@ -39,10 +39,10 @@ from bedside.llm.common import Scratch, free_name, shuffle_partitions, table, te
 LENGTH = 400
 GRAM = 250
 #: Entries in a fragment (about), bytes of text in a shard (about), different runs of a key that a shard still takes.
-FRAGMENT = 400_000
+FRAGMENT = 200_000
 SHARD_BYTES = 2_000_000
 CROWD = 1_000
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 MAX_RUN = 255
 
 _rng = np.random.default_rng(20240611)
@@ -54,7 +54,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if _POWERS.get("n", 0) < n:
-        size = max(n, 2 * PIECE_BYTES)
+        size = max(n, 4 * PIECE_BYTES)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -169,7 +169,7 @@ def _entries(n_fragments: int):
                 rows["key"], rows["digest"], rows["text"], rows["start"], rows["size"], rows["self"] = key, digest, names[number + own], start, count, within
                 found.append(rows)
                 size += len(rows)
-                if size > 1_000_000:
+                if size > 250_000:
                     yield _deal(all_ := np.concatenate(found), all_["key"], n_fragments)
                     found, size = [], 0
             if size:
@@ -424,17 +424,24 @@ def repeat_marks(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
     asked = scratch.keep(asked, "asked")
     fields = "text binary, kind int, start int, size int, key bigint, digest bigint, known boolean, bytes binary"
 
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in fields.split(", ")])
+
         for batch in batches:
-            columns = [[] for _ in range(8)]
-            for name, runs, data in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), batch.column("bytes")):
-                data = data.as_py()
-                for r in runs:
+            columns = [[] for _ in kinds]
+            for name, runs, data in zip(batch.column("text"), batch.column("runs"), batch.column("bytes")):
+                name, data = name.as_py(), data.as_py()
+                for r in runs.as_py():
                     row = (name, r["kind"], r["starts"], r["sizes"], r["keys"], r["digests"], r["known"], data[r["starts"] : r["starts"] + r["sizes"] - 1 + LENGTH])
                     for column, value in zip(columns, row):
                         column.append(value)
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in fields.split(", ")])
+                if len(columns[0]) >= 20_000:
+                    yield made()
+                    columns = [[] for _ in kinds]
+            yield made()
 
     once = read.join(asked.select("text"), "text", "left_semi").dropDuplicates(["text"])
     texts = scratch.keep(once.join(asked, "text").mapInArrow(cut, fields), "texts")
