@@ -9,8 +9,8 @@
 3. Each page is parsed again and the text is taken from the elements on its host's winning path; a page without such an
    element, or with no text there, uses its own best container.
 
-The table of winning paths (one row a host) is joined, and Spark chooses how by its size: pages are only shuffled when
-that table is large, and then the adaptive join splits a host that holds many pages.
+The table of winning paths has one short row a host. Up to ``FEW_HOSTS`` hosts, which is counted, it is broadcast and pages are
+not shuffled. Beyond, pages are dealt by (host, salt) and the paths once per salt, so that a host with many pages is split.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order
 by one space. Blocks are headings, paragraphs, list items, cells and the like; inline tags add no space; ``br`` counts as white
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedside.llm.common import free_name, table
+from bedside.llm.common import Scratch, free_name, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|\Z)", re.S
@@ -230,6 +230,10 @@ def main_text(page: str | None, path: str | None) -> str:
     return text
 
 
+FEW_HOSTS = 100_000
+SALTS = 32
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[tuple[str, str], int] = {}
@@ -252,13 +256,18 @@ def host_paths(pages: DataFrame, host: str, html: str) -> DataFrame:
     return summed.groupBy("host").agg(F.min(rank)["path"].alias("path"))
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+def extract(pages: DataFrame, scratch: Scratch, html: str = "html", url: str = "url") -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars`` (an underscore is added where a name is taken)."""
     kept = [c for c in pages.columns if c != html]
     host, path, text, n_chars = (free_name(c, pages.columns) for c in ("host", "path", "text", "n_chars"))
     hosted = pages.withColumn(host, F.lower(F.coalesce(F.regexp_extract(F.col(url), r"(?s)^.*?://([^/?#]*)", 1), F.lit(""))))
-    winners = host_paths(hosted, host, html).withColumnsRenamed({"host": host, "path": path})
-    joined = hosted.join(winners, host, "left")
+    winners = scratch.keep(host_paths(hosted, host, html).withColumnsRenamed({"host": host, "path": path}), "paths")
+    if winners.count() <= FEW_HOSTS:
+        joined = hosted.join(F.broadcast(winners), host, "left")
+    else:
+        salt = free_name("salt", hosted.columns + [path])
+        salted = hosted.withColumn(salt, F.pmod(F.xxhash64(url, html), F.lit(SALTS)).cast("int"))
+        joined = salted.join(winners.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [host, salt], "left")
     schema = pages.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text, "string")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,4 +281,4 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
 
 
 def op10_html_extract(spark, folder):
-    return extract(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return extract(table(spark, folder, "pages").select("page_id", "url", "html"), Scratch(spark)).select("page_id", "url", "text", "n_chars")

@@ -40,8 +40,9 @@ LINK_TOP, LINK_PART = 100, 75
 FRAGMENT = 2_000_000
 VERIFY_FRAGMENTS = 4
 PIECE_BYTES = 1 << 18
-#: Pivot rounds end when the pairs left are at most this many times the postings, or after so many rounds.
-ENOUGH, MAX_ROUNDS = 2, 12
+#: Pivot rounds end when the pairs left are at most ENOUGH times the postings, when a round leaves more than the share SLOW of them,
+#: or after MAX_ROUNDS. From the second round on every n-gram has PIVOTS pivots.
+ENOUGH, SLOW, MAX_ROUNDS, PIVOTS = 4, 0.5, 8, 4
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,11 +257,12 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
             F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"))).alias("e")]
         return rows.filter(sizes & reach).select(*ends).select("e.*").distinct()
 
-    links = None
-    labelled = postings.withColumn("label", F.col("v"))
-    tried = None
+    groups, tried, previous = None, None, None
     for step in range(MAX_ROUNDS):
         # n-grams whose holders are in several groups, with the pairs they leave at most
+        labelled = postings.withColumn("label", F.col("v"))
+        if groups is not None:
+            labelled = postings.join(groups, "v", "left").withColumn("label", F.coalesce("label", "v"))
         per_label = labelled.groupBy("gram", "label").agg(F.count("*").alias("c"))
         mixed = per_label.groupBy("gram").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"))
         mixed = mixed.filter("labels > 1").select("gram", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("left"), "all")
@@ -269,31 +271,41 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
         if not left:
             break
         open_ = scratch.keep(labelled.join(mixed.select("gram"), "gram"), f"open_{step}")
-        last = left <= ENOUGH * held or step == MAX_ROUNDS - 1
+        stuck = previous is not None and left > SLOW * previous
+        last = left <= ENOUGH * held or stuck or step == MAX_ROUNDS - 1
+        previous = left
+        side = lambda k: [F.col("v").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "place", "label")]]
         if last:
-            one = open_.select("gram", *[F.col(c).alias(f"{k}_a" if k != "v" else "a") for c, k in (("v", "v"), ("n", "n"), ("place", "place"), ("label", "label"))])
-            two = open_.select("gram", *[F.col(c).alias(f"{k}_b" if k != "v" else "b") for c, k in (("v", "v"), ("n", "n"), ("place", "place"), ("label", "label"))])
-            rows = one.join(two, "gram").filter("label_a < label_b")
+            rows = open_.select("gram", *side("a")).join(open_.select("gram", *side("b")), "gram").filter("label_a < label_b")
         else:
-            order = F.struct(F.xxhash64("v", F.lit(step)).alias("h"), F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("label").alias("label_a"))
-            pivots = open_.groupBy("gram").agg(F.min(order).alias("p")).select("gram", "p.a", "p.n_a", "p.place_a", "p.label_a")
-            two = open_.select("gram", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
-            rows = two.join(pivots, "gram").filter("label_a <> label_b")
+            seeds = range(PIVOTS if step else 1)
+            order = [F.struct(F.xxhash64("v", F.lit(step * PIVOTS + k)).alias("h"), *side("a")) for k in seeds]
+            pivots = open_.groupBy("gram").agg(*[F.min(o).alias(f"p{k}") for k, o in zip(seeds, order)])
+            drawn = F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{k}.{c}") for c in ("a", "n_a", "place_a", "label_a")]) for k in seeds])))
+            rows = open_.select("gram", *side("b")).join(pivots.select("gram", drawn.alias("p")).select("gram", "p.*"), "gram").filter("label_a <> label_b")
         pairs = possible(rows)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs_{step}")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.keep(verified(pairs), f"links_{step}")
-        links = found if links is None else links.unionByName(found)
+        links = verified(pairs)
+        if groups is None:
+            groups = components(links, scratch, f"round_{step}")
+        else:
+            # only links between groups matter now; groups that meet are merged
+            of = lambda c: groups.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}"))
+            between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            between = between.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+            merged = components(between, scratch, f"round_{step}")
+            old = groups.join(merged.select(F.col("v").alias("label"), F.col("label").alias("new")), "label", "left").select("v", F.coalesce("new", "label").alias("label"))
+            fresh = merged.join(groups, "v", "left_anti")
+            groups = scratch.keep(old.unionByName(fresh), f"groups_{step}")
         scratch.drop(f"mixed_{step}", f"open_{step}")
         if last:
             break
-        groups = components(links, scratch, f"round_{step}")
-        labelled = postings.join(groups, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    if links is None:
+    if groups is None:
         return spark.createDataFrame([], "v binary, label binary")
-    return components(links, scratch, "groups")
+    return groups
 
 
 def join_groups(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
