@@ -7,9 +7,7 @@ orders, ``lineitem`` with ``part`` prescriptions, ``documents`` echo reports.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +18,6 @@ from bedside.sources.readers import read_table
 from bedside.sources.sinks import shared_folder
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="bedside-")
-
-
 @dataclass(frozen=True)
 class Tables:
     """The given tables of one folder, scanned on demand."""
@@ -36,9 +29,8 @@ class Tables:
         return read_table(self.spark, f"{self.folder.rstrip('/')}/{name}.parquet")
 
     def scratch(self) -> str:
-        """The cluster's shared folder; a session without one gets a local folder only if it runs locally."""
-        local = self.spark.sparkContext.master.startswith("local")
-        return shared_folder(self.spark, _local_folder() if local else None)
+        """The folder all executors share."""
+        return shared_folder(self.spark)
 
     def events(self) -> DataFrame:
         return self["events"]

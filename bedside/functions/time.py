@@ -47,7 +47,7 @@ def plus_hours(ts, n: int) -> Column:
 
 
 def parse_timestamp(text) -> Column:
-    """Text to TIMESTAMP_NTZ for both file layouts, ``2191/4/1 21:45:49`` and ``2198-2-25 18:00:00``.
+    """Text to TIMESTAMP_NTZ for both file layouts, ``2040/7/9 08:05:06`` and ``2041-11-3 06:30:00``.
 
     Text that is no timestamp becomes null.
     """

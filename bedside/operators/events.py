@@ -25,9 +25,12 @@ def signed_total(
 
 
 def first_min_max(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
-    """First, smallest and largest value per key in one aggregation; ties in time take the smaller value."""
+    """First, smallest and largest value per key in one aggregation; ties in time take the smaller value.
+
+    A row without a time is first only if its key has no other.
+    """
     return df.groupBy(*keys).agg(
-        F.min(F.struct(F.col(time), F.col(value)))[value].alias(f"first_{value}"),
+        F.min(F.struct(F.col(time).isNull(), F.col(time), F.col(value)))[value].alias(f"first_{value}"),
         F.min(value).alias(f"min_{value}"),
         F.max(value).alias(f"max_{value}"),
     )

@@ -15,6 +15,8 @@ BUCKET_HOURS = 24
 # an entity with this many intervals, and this many starting within one bucket, gets narrower buckets
 CROWDED_INTERVALS = 10_000
 CROWDED_BUCKET = 500
+# copies of an interval, on average, from which an entity gets wider buckets
+MAX_COPIES = 64
 
 
 def interval_join(
@@ -33,8 +35,8 @@ def interval_join(
     ``start <= time < end``, or ``<= end`` when ``closed``; overlapping intervals multiply points. Beside the
     entity both sides carry a time bucket as equality key: a long-lived entity is spread over its buckets, and
     an interval meets only the points of the buckets it touches. An interval is repeated once per bucket, so
-    the copies are bounded by its length. ``widths``, from :func:`crowded_widths`, narrows the buckets of
-    entities with a crowd of intervals.
+    the copies are bounded by its length. ``widths``, from :func:`bounded_widths`, fits the buckets of entities
+    with crowds of intervals, or with very long ones.
 
     The bucket is not part of the result: an aggregation per (entity, time) that reused its partitioning would
     keep a crowded bucket in one task and forbid the adaptive split of a skewed join. It shuffles the partly
@@ -44,7 +46,7 @@ def interval_join(
     width = default if widths is None else F.coalesce(F.col("__w"), default)
 
     def with_width(side: DataFrame) -> DataFrame:
-        return side if widths is None else side.join(F.broadcast(widths), list(on), "left")
+        return side if widths is None else side.join(widths, list(on), "left")
 
     def bucket(at):
         return F.floor(order_micros(at) / width).cast("long")
@@ -69,18 +71,25 @@ def interval_join(
     )
 
 
-def crowded_widths(starts: DataFrame, on: Sequence[str], start: str) -> DataFrame | None:
-    """Bucket widths of entities whose intervals would crowd a bucket: their mean distance of starts.
+def bounded_widths(intervals: DataFrame, on: Sequence[str], start: str, end: str) -> DataFrame | None:
+    """Bucket widths (``__w``) of entities whose intervals would crowd a bucket or be repeated too often.
 
-    ``starts`` are the intervals or the raw readings they are built from. For intervals that follow each other
-    this is their mean length, so each is repeated about once and a point meets about two. None if there is no
-    such entity; else at most N / CROWDED_INTERVALS rows, which bounds the broadcast.
+    The width is the larger of the mean distance of starts and the mean length, which bounds the copies of an entity's intervals
+    by thrice their number whether they follow each other, overlap, or reach over all times. None if there is no such entity.
     """
-    counted = starts.select(*on, order_micros(start).alias("__t")).groupBy(*on)
-    counted = counted.agg(F.count("__t").alias("__n"), (F.max("__t") - F.min("__t")).alias("__length"))
-    gap = F.greatest(F.floor(F.col("__length") / F.col("__n")), F.lit(1)).cast("long")
-    narrow = gap * CROWDED_BUCKET < BUCKET_HOURS * MICROS_PER_HOUR
-    widths = counted.filter((F.col("__n") > CROWDED_INTERVALS) & narrow).select(*on, gap.alias("__w"))
+    low, high = order_micros(start), order_micros(end)
+    counted = intervals.select(*on, low.alias("__t"), F.greatest(high - low, F.lit(0)).cast("double").alias("__l")).groupBy(*on)
+    counted = counted.agg(
+        F.count("__t").alias("__n"),
+        (F.max("__t").cast("double") - F.min("__t").cast("double")).alias("__length"),
+        F.sum("__l").alias("__lengths"),
+    )
+    day = float(BUCKET_HOURS * MICROS_PER_HOUR)
+    n = F.col("__n")
+    width = F.greatest(F.col("__length") / n, F.col("__lengths") / n, F.lit(1.0))
+    crowded = (n > CROWDED_INTERVALS) & (F.col("__length") / n * CROWDED_BUCKET < day)
+    repeated = F.col("__lengths") / day > MAX_COPIES * n + MAX_COPIES
+    widths = counted.filter(crowded | repeated).select(*on, F.ceil(width).cast("long").alias("__w"))
     return None if widths.isEmpty() else widths
 
 
@@ -92,13 +101,9 @@ def attach_interval_value(
     start: str,
     end: str,
     value: str,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Left lookup of the interval value in force at each point.
-
-    ``sized_by`` may name the raw readings (on, start) behind ``intervals``, to be counted in their place.
-    """
-    widths = crowded_widths(intervals if sized_by is None else sized_by, on, start)
+    """Left lookup of the interval value in force at each point."""
+    widths = bounded_widths(intervals, on, start, end)
     held = interval_join(points, intervals.select(*on, start, end, value), on, time, start, end, widths=widths)
     return held.select(*points.columns, value)
 

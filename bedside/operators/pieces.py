@@ -11,7 +11,8 @@ small table with one row per piece.
 * At most N / max_rows entities are heavy and they have at most 2 N / max_rows pieces. Both small tables are
   bounded that way, which is why they are broadcast; ordinary entities have no row in either.
 * Pieces are equal widths of the order column, and pieces that are still too full because the values cluster
-  are cut once more.
+  are cut once more. Null order values have the first piece, then come minus infinity, the finite values, infinity and NaN,
+  which is the order of a window, so that the result is the same whether a key is cut or not.
 * Rows with equal order values always share a piece, so peers are never separated.
 * The shuffle on (entity, piece) is asked for explicitly. A frame that arrives partitioned by entity alone,
   say from a join, would satisfy the window too and leave a heavy entity in one task.
@@ -141,9 +142,9 @@ def _heavy(df: DataFrame, keys: Sequence[str], order: Column, max_rows: int) ->
     n, lo, hi = F.col("__n"), F.col("__lo"), F.col("__hi")
     pieces = F.ceil(n / F.lit(max_rows))
     return (
-        df.select(*keys, order.cast("double").alias("__x"))
+        df.select(*keys, F.when(_finite(order), order.cast("double")).alias("__x"))
         .groupBy(*keys)
-        .agg(F.count("__x").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
         .filter(n > max_rows)
         .select(
             *keys,
@@ -156,9 +157,22 @@ def _heavy(df: DataFrame, keys: Sequence[str], order: Column, max_rows: int) ->
 
 def _piece(order: Column) -> Column:
     """Piece number of an order value, null for keys that are not heavy."""
-    raw = F.floor((order.cast("double") - F.col("__lo")) / F.col("__width"))
-    inside = F.greatest(F.least(raw, F.col("__pieces") - 1), F.lit(0))
-    return F.when(F.col("__width") > 0, inside).when(F.col("__lo").isNotNull(), F.lit(0)).cast("long")
+    x, n = order.cast("double"), F.col("__pieces")
+    raw = F.floor((x - F.col("__lo")) / F.when(F.col("__width") > 0, F.col("__width")))
+    inside = F.greatest(F.least(raw, n - 1), F.lit(0))
+    place = (
+        F.when(x.isNull(), F.lit(0))
+        .when(F.isnan(x), n + 4)
+        .when(x == float("inf"), n + 3)
+        .when(x == float("-inf"), F.lit(1))
+        .otherwise(F.coalesce(inside, F.lit(0)) + 2)
+    )
+    return F.when(n.isNotNull(), place).cast("long")
+
+
+def _finite(order: Column) -> Column:
+    x = order.cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
 def _lookup(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -167,7 +181,7 @@ def _lookup(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return df.join(F.broadcast(renamed), match, "left").drop(*[f"__k_{k}" for k in keys])
+    return df.join(renamed, match, "left").drop(*[f"__k_{k}" for k in keys])
 
 
 def add_row_number(

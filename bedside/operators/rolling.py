@@ -11,110 +11,29 @@ from bedside.functions.time import MICROS_PER_HOUR, order_micros
 from bedside.operators import pieces
 
 
-# frames of more readings than this are summed by prefix sums: a sliding frame is summed anew for every row
-MAX_FRAME_ROWS = 2_000
-
-
-def forward_rolling_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    value: str,
-    spans: dict[str, int],
-    max_rows: int | None = pieces.MAX_ROWS,
-    sized_by: DataFrame | None = None,
-) -> DataFrame:
+def forward_rolling_sum(df: DataFrame, keys: Sequence[str], time: str, value: str, spans: dict[str, int]) -> DataFrame:
     """Sum of ``value`` from each reading until ``span`` hours later, both ends included.
 
-    ``spans`` maps output column to hours. (keys, time) must be unique. One sort by time serves all frames
-    instead of a self join. Keys with very many readings, or with many in one frame, are swept by prefix sums
-    in pieces instead; the rest use plain range frames. ``sized_by`` may name the raw rows (keys, time) behind
-    ``df``, to be counted in its place.
+    ``spans`` maps output column to hours. The time line of a key is cut into buckets as long as the longest span. Every reading
+    goes to its own bucket and, as a follower that is only summed, to the one before; so each bucket holds all its frames, range
+    frames run per (key, bucket), and a key of any size is spread over its buckets. There is one plan for all sizes. Readings at
+    one time are rows of their own; readings without a time are one another's frame, as in a window over the whole key.
     """
     rows = _placed(df, keys, time)
-    sized = rows if sized_by is None else _placed(sized_by, keys, time)
-    limit = pieces.MAX_ROWS if max_rows is None else max_rows
-    crowded = _crowded(sized, keys, max(spans.values()) * MICROS_PER_HOUR, limit)
-    if crowded.isEmpty():
-        return _sum_by_frames(rows, keys, value, spans).select(*df.columns, *spans)
-    crowded = F.broadcast(crowded)
-    plain = _sum_by_frames(rows.join(crowded, list(keys), "left_anti"), keys, value, spans)
-    swept = _sum_by_sweep(rows.join(crowded, list(keys), "left_semi"), df.columns, keys, value, spans, limit)
-    return plain.select(*df.columns, *spans).unionByName(swept)
-
-
-def _crowded(sized: DataFrame, keys: Sequence[str], reach: int, max_rows: int) -> DataFrame:
-    """Keys with more than ``max_rows`` readings, or a tenth of that and frames that hold very many of them.
-
-    There are at most 10 N / max_rows of them, which bounds their broadcast.
-    """
-    counted = sized.groupBy(*keys).agg(
-        F.count("__t").alias("__n"), (F.max("__t") - F.min("__t")).cast("double").alias("__length")
-    )
-    in_frame = F.col("__n") * float(reach) / F.greatest(F.col("__length"), F.lit(float(reach)))
-    crowded = (F.col("__n") > max_rows) | ((F.col("__n") > max_rows / 10) & (in_frame > MAX_FRAME_ROWS))
-    return counted.filter(crowded).select(*keys)
-
-
-def _sum_by_frames(rows: DataFrame, keys: Sequence[str], value: str, spans: dict[str, int]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("__t")
+    width = F.lit(max(spans.values()) * MICROS_PER_HOUR)
+    at = F.floor(F.col("__t") / width).cast("long")
+    mine = F.struct(at.alias("__bucket"), F.lit(True).alias("__own"))
+    before = F.struct((at - 1).alias("__bucket"), F.lit(False).alias("__own"))
+    placed = F.explode(F.when(F.col("__t").isNull(), F.array(mine)).otherwise(F.array(mine, before)))
+    spread = rows.withColumn("__p", placed).select("*", "__p.__bucket", "__p.__own")
+    # asked for explicitly: a frame that is partitioned by key alone would satisfy the window and keep a key in one task
+    spread = spread.drop("__p").repartition(*keys, "__bucket")
+    w = Window.partitionBy(*keys, "__bucket").orderBy("__t")
     frames = {
         name: F.sum(value).over(w.rangeBetween(Window.currentRow, span * MICROS_PER_HOUR)).cast("double")
         for name, span in spans.items()
     }
-    return rows.withColumns(frames)
-
-
-def _sum_by_sweep(
-    rows: DataFrame, columns: Sequence[str], keys: Sequence[str], value: str, spans: dict[str, int], max_rows: int
-) -> DataFrame:
-    """Rolling sums as differences of prefix sums.
-
-    Every reading puts itself and the ends of its frames on the time line. One running sum over the line,
-    readings before ends at equal times, tells the total up to each; a reading then meets its ends again by
-    (key, time). Values are summed as decimals of nine places, so that differences lose nothing however large
-    the prefix is.
-    """
-    marks = [F.struct(F.lit(0).alias("mark"), F.col("__t").alias("x"), F.struct(*columns).alias("row"))]
-    no_row = F.lit(None).cast(rows.select(F.struct(*columns)).schema[0].dataType)
-    for i, span in enumerate(spans.values(), 1):
-        end = F.col("__t") + F.lit(span * MICROS_PER_HOUR)
-        marks.append(F.struct(F.lit(i).alias("mark"), end.alias("x"), no_row.alias("row")))
-    line = rows.select(*keys, "__t", F.col(value).alias("__v"), F.explode(F.array(*marks)).alias("m"))
-    amount = F.when(F.col("m.mark") == 0, F.col("__v").cast("decimal(28,9)"))
-    line = line.select(*keys, "__t", "m.*", amount.alias("amount"))
-    line = line.withColumn("known", F.col("amount").isNotNull().cast("long"))
-
-    cut = pieces.cut_rows(line, keys, "x", max_rows)
-    cut = cut.carry(
-        {"__sum": F.sum("amount"), "__known": F.sum("known")},
-        lambda p: {
-            "__c_sum": F.sum("__sum").over(pieces.before(p)),
-            "__c_known": F.sum("__known").over(pieces.before(p)),
-        },
-    )
-    w = pieces.upto(cut.window("x", "mark"))
-    none = F.lit(0).cast("decimal(28,9)")
-    upto = F.coalesce(F.sum("amount").over(w), none) + F.coalesce("__c_sum", none)
-    seen = F.sum("known").over(w) + F.coalesce("__c_known", F.lit(0))
-    cut = cut.with_column("upto", upto).with_column("seen", seen)
-
-    def total(mark: int, column: str):
-        return F.max(F.when(F.col("mark") == mark, F.col(column)))
-
-    ends = [total(i, c).alias(f"{c}{i}") for i in range(1, len(spans) + 1) for c in ("upto", "seen")]
-    start = F.when(F.col("mark") == 0, F.col("upto") - F.coalesce("amount", none))
-    met = cut.rows.groupBy(*keys, "__t").agg(
-        F.first("row", ignorenulls=True).alias("row"),
-        F.max(start).alias("upto0"),
-        F.max(F.when(F.col("mark") == 0, F.col("seen") - F.col("known"))).alias("seen0"),
-        *ends,
-    )
-    sums = [
-        F.when(F.col(f"seen{i}") > F.col("seen0"), (F.col(f"upto{i}") - F.col("upto0")).cast("double")).alias(name)
-        for i, name in enumerate(spans, 1)
-    ]
-    return met.select("row.*", *sums)
+    return spread.withColumns(frames).filter("__own").select(*df.columns, *spans)
 
 
 def previous_reading(

@@ -37,31 +37,15 @@ def urine_output(outputevents: DataFrame) -> DataFrame:
     )
 
 
-def rolling_sums(
-    urine: DataFrame, max_rows: int | None = pieces.MAX_ROWS, sized_by: DataFrame | None = None
-) -> DataFrame:
-    """Forward 6/12/24 h urine sums (5, 11 and 23 hours ahead).
-
-    ``sized_by`` may be the raw output events, to be counted in place of ``urine``.
-    """
-    return rolling.forward_rolling_sum(
-        urine, ["icustay_id"], "charttime", "value", ROLLING_SPANS, max_rows, sized_by
-    )
+def rolling_sums(urine: DataFrame) -> DataFrame:
+    """Forward 6/12/24 h urine sums (5, 11 and 23 hours ahead)."""
+    return rolling.forward_rolling_sum(urine, ["icustay_id"], "charttime", "value", ROLLING_SPANS)
 
 
-def rolling_urine_output(
-    summed: DataFrame, weights: DataFrame, chartevents: DataFrame | None = None
-) -> DataFrame:
-    """Rolling sums with the weight in force; overlapping weight intervals repeat a reading.
-
-    ``chartevents`` lets crowded stays be found among the charted weights instead of the built intervals.
-    """
-    charted = None
-    if chartevents is not None:
-        of_weight = F.col("itemid").isin(*fluids.ADMIT_WEIGHT, *fluids.DAILY_WEIGHT)
-        charted = chartevents.filter(of_weight).select("icustay_id", F.col("charttime").alias("starttime"))
+def rolling_urine_output(summed: DataFrame, weights: DataFrame) -> DataFrame:
+    """Rolling sums with the weight in force; overlapping weight intervals repeat a reading."""
     weighed = intervals.attach_interval_value(
-        summed, weights, ["icustay_id"], "charttime", "starttime", "endtime", "weight", sized_by=charted
+        summed, weights, ["icustay_id"], "charttime", "starttime", "endtime", "weight"
     )
     return weighed.select("icustay_id", "charttime", "weight", *ROLLING_SPANS)
 
@@ -247,7 +231,9 @@ def height_weight(chartevents: DataFrame) -> DataFrame:
     columns = []
     for name, mine in (("height", F.col("is_height")), ("weight", ~F.col("is_height"))):
         amount = F.when(mine, F.col("amount"))
-        first = F.min(F.when(mine, F.struct("charttime", "amount")))["amount"]
+        # a reading of unknown time is first only if there is no other
+        place = F.struct(F.col("charttime").isNull(), F.col("charttime"), F.col("amount"))
+        first = F.min(F.when(mine, place))["amount"]
         columns += [
             F.round(first, 2).alias(f"{name}_first"),
             F.round(F.min(amount), 2).alias(f"{name}_min"),

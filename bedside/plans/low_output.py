@@ -1,4 +1,4 @@
-"""The oliguria study: index events, case/control cohort and its wide measurement windows."""
+"""The low-output study: index events, case/control cohort and its wide measurement windows."""
 
 from __future__ import annotations
 
@@ -73,8 +73,8 @@ def clean_base(base: DataFrame, urine: DataFrame) -> DataFrame:
     return cohort.exclude_if_exists(base, urine.filter(F.col("value") < 0), ["icustay_id"])
 
 
-def oliguria_events(summed: DataFrame, clean: DataFrame, chartevents: DataFrame) -> DataFrame:
-    """First oliguria of each clean stay with a sign of circulation in the following day.
+def low_output_events(summed: DataFrame, clean: DataFrame, chartevents: DataFrame) -> DataFrame:
+    """First low output of each clean stay with a sign of circulation in the following day.
 
     Works on the rolling sums before weights are attached: the weight is not used and would only repeat rows.
     The sign is any positive heart rate or systolic reading, so one good reading outweighs a zero (literal).
@@ -195,9 +195,9 @@ def run_study(
     urine = keep("urineoutput", concepts.urine_output(outputevents))
     echo = concepts.echo_data(noteevents)
     weights = concepts.weight_durations(chartevents, icustays, echo, max_rows=max_rows)
-    summed = concepts.rolling_sums(urine, max_rows, sized_by=outputevents)
+    summed = concepts.rolling_sums(urine)
     clean = keep("base_cohort", clean_base(base_cohort(icustay_detail, labevents), urine))
-    events = keep("oliguria", oliguria_events(summed, clean, chartevents))
-    study = keep("oliguria_base_cohort", study_cohort(clean, events))
-    rolling = concepts.rolling_urine_output(summed, weights, chartevents)
+    events = keep("low_output", low_output_events(summed, clean, chartevents))
+    study = keep("low_output_cohort", study_cohort(clean, events))
+    rolling = concepts.rolling_urine_output(summed, weights)
     return Study(urine, rolling, events, study, cohort_vitals(study, chartevents), cohort_labs(study, labevents))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bedside.functions.time import parse_timestamp
@@ -26,11 +26,17 @@ def read_csv(
 ) -> DataFrame:
     """Quoted CSV with a declared schema, empty cells as null, bad rows as an error.
 
-    Columns in ``timestamps`` are declared as text and parsed here, because both ``2191/4/1 21:45:49`` and
-    ``2198-2-25 18:00:00`` occur.
+    Columns in ``timestamps`` are declared as text and parsed here, because both ``2040/7/9 08:05:06`` and
+    ``2041-11-3 06:30:00`` occur.
     """
     raw = spark.read.csv(path, schema=schema, header=header, mode="FAILFAST", enforceSchema=False if header else True)
-    return raw.withColumns({c: parse_timestamp(c) for c in timestamps})
+    return raw.withColumns({c: _time_or_error(c) for c in timestamps})
+
+
+def _time_or_error(name: str) -> Column:
+    unreadable = F.col(name).isNotNull() & parse_timestamp(name).isNull()
+    message = F.concat(F.lit(f"column {name} holds no timestamp: "), F.col(name))
+    return F.when(unreadable, F.raise_error(message).cast("timestamp_ntz")).otherwise(parse_timestamp(name))
 
 
 def read_wide_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

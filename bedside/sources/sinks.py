@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Sequence
 
@@ -30,20 +31,31 @@ def materialize_table(df: DataFrame, name: str, bucket_by: Sequence[str] = (), b
 
 
 def keep_in(folder: str):
-    """A ``keep(name, frame)`` that materializes under a fresh subfolder of ``folder``."""
+    """A ``keep(name, frame)`` that materializes under a fresh subfolder of ``folder``, which goes when the driver ends."""
     run = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    return lambda name, df: materialize(df, f"{run}/{name}")
 
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        atexit.register(_remove, df.sparkSession, run)
+        return materialize(df, f"{run}/{name}")
 
-def shared_folder(spark: SparkSession, default: str | None = None) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``.
+    return keep
 
-    ``default`` serves sessions without that setting, such as tests; without either this raises.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or default
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jvm is None:
+        return
+    try:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session may be ending; a leftover folder does no harm
+        return
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder, else the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def write_features(df: DataFrame, path: str, id_name: str | None = None, order: Sequence[str] = ()) -> None:

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from bedside.operators import intervals
 
@@ -74,7 +75,7 @@ def test_lookup_in_a_crowd(frame, monkeypatch, crowded):
     held = [(1, at(s), at(e), float(s)) for s, e in zip(starts, [*starts[1:], 5200])] + [(1, at(100), at(3000), -1.0), (2, at(0), at(4000), 0.5)]
     points = [(k, at(rng.randrange(5300))) for k in (1, 1, 1, 2) for _ in range(40)]
     intervals_df = frame("k bigint, s timestamp_ntz, e timestamp_ntz, w double", held)
-    assert (intervals.crowded_widths(intervals_df, ["k"], "s") is not None) == crowded
+    assert (intervals.bounded_widths(intervals_df, ["k"], "s", "e") is not None) == crowded
     out = intervals.attach_interval_value(frame("k bigint, t timestamp_ntz", points), intervals_df, ["k"], "t", "s", "e", "w")
     expected = []
     for k, t in points:
@@ -83,6 +84,18 @@ def test_lookup_in_a_crowd(frame, monkeypatch, crowded):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
 
 
+def test_lookup_in_a_crowd_of_overlaps(spark):
+    """Many long intervals that start almost at once, and one that reaches over all times."""
+    held = spark.range(12_000).selectExpr(
+        "1L AS k", "timestampadd(MICROSECOND, id, timestamp_ntz'2024-01-01') AS s", "timestampadd(MICROSECOND, id, timestamp_ntz'2024-01-04') AS e",
+        "cast(id AS double) AS w")
+    ages = spark.sql("SELECT 1L AS k, timestamp_ntz'0001-01-01' AS s, timestamp_ntz'9999-12-31' AS e, -1.0D AS w")
+    points = spark.sql("SELECT 1L AS k, timestamp_ntz'2024-01-02' AS t UNION ALL SELECT 1L, timestamp_ntz'2031-01-01' UNION ALL SELECT 2L, timestamp_ntz'2031-01-01'")
+    out = intervals.attach_interval_value(points, held.unionByName(ages), ["k"], "t", "s", "e", "w")
+    found = {(r["k"], r["t"].year): r["n"] for r in out.groupBy("k", "t").agg(F.count("w").alias("n")).collect()}
+    assert found == {(1, 2024): 12_001, (1, 2031): 1, (2, 2031): 0}
+
+
 def test_closed_window_holds_both_ends(frame, rows):
     points = frame("k bigint, t timestamp_ntz", [(1, at(0)), (1, at(1440)), (1, at(1441))])
     windows = frame(DDL, [(1, at(0), at(1440))])

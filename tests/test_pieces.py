@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from bedside.functions.time import order_micros
 from bedside.operators import pieces
 
 
@@ -86,3 +88,24 @@ def test_heavy_plan_spreads_by_piece(skewed):
     _, df = skewed
     plan = pieces.add_row_number(df, ["k"], "x", ["id"], "rn", 10)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k#" in plan and f"{pieces.PIECE}#" in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("order", ["d", "t"])
+def test_cut_and_plain_agree_on_hostile_order_values(frame, order):
+    """Unknown, infinite and undefined order values, ties and outliers give the same rows whether a key is cut or not."""
+    from datetime import datetime, timedelta
+
+    inf = float("inf")
+    numbers = [None, None, None, None, -inf, -inf, -1e300, 0.0, 0.0, 0.5, 1.0, 1.0, 1.0, 1.0, 2.0, 3.0, 1e300, inf, inf, float("nan"), float("nan")]
+    times = [None if x is None or x != x else datetime(1, 1, 1) if x < -1 else datetime(9999, 1, 1) if x > 9 else datetime(2024, 1, 1) + timedelta(hours=x) for x in numbers]
+    df = frame("k bigint, d double, t timestamp_ntz, v bigint", [(1, d, t, i) for i, (d, t) in enumerate(zip(numbers, times))] + [(2, 1.0, None, 99), (None, 1.0, None, 98)])
+    place = F.col("d") if order == "d" else order_micros("t")
+
+    def result(limit):
+        out = df.withColumn("o", place)
+        out = pieces.add_row_number(out, ["k"], "o", ["v"], "n", limit)
+        out = pieces.add_previous(out, ["k"], "o", {"p": "v"}, ["v"], limit)
+        out = pieces.add_next(out, ["k"], "o", {"f": "v"}, ["v"], limit)
+        return sorted(map(str, (tuple(r[c] for c in ("k", "v", "n", "p", "f")) for r in out.collect())))
+
+    assert result(3) == result(10**6)

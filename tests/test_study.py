@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from bedside.operators import cohort, pivots
-from bedside.plans import oliguria
+from bedside.plans import low_output
 from bedside.sources.schemas import TABLES
 from bedside.sources.sinks import keep_in
 from bedside.specs.measurements import LABS, OLD_LABS, VITALS
@@ -42,7 +42,7 @@ def test_eligibility(frame, rows):
         lab(5, 50912, -7, 9.0), lab(5, 50912, 0, 4.0), lab(5, 50912, 0, 5.0), lab(5, 50912, 96, 9.0),  # tie: one passes; ends inclusive
         lab(10, 50912, 1, None), lab(10, 50912, 2, 1.0),  # first value unknown
     ])
-    assert rows(oliguria.base_cohort(stays, labs), "icustay_id") == [(1,), (3,), (5,)]
+    assert rows(low_output.base_cohort(stays, labs), "icustay_id") == [(1,), (3,), (5,)]
 
 
 def test_first_event_and_gate(frame, rows):
@@ -85,7 +85,7 @@ def test_vital_bounds(frame):
         chart(1, 223761, 14, 98.6), chart(1, 676, 15, 37.5), chart(1, 223761, 16, 70.0), chart(1, 676, 17, 50.0),
         chart(1, 211, 18, 70.0, 1), chart(1, 211, 19, 71.0, 0), chart(1, 999, 20, 71.0), chart(1, 211, 34.5, 1.0),
     ])
-    out = {r["charttime"]: r for r in oliguria.cohort_vitals(spine, df).collect()}
+    out = {r["charttime"]: r for r in low_output.cohort_vitals(spine, df).collect()}
     assert set(out) == {at(h) for h in (10, 34, 33, 11, 12, 13, 14, 15, 16, 17, 19)}
     assert out[at(10)]["heartrate"] == 90.0 and out[at(34)]["spo2"] == 100.0 and out[at(33)]["spo2"] is None
     assert out[at(11)]["heartrate"] is None and out[at(12)]["heartrate"] is None and out[at(13)]["heartrate"] == 299.9
@@ -99,11 +99,11 @@ def test_lab_pivots(frame):
         lab(1, 50821, 4, 90.0), lab(1, 50821, 3.9, 90.0), lab(1, 50802, 5, -3.0), lab(1, 51466, 6, None, "NEG"),
         lab(1, 51466, 6, None, "TR"), lab(1, 50821, 7, 800.0), lab(1, 50822, 8, 4.0),
     ])
-    new = {r["charttime"]: r for r in oliguria.cohort_labs(spine, df).collect()}
+    new = {r["charttime"]: r for r in low_output.cohort_labs(spine, df).collect()}
     assert set(new) == {at(4), at(5), at(7)} and new[at(5)]["be"] is None and new[at(7)]["po2"] == 800.0
     assert len(LABS) == 53 and len(OLD_LABS) == 37 and len(VITALS) == 7
     events = spine.select("icustay_id", "intime", "og_starttime")
-    old = {r["charttime"]: r for r in oliguria.old_labs(events, spine.drop("intime", "og_starttime"), df).collect()}
+    old = {r["charttime"]: r for r in low_output.old_labs(events, spine.drop("intime", "og_starttime"), df).collect()}
     assert old[at(6)]["urine_blood"] == "TR" and old[at(7)]["po2"] is None and old[at(8)]["potassium"] == 4.0
 
 
@@ -112,9 +112,9 @@ def test_relative_slices(frame, rows):
         (1, at(-3), 0.0), (1, at(0), 1.0), (1, at(24), 2.0), (1, at(24.5), 3.0), (1, at(40), 4.0), (1, at(40.1), 5.0), (2, at(0), 6.0),
     ])
     events = frame("icustay_id bigint, intime timestamp_ntz, og_starttime timestamp_ntz", [(1, at(0), at(40)), (2, at(0), None)])
-    assert rows(oliguria.first_day(wide, events), "x", "charthour") == [(1.0, 0.0), (2.0, 24.0), (6.0, 0.0)]
-    assert rows(oliguria.first_day(wide, events, 6), "x", "charthour")[0] == (0.0, -3.0)
-    assert rows(oliguria.last_day(wide, events), "x", "charthour") == [(2.0, 8.0), (3.0, 8.5), (4.0, 24.0)]
+    assert rows(low_output.first_day(wide, events), "x", "charthour") == [(1.0, 0.0), (2.0, 24.0), (6.0, 0.0)]
+    assert rows(low_output.first_day(wide, events, 6), "x", "charthour")[0] == (0.0, -3.0)
+    assert rows(low_output.last_day(wide, events), "x", "charthour") == [(2.0, 8.0), (3.0, 8.5), (4.0, 24.0)]
     line = pivots.timeline(wide, events, ["icustay_id"], "intime", "og_starttime")
     assert rows(line.filter("x = 3.0"), "charttime_h", "window_start_h", "og_start_h", "window_end_h") == [(24.5, 16.0, 40.0, 64.0)]
     episodes = frame("icustay_id bigint, starttime timestamp_ntz, endtime timestamp_ntz", [(1, at(1.26), at(9))])
@@ -122,7 +122,7 @@ def test_relative_slices(frame, rows):
 
 
 def test_whole_study(frame, rows, tmp_path):
-    """Stay 1 has oliguria after 30 h, 2 never, 3 too early, 4 has a negative volume, 5 no circulation."""
+    """Stay 1 has low output after 30 h, 2 never, 3 too early, 4 has a negative volume, 5 no circulation."""
     stays = [detail(s) for s in range(1, 6)]
     labs = [lab(s, 50912, h, 1.0) for s in range(1, 6) for h in (1, 2)] + [lab(1, 50821, 7, 95.0), lab(2, 50821, 7, 96.0)]
     urine = []
@@ -132,7 +132,7 @@ def test_whole_study(frame, rows, tmp_path):
             urine.append((s, 40055, at(h), 10.0 if low else 100.0))
     urine.append((4, 227488, at(50), 1000.0))
     beats = [chart(s, 211, h, 0.0 if s == 5 and h >= 20 else 80.0) for s in range(1, 6) for h in range(0, 96, 2)]
-    study = oliguria.run_study(
+    study = low_output.run_study(
         frame(TABLES["icustay_detail"], stays),
         frame(TABLES["icustays"], [d[:3] + d[6:8] for d in stays]),
         frame(TABLES["chartevents"], beats),
