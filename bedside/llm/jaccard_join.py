@@ -7,6 +7,7 @@ Two sets link when ``100 * intersection >= 75 * union``.
 2. Vertical partitioning: the global order of n-grams (their 64-bit hashes) is cut into fragments. Every document's set is cut
    accordingly, and each fragment is worked on alone: it counts in how many classes each n-gram occurs and keeps those of two or
    more. Frequent n-grams and large documents spread over fragments; a fragment holds about ``FRAGMENT`` n-grams at any size of the input.
+   What is kept is dealt back by class. All rows on the way are packed, one per task and fragment.
 3. Candidates. A class can link only if three quarters of its set are shared n-grams. By frequency, rarest first, two linked sets
    meet within their prefixes; the positions there bound the overlap, which drops pairs that share only frequent passages.
 4. Verify: a pair's partial overlaps are counted per (coarser) fragment and summed. Every candidate pair is counted exactly.
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedside.llm.common import Scratch, free_name, shuffle_partitions, table, text_or_empty
+from bedside.llm.common import Scratch, free_name, table, text_or_empty
 from bedside.llm.graph import components
 
 SHINGLE = 5
 #: Linked if LINK_TOP * intersection >= LINK_PART * union.
 LINK_TOP, LINK_PART = 100, 75
 #: N-grams in a fragment (about), coarser fragments for verification, bytes of text hashed at once.
-FRAGMENT = 2_000_000
+FRAGMENT = 3_000_000
 VERIFY_FRAGMENTS = 4
 PIECE_BYTES = 1 << 18
 #: Pivot rounds end when the pairs left are at most ENOUGH times the postings, when a round leaves more than the share SLOW of them,
@@ -135,25 +136,60 @@ def signed(docs: DataFrame, text: str, class_name: str, size_name: str, keep_tex
     return docs.select(*kept, text_or_empty(text).alias(hidden)).mapInArrow(sign, schema)
 
 
+def _pack(into: np.ndarray, names: np.ndarray, sizes: np.ndarray, owner: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket of ``into``: for each owner in it the name, size and count of its values, then the values.
+
+    ``into`` and ``owner`` go with the values, ``names`` and ``sizes`` with the owners; values of an owner lie side by side.
+    """
+    order = np.argsort(into.astype(np.uint16) if len(into) and into.max() < 1 << 16 else into, kind="stable")
+    into, owner, values = into[order], owner[order], [v[order] for v in values]
+    bounds = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1], [True]])) if len(into) else np.zeros(1, np.int64)
+    rows = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        mine = owner[a:b]
+        begin = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        counts = np.diff(np.append(begin, b - a)).astype("<u4")
+        parts = (struct.pack("<I", len(begin)), names[mine[begin]], sizes[mine[begin]].astype("<u4"), counts, *[v[a:b] for v in values])
+        rows.append(b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts))
+    return pa.RecordBatch.from_arrays([pa.array(into[bounds[:-1]].astype(np.int64), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "packed"])
+
+
+def _unpack(group: pa.Table, *kinds: str) -> list[np.ndarray]:
+    """(names, sizes, counts, values, ...) of all rows of a bucket."""
+    found = [[] for _ in range(3 + len(kinds))]
+    for row in group.column("packed"):
+        data = row.as_buffer()
+        (n,) = struct.unpack_from("<I", data)
+        at = 4
+        for k, kind in enumerate(("V16", "<u4", "<u4")):
+            found[k].append(np.frombuffer(data, kind, n, at))
+            at += found[k][-1].nbytes
+        m = int(found[2][-1].sum())
+        for k, kind in enumerate(kinds, 3):
+            found[k].append(np.frombuffer(data, kind, m, at))
+            at += found[k][-1].nbytes
+    return [np.concatenate(f) for f in found]
+
+
+def _order_of(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the names, whether each name in that order is a new one)."""
+    pair = names.view([("a", "<u8"), ("b", "<u8")])
+    order = np.lexsort((pair["b"], pair["a"]))
+    ordered = pair[order]
+    return order, np.concatenate([[True], ordered[1:] != ordered[:-1]])
+
+
+PACKED = "bucket bigint, packed binary"
+
+
 def _cut(n_fragments: int):
-    """Batches of texts to (fragment, segments): digests, sizes and n-grams of the documents' parts, packed."""
+    """Batches of texts to their sets, cut into fragments of the order of n-grams."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(keys, sets):
-            grams = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-            fragment = fragment_of(grams, n_fragments)
-            order = np.argsort(fragment.astype(np.uint16) if n_fragments < 1 << 16 else fragment, kind="stable")
-            grams, owner, fragment = grams[order], owner[order], fragment[order]
-            names = np.frombuffer(b"".join(keys), "V16")
-            bounds = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1], [True]]))
-            payloads = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                mine = owner[a:b]
-                begin = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-                sizes = np.diff(np.append(begin, b - a)).astype("<u4")
-                payloads.append(struct.pack("<I", len(begin)) + names[mine[begin]].tobytes() + sizes.tobytes() + grams[a:b].astype("<u8").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(fragment[bounds[:-1]].astype(np.int64)), pa.array(payloads, pa.binary())], ["fragment", "segments"])
+            grams, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+            return _pack(fragment_of(grams, n_fragments), np.frombuffer(b"".join(keys), "V16"), sizes, owner, grams.astype("<u8"))
 
         for batch in batches:
             keys, sets, size = [], [], 0
@@ -175,71 +211,74 @@ def fragment_of(grams: np.ndarray, n_fragments: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(n_fragments)) >> np.uint64(32)
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """A fragment's n-grams that occur in two classes or more: ``v, fragment, grams, uses`` per class."""
-    names, sizes, grams = [], [], []
-    for payload in group.column("segments"):
-        data = payload.as_buffer()
-        (n,) = struct.unpack_from("<I", data)
-        names.append(np.frombuffer(data, "V16", n, 4))
-        sizes.append(np.frombuffer(data, "<u4", n, 4 + 16 * n))
-        grams.append(np.frombuffer(data, "<u8", -1, 4 + 20 * n))
-    name, size, gram = np.concatenate(names), np.concatenate(sizes).astype(np.int64), np.concatenate(grams)
-    # of a class's copies the first counts
-    order = np.argsort(name.view([("a", "<u8"), ("b", "<u8")]), order=("a", "b"), kind="stable")
-    ordered = name[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    chosen = np.zeros(len(name), bool)
-    chosen[order[new]] = True
-    owner = np.repeat(np.arange(len(name)), size)
-    mine = chosen[owner]
-    owner, gram = owner[mine], gram[mine]
-    by_gram = np.argsort(gram, kind="stable")
-    ordered = gram[by_gram]
-    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    runs = np.diff(np.append(begin, len(ordered)))
-    uses = np.empty(len(gram), np.int64)
-    uses[by_gram] = np.repeat(runs, runs)
-    keep = uses > 1  # still in the order of owners
+def _shared(n_buckets: int):
+    """A fragment's n-grams that occur in two classes or more, with their number of classes, dealt by class."""
+
+    def shared(group: pa.Table) -> pa.Table:
+        name, size, count, gram = _unpack(group, "<u8")
+        # of a class's copies the first counts
+        order, new = _order_of(name)
+        chosen = np.zeros(len(name), bool)
+        chosen[order[new]] = True
+        owner = np.repeat(np.arange(len(name), dtype=np.int32), count)
+        mine = chosen[owner]
+        owner, gram = owner[mine], gram[mine]
+        by_gram = np.argsort(gram, kind="stable")
+        ordered = gram[by_gram]
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        runs = np.diff(np.append(begin, len(ordered)))
+        uses = np.empty(len(gram), "<u4")
+        uses[by_gram] = np.repeat(runs, runs)
+        keep = uses > 1  # still in the order of owners
+        owner, gram, uses = owner[keep], gram[keep], uses[keep]
+        bucket = fragment_of(_mix(name.view([("a", "<u8"), ("b", "<u8")])["a"]), n_buckets)
+        return pa.Table.from_batches([_pack(bucket[owner], name, size, owner, gram, uses)])
+
+    return shared
+
+
+ABLE = "v binary, n int, m int, grams array<bigint>"
+
+
+def _able(group: pa.Table) -> pa.Table:
+    """The classes of a bucket that can link: digest, size, number of shared n-grams, and these, rarest first."""
+    name, size, count, gram, uses = _unpack(group, "<u8", "<u4")
+    order, new = _order_of(name)
+    number = np.empty(len(name), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    owner = np.repeat(number, count)
+    m, n = np.bincount(owner, minlength=len(first)), size[first].astype(np.int64)
+    able = LINK_TOP * m >= LINK_PART * n
+    keep = able[owner]
     owner, gram, uses = owner[keep], gram[keep], uses[keep]
-    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    offsets = pa.array(np.append(begin, len(owner)).astype(np.int32))
-    fragment = group.column("fragment")[0].as_py()
-    return pa.Table.from_arrays(
-        [
-            pa.array([x.tobytes() for x in name[owner[begin]]], pa.binary()),
-            pa.array(np.full(len(begin), fragment, np.int64)),
-            pa.ListArray.from_arrays(offsets, pa.array(gram.view(np.int64) if len(gram) else np.zeros(0, np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(uses.astype(np.int32))),
-        ],
-        names=["v", "fragment", "grams", "uses"],
-    )
+    in_order = np.lexsort((gram, uses, owner))
+    offsets = np.concatenate([[0], np.cumsum(m[able])]).astype(np.int32)
+    columns = [
+        pa.array([x.tobytes() for x in name[first[able]]], pa.binary()),
+        pa.array(n[able].astype(np.int32)),
+        pa.array(m[able].astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram[in_order].view(np.int64))),
+    ]
+    return pa.Table.from_arrays(columns, names=["v", "n", "m", "grams"])
 
 
 def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """``v, label`` of the classes that link with others. ``classes`` has ``v, n`` (digest and size of each set)."""
     spark = docs.sparkSession
     total = classes.agg(F.sum("n")).first()[0] or 0
-    n_fragments = max(shuffle_partitions(spark), math.ceil(total / FRAGMENT))
-    segments = docs.select(text_or_empty(text).alias("text")).mapInArrow(_cut(n_fragments), "fragment bigint, segments binary")
-    shared = segments.groupBy("fragment").applyInArrow(_shared, "v binary, fragment bigint, grams array<bigint>, uses array<int>")
-    shared = scratch.keep(shared, "shared")
-
-    counts = shared.groupBy("v").agg(F.sum(F.size("grams")).alias("m"))
-    able = scratch.keep(counts.join(classes, "v").filter(LINK_TOP * F.col("m") >= LINK_PART * F.col("n")).select("v", "n", "m"), "able")
-    mine = shared.join(able.select("v"), "v", "left_semi")
-    parts = mine.groupBy("v", (F.col("fragment") * VERIFY_FRAGMENTS / n_fragments).cast("int").alias("part")).agg(F.flatten(F.collect_list("grams")).alias("grams"))
-    parts = scratch.keep(parts, "parts")
-
-    pairs_in_order = F.flatten(F.collect_list(F.arrays_zip(F.col("uses"), F.col("grams"))))
-    ordered = mine.groupBy("v").agg(F.sort_array(pairs_in_order).alias("z")).join(able, "v")
+    n_fragments = max(1, math.ceil(total / FRAGMENT))
+    segments = docs.select(text_or_empty(text).alias("text")).mapInArrow(_cut(n_fragments), PACKED)
+    shared = segments.groupBy("bucket").applyInArrow(_shared(n_fragments), PACKED)
+    able = scratch.keep(shared.groupBy("bucket").applyInArrow(_able, ABLE), "able")
+    parts = able.select("v", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("part"), "grams")
+    parts = parts.select("v", "part", F.filter("grams", lambda g: F.pmod(F.shiftright(g, 32), F.lit(VERIFY_FRAGMENTS)) == F.col("part")).alias("grams"))
     # the rarest n - ceil(.75 n) + 1 of all n-grams are the prefix; those in one class only come first and find no partner
     need = F.ceil(F.col("n") * LINK_PART / LINK_TOP).cast("int")
-    length = (F.col("m") - need + 1).cast("int")
-    places = F.transform(F.slice("z", F.lit(1), length), lambda x, i: F.struct(x["grams"].alias("gram"), (F.col("n") - F.col("m") + i + 1).cast("int").alias("place")))
-    postings = ordered.select("v", "n", F.explode(places).alias("p")).select("v", "n", "p.gram", "p.place")
+    prefix = F.slice("grams", F.lit(1), F.col("m") - need + 1)
+    postings = able.select("v", "n", "m", F.posexplode(prefix).alias("i", "gram"))
+    postings = postings.select("v", "n", "gram", (F.col("n") - F.col("m") + F.col("i") + 1).alias("place"))
     postings = scratch.keep(postings, "postings")
-    scratch.drop("shared")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = parts.select(F.col("v").alias("a"), "part", F.col("grams").alias("grams_a"))
