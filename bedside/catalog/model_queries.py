@@ -124,6 +124,19 @@ def filter_missing(t: Tables) -> DataFrame:
     return features.filter_missing_columns(kept, 0.5, always=["doc_id"])
 
 
+@query(
+    "filter_missing_values",
+    f"""WITH d AS ({_LABELLED_SQL}),
+    v AS (SELECT doc_id, unnest([{", ".join(f"'{c}'" for c in _FEATURE_NAMES)}]) AS variable, unnest([{", ".join(_FEATURE_NAMES)}]) AS value FROM d),
+    r AS (SELECT variable FROM v GROUP BY variable HAVING avg(CAST(value IS NULL AS INT)) <= 0.5)
+    SELECT doc_id, variable, value FROM v JOIN r USING (variable)""",
+)
+def filter_missing_values(t: Tables) -> DataFrame:
+    """The same filter in long form, so that the SQL has to find the sparse columns itself."""
+    kept = filter_missing(t)
+    return kept.unpivot(["doc_id"], [c for c in kept.columns if c != "doc_id"], "variable", "value")
+
+
 def _hash_sql(key: str, buckets: int, seed: int) -> str:
     return f"CAST(CAST('0x' || substr(md5(concat({key}, ':', '{seed}')), 1, 8) AS BIGINT) % {buckets} AS INT)"
 
