@@ -147,7 +147,7 @@ ENTRIES = "fragment bigint, entries binary"
 
 
 def _deal(rows: np.ndarray, by: np.ndarray, n_fragments: int) -> pa.RecordBatch:
-    """Rows packed by the fragment that the number ``by`` falls into."""
+    """Rows packed by the fragment that the number ``by`` falls into (evenly spread numbers; keys, as minima, are mixed first)."""
     fragment = ((by >> np.uint64(32)) * np.uint64(n_fragments)) >> np.uint64(32)
     order = np.argsort(fragment, kind="stable")
     rows, fragment = rows[order], fragment[order]
@@ -170,10 +170,10 @@ def _entries(n_fragments: int):
                 found.append(rows)
                 size += len(rows)
                 if size > 250_000:
-                    yield _deal(all_ := np.concatenate(found), all_["key"], n_fragments)
+                    yield _deal(all_ := np.concatenate(found), _mix(all_["key"]), n_fragments)
                     found, size = [], 0
             if size:
-                yield _deal(all_ := np.concatenate(found), all_["key"], n_fragments)
+                yield _deal(all_ := np.concatenate(found), _mix(all_["key"]), n_fragments)
 
     return make
 
