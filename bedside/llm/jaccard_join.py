@@ -380,10 +380,12 @@ def keep_one_per_group(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id"
     winners = labels.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.mark").alias(mark), F.lit(True).alias("wins"))
     alone = rows.filter(F.col(v).isNull()).select(mark, F.lit(False).alias("wins"))
     chosen = scratch.keep(winners.unionByName(alone.distinct()).distinct(), "chosen")
-    kept = marked.join(chosen.select(mark, "wins"), mark)
-    # equal rows of a winner stay once; a row without shingles stays as often as it comes
-    once = kept.filter("wins").drop("wins").dropDuplicates([mark])
-    return once.unionByName(kept.filter("not wins").drop("wins")).select(*[F.col(f"`{c}`") for c in columns])
+    # rows of one mark are equal: a winner stays once, a row without shingles as often as it comes
+    own, times = free_name("own", columns), free_name("times", columns)
+    kept = marked.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(own), mark).join(chosen, mark)
+    kept = kept.groupBy(mark, "wins").agg(F.first(own).alias(own), F.count("*").alias(times))
+    kept = kept.select(own, F.explode(F.sequence(F.lit(1), F.when(F.col("wins"), 1).otherwise(F.col(times)).cast("int"))))
+    return kept.select(*[F.col(own).getField(c).alias(c) for c in columns])
 
 
 def op7_jaccard_join(spark, folder):

@@ -81,9 +81,9 @@ def test_pipeline_against_brute_force(spark, docs, scratch, tmp_path):
     from bedside.llm import piece_scan
 
     rnd = random.Random(21)
-    stop = "the of and a "
+    stops = "the of and a to in is that it for on with as was at by".split()
     texts = [t for _, t, _ in near_copies(rnd)] + repeats(rnd)
-    texts = [t if t is None or i % 5 == 0 else t + " " + stop * (len(t.split()) // 12 + 1) + prose(rnd, 12, 9999) for i, t in enumerate(texts)]
+    texts = [t if t is None or i % 5 == 0 else t + " " + " ".join(rnd.choices(stops, k=len(t.split()) // 9 + 3)) + " " + prose(rnd, 12, 9999) for i, t in enumerate(texts)]
     rows = [(i if i % 17 else None, t, ["a", "b", "c", None][i % 4]) for i, t in enumerate(texts)]
     rows += [(500, rows[40][1], "a"), rows[41]]
     folder = tmp_path / "tables"
