@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +54,13 @@ class Scratch:
         base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         self.spark = spark
         self.folder = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        self.latest: dict[str, str] = {}
+        self.number = count()
         atexit.register(self._delete, self.folder)
 
     def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        path = f"{self.folder}/{name}"
+        """A relation read back from files of its own; a second one of that name leaves the first alone."""
+        path = self.latest[name] = f"{self.folder}/{name}-{next(self.number)}"
         df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -65,7 +69,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self._delete(f"{self.folder}/{name}")
+            self._delete(self.latest.pop(name))
 
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext
