@@ -279,6 +279,12 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
     postings = able.select("v", "n", "m", F.posexplode(prefix).alias("i", "gram"))
     postings = postings.select("v", "n", "gram", (F.col("n") - F.col("m") + F.col("i") + 1).alias("place"))
     postings = scratch.keep(postings, "postings")
+    # n-grams held by one class in its prefix join nothing; of n-grams with the same holders the first in order does for all
+    # (it comes first in each of them, which the sum of places shows)
+    same = (F.bit_xor(F.xxhash64("v")).alias("h1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("h2"), F.count("*").alias("holders"))
+    grams = postings.groupBy("gram").agg(*same, F.sum("place").alias("places")).filter("holders > 1")
+    grams = grams.groupBy("h1", "h2", "holders").agg(F.min(F.struct("places", "gram"))["gram"].alias("gram")).select("gram")
+    postings = scratch.keep(postings.join(grams, "gram", "left_semi"), "joining")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = parts.select(F.col("v").alias("a"), "part", F.col("grams").alias("grams_a"))
@@ -298,10 +304,10 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
 
     groups, tried, previous = None, None, None
     for step in range(MAX_ROUNDS):
-        # n-grams whose holders are in several groups, with the pairs they leave at most
+        # n-grams whose holders are in several groups, with the pairs they leave at most; others are done with
         labelled = postings.withColumn("label", F.col("v"))
         if groups is not None:
-            labelled = postings.join(groups, "v", "left").withColumn("label", F.coalesce("label", "v"))
+            labelled = scratch.keep(postings.join(groups, "v", "left").withColumn("label", F.coalesce("label", "v")), f"labelled_{step}")
         per_label = labelled.groupBy("gram", "label").agg(F.count("*").alias("c"))
         mixed = per_label.groupBy("gram").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"))
         mixed = mixed.filter("labels > 1").select("gram", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("left"), "all")
@@ -310,6 +316,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
         if not left:
             break
         open_ = scratch.keep(labelled.join(mixed.select("gram"), "gram"), f"open_{step}")
+        postings = open_.drop("label")
         stuck = previous is not None and left > SLOW * previous
         last = left <= ENOUGH * held or stuck or step == MAX_ROUNDS - 1
         previous = left
@@ -339,7 +346,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
             old = groups.join(merged.select(F.col("v").alias("label"), F.col("label").alias("new")), "label", "left").select("v", F.coalesce("new", "label").alias("label"))
             fresh = merged.join(groups, "v", "left_anti")
             groups = scratch.keep(old.unionByName(fresh), f"groups_{step}")
-        scratch.drop(f"mixed_{step}", f"open_{step}")
+        scratch.drop(f"mixed_{step}")
         if last:
             break
     if groups is None:
