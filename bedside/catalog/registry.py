@@ -38,10 +38,10 @@ def sql_rounded(expression: str, digits: int = 2) -> str:
 def merged_sql(source: str, key: str) -> str:
     """Unions of touching intervals of ``source`` (``key, starttime, endtime``): starts and ends are marks on the time line, a running
     count says how many intervals are open, and a mark that finds none open begins a new island."""
-    order = f"PARTITION BY {key} ORDER BY at, step DESC"
+    order = f"PARTITION BY {key} ORDER BY moment, step DESC"
     return f"""
-    SELECT {key}, min(at) AS starttime, max(at) AS endtime
+    SELECT {key}, min(moment) AS starttime, max(moment) AS endtime
     FROM (SELECT *, sum(CASE WHEN step = 1 AND n_open = 1 THEN 1 ELSE 0 END) OVER ({order}, step * n_open ROWS UNBOUNDED PRECEDING) AS island
           FROM (SELECT *, sum(step) OVER ({order} ROWS UNBOUNDED PRECEDING) AS n_open
-                FROM (SELECT {key}, unnest([starttime, endtime]) AS at, unnest([1, -1]) AS step FROM {source} WHERE endtime >= starttime)))
+                FROM (SELECT {key}, unnest([starttime, endtime]) AS moment, unnest([1, -1]) AS step FROM {source} WHERE endtime >= starttime)))
     GROUP BY {key}, island"""
