@@ -24,8 +24,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +36,8 @@ from pyspark.sql import types as T
 from bedside.llm.common import Scratch, free_name, shuffle_partitions, table, text_or_empty
 
 CHUNK = 16_384
-WORDS_KEPT = 400_000
-PAIRS_KEPT = 2_000_000
+WORDS_KEPT = 300_000
+PAIRS_KEPT = 500_000
 SPACE = "▁"
 
 
@@ -61,7 +64,8 @@ class Model:
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         self._fits: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        #: Pieces that are their own encoding.
+        self.good = {p for p in self.ids if len(p) == 1 or len(self.merges(p)) == 1}
         self.words = Words(self)
 
     def merges(self, text: str) -> list[str]:
@@ -84,21 +88,15 @@ class Model:
 
     def whole(self, piece: str) -> bool:
         """Whether a character or piece is its own encoding."""
-        found = self._whole.get(piece)
-        if found is None:
-            found = self._whole[piece] = len(piece) == 1 or (piece in self.ids and len(self.merges(piece)) == 1)
-        return found
+        return len(piece) == 1 or piece in self.good
 
     def fits(self, a: str, b: str) -> bool:
-        if a[-1] + b[0] not in self.inside:
-            return True
-        if a + b in self.ids and self.whole(a + b):
-            return False
+        """Whether two pieces side by side are the encoding of their joined text."""
         found = self._fits.get((a, b))
         if found is None:
             if len(self._fits) > PAIRS_KEPT:
                 self._fits.clear()
-            found = self._fits[a, b] = self.merges(a + b) == [a, b]
+            found = self._fits[a, b] = a[-1] + b[0] not in self.inside or (a + b not in self.good and self.merges(a + b) == [a, b])
         return found
 
     def forced(self, text: str, i: int) -> bool:
@@ -111,18 +109,22 @@ class Model:
         """
         n = len(text)
         last: list[str | None] = [None] * (n + 1)
-        ids, prefixes, whole, fits = self.ids, self.prefixes, self.whole, self.fits
+        good, prefixes, known, fits = self.good, self.prefixes, self._fits.get, self.fits
         for start in range(n):
             before = last[start] if start else entry
             if start and before is None:
                 continue
             for end in range(start + 1, n + 1):
                 piece = text[start:end]
-                one = end == start + 1
-                if not one and piece not in prefixes:
+                if last[end] is None and (piece in good or end == start + 1) and (start or end > beyond):
+                    if before is not None:
+                        fit = known((before, piece))
+                        if fit is None:
+                            fit = fits(before, piece)
+                    if before is None or fit:
+                        last[end] = piece
+                if piece not in prefixes:
                     break
-                if last[end] is None and (start or end > beyond) and (one or piece in ids) and whole(piece) and (before is None or fits(before, piece)):
-                    last[end] = piece
         return last
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -204,6 +206,22 @@ class Model:
 PARTS = re.compile(r" *[^ \n]+|\n| +(?=\n|\Z)")
 
 
+#: Documents that a worker holds as lists at once.
+PIECE = 256
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, PIECE):
+        yield batch.slice(at, PIECE)
+
+
+def _id_lists(found: list[list[int]]) -> pa.Array:
+    flat = np.fromiter(chain.from_iterable(found), np.int32)
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 class Words(dict):
     """Ids by word; a word is cut at its forced boundaries, and the parts are remembered too."""
 
@@ -281,9 +299,9 @@ def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: s
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
-        for batch in batches:
+        for batch in (piece for whole_ in batches for piece in _slices(whole_)):
             found = [model.encode(" " + t) if t else [] for t in batch.column(len(own)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(found, pa.list_(pa.int32()))], [*own, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], _id_lists(found)], [*own, ids])
 
     short = read.filter(size <= chunk).mapInArrow(whole, schema)
 
@@ -306,27 +324,32 @@ def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: s
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
-        for batch in batches:
+        for batch in (piece for whole_ in batches for piece in _slices(whole_)):
             rows = zip(*(batch.column(c).to_pylist() for c in ("left", "body", "last")))
             found = [json.dumps(model.transfer(*row)) for row in rows]
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(part), pa.array(found, pa.string())], [key, part, "matrix"])
 
-    def borders(pdf):
-        pdf = pdf.sort_values(part)
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read_matrix = lambda t: {tuple(e): {tuple(x) for x in exits} for e, exits in json.loads(t)}
-        found = scan([read_matrix(t) for t in pdf["matrix"]])
-        pdf["enter"], pdf["leave"] = [a for a, _ in found], [b for _, b in found]
-        return pdf[[key, part, "enter", "leave"]]
+        for batch in batches:
+            rows = []
+            for name, chunks_ in zip(batch.column(key).to_pylist(), batch.column("matrices")):
+                found = scan([read_matrix(m["matrix"]) for m in chunks_.as_py()])
+                rows += [(name, k, enter, leave) for k, (enter, leave) in enumerate(found)]
+            columns = zip(*rows) if rows else [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [key, part, "enter", "leave"])
 
     transfer = chunks.select(key, part, "left", "body", "last").mapInArrow(matrices, f"`{key}` bigint, `{part}` int, matrix string")
-    edges = transfer.groupBy(key).applyInPandas(borders, f"`{key}` bigint, `{part}` int, enter int, leave int")
+    of_document = transfer.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(part, "matrix"))).alias("matrices"))
+    edges = of_document.mapInArrow(borders, f"`{key}` bigint, `{part}` int, enter int, leave int")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
-        for batch in batches:
+        for batch in (piece for whole_ in batches for piece in _slices(whole_)):
             rows = zip(*(batch.column(c).to_pylist() for c in ("left", "body", "enter", "leave")))
             found = [model.encode((left + body)[len(left) - a : len(left) + len(body) - b]) for left, body, a, b in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(part), pa.array(found, pa.list_(pa.int32()))], [key, part, ids])
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(part), _id_lists(found)], [key, part, ids])
 
     pieces = chunks.select(key, part, "left", "body").join(edges, [key, part]).select(key, "left", "body", "enter", "leave", part)
     pieces = pieces.mapInArrow(traced, f"`{key}` bigint, `{part}` int, `{ids}` array<int>")
@@ -337,15 +360,38 @@ def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: s
     return short.unionByName(long_rows).withColumn(n_tokens, F.size(ids).cast("long"))
 
 
+_PIECES: dict[str, pa.Array] = {}
+
+
+def piece_bytes(path: str) -> pa.Array:
+    """The bytes of every piece by id, for decoding."""
+    if path not in _PIECES:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        texts = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
+        _PIECES[path] = pa.array(texts, pa.binary())
+    return _PIECES[path]
+
+
+def strip(text: str) -> str:
+    """Without the space that encoding puts before a text."""
+    return text[1:] if text[:1] == " " else text
+
+
 def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """``encoded`` with ``into``: the text of ``ids`` (null: empty) in place of them."""
     own = [c for c in encoded.columns if c != ids]
     schema = encoded.select(*[F.col(f"`{c}`") for c in own]).schema.add(into, "string")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(model_path)
-        for batch in batches:
-            found = [model.decode(x.as_py() or ()) for x in batch.column(len(own))]
+        pieces = piece_bytes(model_path)
+        for batch in (piece for whole_ in batches for piece in _slices(whole_)):
+            lists = batch.column(len(own)).fill_null([])
+            begin = np.asarray(lists.offsets)
+            taken = pieces.take(lists.flatten())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin - begin[0]), taken), b"")
+            found = [strip(x.decode("utf-8", "replace")) for x in joined.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(found, pa.string())], [*own, into])
 
     return encoded.select(*[F.col(f"`{c}`") for c in own], ids).mapInArrow(texts, schema)
