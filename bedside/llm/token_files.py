@@ -40,12 +40,12 @@ from bedside.llm.common import Scratch, shuffle_partitions, table, text_or_empty
 
 END_ID = 1
 SHARD_IDS = 1 << 20
-PIECE = 1024
+PIECE = 2048
 ROUNDS = 4
 ROUND_RULES = 3000
 MIN_COUNT = 8
 MAGIC = b"RPR1"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SPECIAL_CASE = re.compile("[\u0130\u03a3]")  # letters whose lower case depends on the place or is longer
 SCHEMA = "part int, shard int, n_ids bigint, doc_ids array<bigint>, block binary"
