@@ -403,3 +403,30 @@ def test_held_out_labels_are_not_read(spark, docs, scratch):
     second = x.score_documents(docs(rows), spark.createDataFrame(turned, kinds), scratch)
     key = lambda df: sorted((str(r.doc_id), round(r.score, 9)) for r in df.collect())
     assert key(first) == key(second)
+
+
+def test_inflected_abuse_becomes_voters(spark, docs, scratch):
+    from bedside.llm import toxicity as x
+
+    rnd, rows, marks = random.Random(14), [], []
+    forms = ["morons", "losers", "idiotic", "stupidly", "scumbag", "fucking", "shitty", "trashy", "trashier"]
+    forms += [f"{chr(97 + i // 26)}{chr(97 + i % 26)}zz" for i in range(45)]  # more terms than a long has bits, each in under 2%
+    for i in range(4320):
+        words = prose(rnd, 20, 500).split()
+        if i % 4 == 0:
+            words.insert(rnd.randrange(20), forms[i // 4 % len(forms)])
+        rows.append((i, " ".join(words), "s"))
+        marks.append((i, 1, int(i % 4 == 0)))
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    found = x.score_documents(docs(rows), labels, scratch).collect()
+    wrong = [r.doc_id for r in found if r.predicted != int(r.doc_id % 4 == 0)]
+    assert len(wrong) <= 0.002 * len(rows), wrong[:20]
+
+
+def test_words_fire_their_most_specific_voter(docs):
+    from bedside.llm import toxicity as x
+
+    voters = x.Voters(("grump", "idiots"), ("grump", "idiot", "id"))
+    cases = {"Grump": [0], "grumping": [2], "idiots, IDIOTIC": [1, 3], "idea\ngrump grumps": [0, 2, 4], "lucid regrump": [], "please": [10], None: []}
+    found = docs(list(cases)).select("text", voters.mask(F.coalesce("text", F.lit(""))).alias("mask")).collect()
+    assert {r.text: r["mask"] for r in found} == cases
