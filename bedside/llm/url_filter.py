@@ -6,11 +6,12 @@ longest fitting rule gives the verdict.
 
 Language models. Two smoothed variable-order Markov models (Witten-Bell interpolation of contexts of 4 to 0 characters) are
 estimated from rejected and accepted URLs: rejected are those whose host holds a seed word, accepted the others that an allow rule
-fits. What block rules catch trains neither: they name places, and the same hosts go on elsewhere. What the rules look at (the registered domain and the first path segment) is left out of the
-modelled string, so that the models learn from the rest of the URL; digits are folded to ``0``. Counts come from four fifths
+fits. What block rules catch trains neither: they name places, and the same hosts go on elsewhere. The models read the whole URL
+after ``://``: host, path, query and fragment; only the longest end of the host that a rule names is left out (unless it is the whole
+host), so that the models learn from the rest; digits are folded to ``0``. Counts come from four fifths
 of the labelled strings. A URL's score is the mean over its characters of log P(accepted) - log P(rejected). The held-out fifth
 of the accepted strings calibrates the limit: mean minus ``STRICTNESS`` standard deviations of their scores. No rule and a score
-below the limit: block; else allow.
+below the limit: block; else allow. The limit, and the shares of the held-out accepted and rejected URLs below it, are logged.
 
 Everything is a DataFrame expression. Equal strings are counted before their n-grams are made, and the n-gram tables, which
 grow with the input, are joined, not broadcast by hint; joins with frequent n-grams or strings are left to the adaptive skew join.
@@ -21,6 +22,8 @@ limit is at most 0). Repeated rows get the same verdict. An empty table gives no
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +38,22 @@ STRICTNESS = 3.0
 ALPHABET = 256.0
 PAD = "\u0001"
 
+log = logging.getLogger(__name__)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
-    pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    part = lambda n: F.coalesce(F.regexp_extract(url, pattern, n), F.lit(""))
-    return F.translate(part(1), _UPPER, _LOWER), part(2)
+    return F.translate(_part(url, 1), _UPPER, _LOWER), _part(url, 2)
+
+
+def url_rest(url: Column) -> Column:
+    """Query and fragment, with their signs."""
+    return _part(url, 3)
+
+
+def _part(url: Column, n: int) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$", n), F.lit(""))
 
 
 def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -54,11 +66,13 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def modelled(host: Column, path: Column) -> Column:
-    """What the models read: the host without its last two labels, a bar, and the path after its first segment; digits as 0."""
-    front = F.regexp_replace(host, r"\.?[^.]+\.[^.]+$", "")
-    rest = F.regexp_replace(path, r"^/[^/]*", "")
-    return F.regexp_replace(F.concat(front, F.when(F.concat(front, rest) != "", F.lit("|")).otherwise(""), rest), "[0-9]", "0")
+def modelled(host: Column, path: Column, rest: Column, rules=RULES) -> Column:
+    """What the models read: the host without the longest end that a rule names, a bar, path, query and fragment; digits as 0."""
+    front = host
+    for name in sorted({rule.partition("/")[0] for rule, _ in rules}, key=len):  # the longest is put on last, outermost
+        front = F.when(host.endswith("." + name), F.substring(host, F.lit(1), F.char_length(host) - len(name) - 1)).otherwise(front)
+    whole = F.concat(front, path, rest)
+    return F.regexp_replace(F.when(whole != "", F.concat(front, F.lit("|"), path, rest)).otherwise(""), "[0-9]", "0")
 
 
 def string_scores(strings: DataFrame, scratch: Scratch) -> DataFrame:
@@ -99,30 +113,43 @@ def string_scores(strings: DataFrame, scratch: Scratch) -> DataFrame:
     return strings.join(sums, "s", "left").select("s", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def calibrate(strings: DataFrame, scores: DataFrame) -> tuple[float, float | None, float | None]:
+    """(limit, share of held-out accepted URLs not below it, share of held-out rejected URLs below it); a share of none is None.
+
+    ``strings`` has ``s, held, all_accepted, all_rejected``.
+    """
+    held = strings.filter("held and (all_accepted > 0 or all_rejected > 0)").join(scores, "s")
+    # one row: the limit, from weighted moments of the held-out accepted strings
+    w, score = F.col("all_accepted"), F.col("score")
+    moments = held.agg(F.sum(w).alias("w"), F.sum(w * score).alias("a"), F.sum(w * score * score).alias("b"))
+    mean, square = F.try_divide("a", "w"), F.try_divide("b", "w")
+    lowest = mean - STRICTNESS * F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    limit = moments.select(F.least(F.lit(0.0), F.coalesce(lowest, F.lit(0.0))).alias("limit")).first()["limit"]
+    passed, caught = F.when(score >= limit, w).otherwise(0), F.when(score < limit, F.col("all_rejected")).otherwise(0)
+    shares = held.agg(F.try_divide(F.sum(passed), F.sum(w)).alias("passed"), F.try_divide(F.sum(caught), F.sum("all_rejected")).alias("caught")).first()
+    return limit, shares["passed"], shares["caught"]
+
+
 def judge(pages: DataFrame, scratch: Scratch, url: str = "url", rules=RULES, seeds=SEEDS) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (an underscore is added where a name is taken)."""
     n = {k: free_name(k, pages.columns) for k in ("host", "path", "rule", "verdict", "score", "string", "ruled")}
     parts = pages.withColumns(dict(zip((n["host"], n["path"]), url_parts(F.col(url)))))
     host, path = F.col(n["host"]), F.col(n["path"])
     rule, ruled = longest_rule(host, path, rules)
-    parts = parts.withColumns({n["rule"]: rule, n["ruled"]: ruled, n["string"]: modelled(host, path)})
+    parts = parts.withColumns({n["rule"]: rule, n["ruled"]: ruled, n["string"]: modelled(host, path, url_rest(F.col(url)), rules)})
     seeded = F.lit(False)
     for word in seeds:
         seeded = seeded | host.contains(word)
     rejected = seeded
     accepted = (F.col(n["ruled"]) == "allow") & ~seeded
     as_count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    strings = parts.groupBy(F.col(n["string"]).alias("s")).agg(as_count(accepted).alias("all_accepted"), as_count(rejected).alias("rejected"))
+    strings = parts.groupBy(F.col(n["string"]).alias("s")).agg(as_count(accepted).alias("all_accepted"), as_count(rejected).alias("all_rejected"))
     held = F.pmod(F.crc32(F.col("s").cast("binary")), F.lit(5)) == 0
-    strings = strings.withColumns({"accepted": F.when(held, 0).otherwise(F.col("all_accepted")), "rejected": F.when(held, 0).otherwise(F.col("rejected")), "held": held})
+    strings = strings.withColumns({**{c: F.when(held, 0).otherwise(F.col(f"all_{c}")) for c in ("accepted", "rejected")}, "held": held})
     strings = scratch.keep(strings, "strings")
     scores = scratch.keep(string_scores(strings.select("s", "accepted", "rejected"), scratch), "scores")
-    # one row: the limit, from weighted moments of the held-out accepted strings
-    moments = strings.filter("held and all_accepted > 0").join(scores, "s").agg(
-        F.sum("all_accepted").alias("w"), F.sum(F.col("all_accepted") * F.col("score")).alias("a"), F.sum(F.col("all_accepted") * F.col("score") * F.col("score")).alias("b")
-    )
-    mean, square = F.col("a") / F.col("w"), F.col("b") / F.col("w")
-    limit = moments.select(F.least(F.lit(0.0), F.coalesce(mean - STRICTNESS * F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), F.lit(0.0))).alias("limit")).first()["limit"]
+    limit, passed, caught = calibrate(strings, scores)
+    log.info("limit %s; held-out URLs: %s of the accepted not below it, %s of the rejected below it", limit, passed, caught)
     judged = parts.join(scores.withColumnsRenamed({"s": n["string"], "score": n["score"]}), n["string"])
     verdict = F.coalesce(F.col(n["ruled"]), F.when(F.col(n["score"]) < F.lit(limit), "block").otherwise("allow"))
     return judged.withColumn(n["verdict"], verdict).drop(n["string"], n["ruled"])

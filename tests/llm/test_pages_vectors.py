@@ -94,6 +94,42 @@ def test_url_scores_against_brute_force(spark, scratch):
         assert found[s] == pytest.approx(expected[s], abs=1e-9)
 
 
+def test_models_read_whole_urls(spark, scratch):
+    from bedside.llm import url_filter as u
+
+    rnd = random.Random(3)
+    bad = ["https://casino-win.com/", "https://spam-farm.org/en", "http://free-bets.com", "https://casino-win.net?bonus=1#win", "http://cheap-pills.io/en/1"]
+    # no seed word in the host: the rest of the URL tells
+    tails = ["https://thenews.example.com/casino-win/win?bonus=casino-win&win=bets", "https://thewiki.com?casino-win=casino-win/casino-win"]
+    good = ["https://newsshop.com/en/1", "http://oldwiki.example.org/en/8", "https://thenews.com/"]
+    rows = urls(rnd) + [f"https://{h}/{rnd.choice(['', 'en', 'win?bonus=casino-win'])}" for h in ("casino-win.com", "spam-farm.org", "free-bets.com", "cheap-pills.io") for _ in range(20)]
+    table = spark.createDataFrame(list(enumerate(rows + bad + tails + good)), "page_id bigint, url string")
+    verdicts = {r.url: r.verdict for r in u.judge(table, scratch).collect()}
+    assert {x: verdicts[x] for x in bad + tails} == dict.fromkeys(bad + tails, "block")
+    assert {x: verdicts[x] for x in good} == dict.fromkeys(good, "allow")
+
+
+def test_modelled_strings(spark):
+    from bedside.llm import url_filter as u
+
+    cases = {
+        "https://casino-win.com/": "casino-win.com|/", "http://a.example.net/en/x1?q=2#t": "a|/en/x0?q=0#t", "http://NET": "net|", "x://": "",
+        "http://a.b.org/fr/": "a.b|/fr/", "http://example.com/de/": "example.com|/de/", "http://h.io?x": "h.io|?x", "no scheme": "", None: "",
+    }
+    url = F.col("url")
+    found = spark.createDataFrame([(c,) for c in cases], "url string").select(url, u.modelled(*u.url_parts(url), u.url_rest(url)).alias("s")).collect()
+    assert {r.url: r.s for r in found} == cases
+
+
+def test_held_out_shares(spark):
+    from bedside.llm import url_filter as u
+
+    rows = [("a", True, 3, 0, 2.0), ("b", True, 1, 0, 1.0), ("c", True, 0, 3, -1.0), ("d", True, 0, 1, 0.5), ("e", False, 9, 9, -9.0)]
+    table = spark.createDataFrame(rows, "s string, held boolean, all_accepted bigint, all_rejected bigint, score double")
+    assert u.calibrate(table.drop("score"), table.select("s", "score")) == (0.0, 1.0, 0.75)
+    assert u.calibrate(table.drop("score").limit(0), table.select("s", "score")) == (0.0, None, None)
+
+
 def test_url_filter_on_no_rows(spark, scratch):
     from bedside.llm import url_filter as u
 
