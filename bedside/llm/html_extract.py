@@ -2,7 +2,10 @@
 
 1. Each page is parsed once. Text blocks outside boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
    scripts, styles, comments of readers) count for the containers around them. A container's score is its own text weight,
-   discounted by the share of boilerplate inside it, with a bonus for article-like tags and classes.
+   discounted by the share of boilerplate inside it, with a bonus for article-like tags and classes. By its names an element is
+   boilerplate only if a whole class, id or role consists of such words (``ad``, ``cookie-notice``), none is article-like, it is no
+   text block such as a paragraph, and it does not hold most of a page's text with hardly any in article-like elements. Else such words (``no-sidebar``, ``related-work``)
+   only halve what its text counts for, unless a name is article-like (``content no-sidebar``).
 2. Votes: every page splits a thousand votes over the generalised paths (tags and classes, digits folded) of its containers in
    proportion to their scores. Spark sums the votes per (host, path), pre-aggregated before the shuffle, and each host's
    path with the most votes wins (ties: the shorter, then the smaller path).
@@ -65,42 +68,74 @@ BOILERPLATE_WORDS = frozenset(
     "subscription teaser toolbar widget complementary contentinfo navigation dialog alert gdpr paywall".split()
 )
 ARTICLE_WORDS = frozenset("article content post entry story main text body".split())
+#: Elements that no name makes boilerplate, and those that names do not even discount.
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCK = HEADING | frozenset("p pre blockquote dt dd".split())
+UNNAMED = frozenset("html body article main".split())
+#: Share of the page's text beyond which an element is no boilerplate by its names, and what text under such names counts.
+#: The first needs that article-like elements hold less than ``TOLD`` outside such names and headings (an article may have many comments).
+DOMINANT, TOLD, DISCOUNT = 0.75, 0.05, 0.5
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "container", "own", "all", "parent", "name_bonus")
+    __slots__ = ("tag", "path", "skip", "container", "own", "all", "parent", "name_bonus", "hard", "low", "gap", "named", "article")
 
     def __init__(self, tag, path, skip, container, parent):
         self.tag, self.path, self.skip, self.container, self.parent = tag, path, skip, container, parent
-        self.own = self.all = 0  # characters of article-like text, and of any text, within
+        self.own = self.all = 0  # characters of article-like text (discounted), and of any text, within
         self.name_bonus = 1.0
+        self.hard = self.low = self.article = False  # boilerplate by tag or hidden; within names that are a discount; within an article
+        self.gap = 1.0  # what a character here counts for the next container above
+        self.named = None  # (number, the same of the next one above) of elements that are boilerplate by their names
 
 
-def _names(attributes: str) -> tuple[str, frozenset, bool]:
-    """(class for the path, words of class, id and role, hidden)."""
+def _names(attributes: str) -> tuple[str, list[frozenset], bool]:
+    """(class for the path, words of each class, id and role, hidden)."""
     if not attributes or attributes.isspace():
-        return "", frozenset(), False
+        return "", [], False
     classes, found, hidden = "", [], False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
         if name in ("class", "id", "role"):
-            found += SPLIT.split(entities.unescape(value).lower())
+            found += [frozenset(w for w in SPLIT.split(token) if w and not w.isdigit()) for token in entities.unescape(value).lower().split()]
             if name == "class":
                 classes = ".".join(sorted(set(value.lower().split())))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return classes, frozenset(found), hidden
+    return classes, found, hidden
+
+
+def _named(names: list[frozenset]) -> tuple[bool, bool, bool]:
+    """(a name consists of boilerplate words, a name holds one, a name is article-like) of an element's names."""
+    whole = any(words and words <= BOILERPLATE_WORDS for words in names)
+    part = any(not words.isdisjoint(BOILERPLATE_WORDS) for words in names)
+    return whole, part, any(not words.isdisjoint(ARTICLE_WORDS) and words.isdisjoint(BOILERPLATE_WORDS) for words in names)
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The containers of a page, and its text blocks as (innermost container, text) in page order, boilerplate left out."""
+    containers, blocks, inside, told, total = _parse(page, frozenset())
+    # again, if elements that are boilerplate by their names hold most of the text
+    spared = frozenset(number for number, size in inside.items() if size > DOMINANT * total) if told < TOLD * total else None
+    return _parse(page, spared)[:2] if spared else (containers, blocks)
+
+
+def _parse(page: str, spared: frozenset) -> tuple[list[Node], list[tuple[Node, str]], dict[int, int], int, int]:
+    """Also the characters in each element that is boilerplate by its names, in article-like elements outside these, and in all that
+    are no boilerplate by tag or hidden.
+
+    ``spared`` are numbers of such elements that are none.
+    """
     root = Node("", "", False, True, None)
     containers, blocks, stack, pieces = [root], [], [root], []
+    inside: dict[int, int] = {}
+    total = told = number = 0
 
     def flush():
+        nonlocal total, told
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
@@ -110,11 +145,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 size, skip = len(text), top.skip
                 if not skip:
                     blocks.append((inner, text))
-                node = inner
+                if not top.hard:
+                    total += size
+                    named = top.named
+                    told += size if named is None and top.article else 0
+                    while named is not None:
+                        inside[named[0]] = inside.get(named[0], 0) + size
+                        named = named[1]
+                node, counts = inner, size if top.container else size * top.gap
                 while node is not None:
                     node.all += size
                     if not skip:
-                        node.own += size
+                        node.own += counts
+                    counts *= node.gap
                     node = node.parent
 
     def close(depth):
@@ -168,16 +211,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                     break
         if tag in VOID:
             continue
-        classes, words, hidden = _names(match[3])
+        classes, names, hidden = _names(match[3])
         parent = next(n for n in reversed(stack) if n.container)
         top = stack[-1]
         inside_article = any(n.tag in ("article", "main") for n in stack)
-        skip = (
-            top.skip
-            or hidden
-            or (tag in BOILERPLATE and not (tag == "header" and inside_article))
-            or (not words.isdisjoint(BOILERPLATE_WORDS) and tag not in ("html", "body", "article", "main"))
-        )
+        hard = top.hard or hidden or (tag in BOILERPLATE and not (tag == "header" and inside_article))
+        whole, part, article_like = _named(names) if names else (False, False, False)
+        named, low = top.named, part and not article_like and tag not in UNNAMED
+        skip = top.skip or hard
+        if low and whole and tag not in TEXT_BLOCK:
+            number += 1
+            named = (number, named)
+            low = number not in spared
+            skip = skip or low
         if tag in RAW:
             flush()
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -185,17 +231,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         label = DIGITS.sub("#", f"{tag}.{classes}" if classes else tag)
         node = Node(tag, f"{parent.path}/{label}" if tag in CONTAINER else parent.path, skip, tag in CONTAINER, parent)
+        node.hard, node.named, node.low = hard, named, top.low or low
+        node.article = (top.article or article_like or tag in ("article", "main")) and tag not in HEADING
+        node.gap = (DISCOUNT if low else 1.0) * (1.0 if top.container else top.gap)
         if skip and not top.skip or tag in BLOCK:
             flush()
         if tag in ("article", "main"):
             node.name_bonus = 1.5
-        elif not words.isdisjoint(ARTICLE_WORDS):
+        elif article_like:
             node.name_bonus = 1.25
+        if node.low:
+            node.name_bonus *= DISCOUNT
         if node.container and not skip:
             containers.append(node)
         stack.append(node)
     flush()
-    return containers, blocks
+    return containers, blocks, inside, told, total
 
 
 def scores(containers: list[Node]) -> dict[str, float]:
@@ -203,7 +254,7 @@ def scores(containers: list[Node]) -> dict[str, float]:
     found: dict[str, list[float]] = {}
     for node in containers:
         if node.own:
-            sums = found.setdefault(node.path, [0, 0, 1.0])
+            sums = found.setdefault(node.path, [0, 0, 0.0])
             sums[0] += node.own
             sums[1] += node.all
             sums[2] = max(sums[2], node.name_bonus)

@@ -175,6 +175,36 @@ def test_hosts_vote_for_one_path(spark, scratch, monkeypatch):
     assert {r.page_id: r.text for r in h.extract(table, scratch).collect()} == texts
 
 
+@pytest.mark.parametrize(
+    "tag, names",
+    [("div", 'class="content no-sidebar"'), ("div", 'class="post has-comments"'), ("section", 'id="related-work"'), ("p", 'class="notice"'),
+     ("div", 'class="entry form-free"'), ("div", 'class="widget"'), ("div", 'class="main-content sidebar"'), ("div", 'id="page-3" class="has-ad-12"')],
+)
+def test_names_alone_drop_no_article(tag, names):
+    from bedside.llm import html_extract as h
+
+    story = "story text " * 20
+    page = f'<body><nav>Menu</nav><{tag} {names}>{story}<div class="ad">Buy</div></{tag}><div class="cookie-notice">We use cookies</div></body>'
+    assert h.main_text(page, None) == story.strip()
+    inner = f"<body><article><p>{story}</p><{tag} {names}>more words</{tag}></article></body>"
+    if "widget" not in names:
+        assert h.main_text(inner, None) == story + "more words"
+
+
+def test_boilerplate_names_still_count():
+    from bedside.llm import html_extract as h
+
+    story, box = "story text " * 20, "box words " * 15
+    for names in ("ad", "cookie-notice", "comments", "nav_menu-2"):
+        assert h.main_text(f'<body><p>{story}</p><div class="{names}">{box}</div></body>', None) == story.strip()
+    assert h.main_text(f'<body><article><p>{story}</p><div class="comments">{box * 20}</div></article></body>', None) == story.strip()
+    assert h.main_text(f'<body><article><h1>Head</h1><div class="widget">{story}</div></article></body>', None) == "Head " + story.strip()
+    # parts of names are a discount: the other container wins
+    page = f'<body><div class="x">{story}</div><div class="left-sidebar"><div>{box * 2}</div></div></body>'
+    assert h.main_text(page, None) == story.strip()
+    h.main_text('<div class="ad">deep ' * 3_000, None)
+
+
 def test_long_and_broken_pages():
     from bedside.llm import html_extract as h
 
