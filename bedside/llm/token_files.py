@@ -2,7 +2,7 @@
 
 Writing. Documents are range-partitioned and sorted by id; each partition encodes its texts and cuts the ids into shards of
 about ``SHARD_IDS``. In a shard, rounds of Re-Pair replace frequent neighbouring pairs by nonterminals: a round counts all pairs
-(never across the end of a document), takes the most frequent ones as rules and replaces them from left to right. A shard is one
+(never across the end of a document), takes the most frequent ones as rules and replaces them from left to right, until no pair is frequent. A shard is one
 Parquet row: part, number, document ids, and a block of bytes with the rules, their expansion lengths, and the documents' symbols.
 
 Block: ``RPR1``, the numbers of documents, rules and symbols and the first nonterminal (uint32 each); the rules' left and right symbols
@@ -41,7 +41,6 @@ from bedside.llm.common import Scratch, shuffle_partitions, table, text_or_empty
 END_ID = 1
 SHARD_IDS = 1 << 20
 PIECE = 2048
-ROUNDS = 4
 ROUND_RULES = 3000
 MIN_COUNT = 8
 MAGIC = b"RPR1"
@@ -149,9 +148,7 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
     first = int(x.max()) + 1 if len(x) else 0
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     top = first
-    for _ in range(ROUNDS):
-        if len(x) < 2:
-            break
+    while len(x) > 1:  # each round makes it shorter
         pair = (x[:-1] << 32) | x[1:]
         pair[last[:-1]] = -1
         ordered = np.sort(pair)

@@ -350,6 +350,19 @@ def test_blocks_decode_whole_and_by_slice():
         t.decode_block(block[:-4])
 
 
+def test_rules_go_on_until_no_pair_is_frequent():
+    import numpy as np
+
+    from bedside.llm import token_files as t
+
+    passage = np.random.default_rng(4).permutation(1024).astype(np.int32)
+    ids, counts = np.tile(passage, 16), np.full(16, 1024)
+    block = t.compress(ids, counts)
+    assert t.Block(block).lengths.max() == 1024 and len(t.Block(block).symbols) == 16
+    assert t.decode_block(block)[0].tolist() == ids.tolist()
+    assert t.read_slice(block, 3, 100, 900) == passage[100:900].tolist()
+
+
 # -- toxicity
 
 
