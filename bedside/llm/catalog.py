@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from bedside.llm import html_extract, jaccard_join, mixing, piece_scan, quality_rules, suffix_dedup, token_files, toxicity, url_filter, vector_search
+from bedside.llm import (
+    centroid_clusters,
+    html_extract,
+    jaccard_join,
+    lexical_search,
+    mixing,
+    piece_scan,
+    quality_rules,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    url_filter,
+    vector_search,
+    warc_files,
+)
 
 QUERIES = {
     "op1_piece_scan": piece_scan.op1_piece_scan,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_warc_files": warc_files.op11_warc_files,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
 }
 
 ORACLES = {
@@ -22,4 +39,7 @@ ORACLES = {
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_warc_files": warc_files.OP11_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
+    "op13_centroid_clusters": centroid_clusters.OP13_SQL,
 }
