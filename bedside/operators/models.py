@@ -2,24 +2,31 @@
 
 Fits are distributed jobs over one row per entity; the driver only steps through folds, rounds and feature
 counts. Trees here grow level by level, so 60 leaves become depth 6.
+
+* Early stopping fits once and cuts the ensemble back to its best round: boosting never changes earlier trees, so the first
+  trees of a long fit are the short one. A fit that had not yet stopped is repeated twice as long.
+* Folds are independent and their jobs are short, so they are fitted side by side from threads of the driver.
+* What a model learnt is a table: its nodes as Spark saves them, read back as a DataFrame. Importance is an aggregation of it.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bedside.operators import metrics
 from bedside.operators.features import assign_folds
+from bedside.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -51,10 +58,11 @@ class Trained:
 
 @dataclass(frozen=True)
 class CrossValidated:
-    """Held-out predictions of the training rows, mean predictions of the test rows, importance per fold."""
+    """Held-out predictions of the training rows, mean predictions of the test rows, tree nodes and importance per fold."""
 
     out_of_fold: DataFrame
     test: DataFrame | None
+    nodes: DataFrame
     importance: DataFrame
     folds: tuple[Trained, ...]
 
@@ -90,35 +98,56 @@ def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model after its first ``n`` rounds."""
+    if n >= model.getNumTrees:
+        return model
+    context = SparkSession.getActiveSession().sparkContext
+    jvm, gateway = context._jvm, context._gateway
+    trees, weights = model._java_obj.trees(), model.treeWeights
+    some = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    factors = gateway.new_array(jvm.double, n)
+    for i in range(n):
+        some[i], factors[i] = trees[i], weights[i]
+    return GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, some, factors))
+
+
+def splitting_rounds(sizes: Sequence[int]) -> int:
+    """Rounds before the first tree that found no split: from there on no tree of a fit on all features finds one."""
+    return next((i for i, nodes in enumerate(sizes) if nodes <= 1), len(sizes))
+
+
 def train_gbt(
     train: DataFrame, valid: DataFrame | None, columns: Sequence[str], label: str, params: GbtParams = DEFAULT
 ) -> Trained:
     """Fit with early stopping on ``valid``; without it all rounds are used. Inputs must hold no nulls.
 
-    Rounds are tried in doubling stages until the validation loss has stopped improving for ``patience``
-    rounds; boosting is deterministic, so a shorter fit is the start of a longer one and the last fit is
-    simply repeated at the best round.
+    The first fit takes twice ``patience`` rounds, which usually shows the best one; the ensemble is then cut back to it. Only while
+    the validation loss is still improving is a fit repeated with twice the rounds, up to ``params.rounds``. Rounds without any split end a fit as
+    well, at one tree at least. Labels of ``valid`` are read from the column ``label`` too.
     """
     rows = _assemble(train, columns, label).cache()
+    held = None
     try:
         if valid is None:
             return Trained(_fit(rows, label, params, params.rounds), tuple(columns), params.rounds)
         held = _assemble(valid, columns, label).cache()
-        try:
-            stage = min(params.rounds, 2 * params.patience)
-            while True:
-                model = _fit(rows, label, params, stage)
-                best, stopped = best_round(model.evaluateEachIteration(held), params.patience)
-                if stopped or stage == params.rounds:
-                    break
-                stage = min(params.rounds, 2 * stage)
-            if best < stage:
-                model = _fit(rows, label, params, best)
-            return Trained(model, tuple(columns), best)
-        finally:
-            held.unpersist()
+        whole = params.feature_fraction >= 1
+        probe = _fit(rows, label, params, 1) if whole else None
+        if probe is not None and probe.trees[0].numNodes <= 1:
+            return Trained(probe, tuple(columns), 1)
+        stage = min(params.rounds, 2 * params.patience)
+        while True:
+            model = _fit(rows, label, params, stage)
+            able = splitting_rounds([t.numNodes for t in model.trees]) if whole else stage
+            best, stopped = best_round(model.evaluateEachIteration(held)[: max(1, able)], params.patience)
+            if stopped or able < stage or stage == params.rounds:
+                return Trained(first_trees(model, best), tuple(columns), best)
+            stage = min(params.rounds, 2 * stage)
     finally:
         rows.unpersist()
+        if held is not None:
+            held.unpersist()
 
 
 def predict(trained: Trained, df: DataFrame, label: str, keep: Sequence[str], score: str = "score") -> DataFrame:
@@ -140,34 +169,73 @@ def cross_predict(
 ) -> CrossValidated:
     """k fits, each scoring its held-out fold and the whole test set; test scores are averaged per row."""
     folded = assign_folds(train, key, k, seed)
-    fits, held_out, tests, tables = [], [], [], []
-    for fold in range(k):
+
+    def fit(fold: int) -> Trained:
         inside, outside = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        fitted = train_gbt(inside, outside, columns, label, params)
-        fits.append(fitted)
-        held_out.append(predict(fitted, outside, label, [key, "fold"]))
-        if test is not None:
-            tests.append(predict(fitted, test, label, [key]))
-        tables.append(feature_importance(train.sparkSession, fitted).withColumn("fold", F.lit(fold)))
+        return train_gbt(inside, outside, columns, label, params)
+
+    fits = _side_by_side(fit, range(k))
+    held_out = [predict(fitted, folded.filter(F.col("fold") == fold), label, [key, "fold"]) for fold, fitted in enumerate(fits)]
+    tests = [predict(fitted, test, label, [key]) for fitted in fits] if test is not None else []
+    nodes = _union([node_table(fitted).withColumn("fold", F.lit(fold)) for fold, fitted in enumerate(fits)])
     mean_test = None
     if tests:
         mean_test = _union(tests).groupBy(key, label).agg(F.avg("score").alias("score"))
-    return CrossValidated(_union(held_out), mean_test, _union(tables), tuple(fits))
+    return CrossValidated(_union(held_out), mean_test, nodes, feature_importance(nodes, columns, ["fold"], k), tuple(fits))
+
+
+def _side_by_side(work: Callable[[int], Trained], numbers: Sequence[int]) -> list[Trained]:
+    """``work`` of all numbers from one thread each, as Spark's own cross-validator does it."""
+    pool = ThreadPool(processes=max(1, len(numbers)))
+    try:
+        return pool.map(inheritable_thread_target(work), numbers)
+    finally:
+        pool.close()
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def importance_rows(trained: Trained) -> list[tuple[str, float, int]]:
-    """(feature, gain share in percent, split count); the model's text lists every inner node once as "If"."""
-    splits = Counter(int(i) for i in re.findall(r"\bIf \(feature (\d+)", trained.model.toDebugString))
-    gains = trained.model.featureImportances
-    return [(c, 100.0 * float(gains[i]), splits.get(i, 0)) for i, c in enumerate(trained.columns)]
+def node_table(trained: Trained, folder: str | None = None) -> DataFrame:
+    """One row per tree node: ``tree, node, feature, threshold, gain, rows, prediction, left_node, right_node``; leaves have no feature.
+
+    The model is saved to ``folder`` (by default a new one in the folder all executors share, which goes when the driver ends) and Spark reads
+    the nodes from there.
+    """
+    spark = SparkSession.getActiveSession()
+    if folder is None:
+        folder = sinks.passing_folder(spark, f"model-{uuid.uuid4().hex}")
+    trained.model.write().overwrite().save(folder)
+    n, inner = F.col("nodeData"), F.col("nodeData.split.featureIndex") >= 0
+    names = F.array(*[F.lit(c) for c in trained.columns])
+    return spark.read.parquet(f"{folder}/data").select(
+        F.col("treeID").alias("tree"),
+        n["id"].alias("node"),
+        F.when(inner, F.get(names, n["split"]["featureIndex"])).alias("feature"),
+        F.when(inner, F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(inner, n["gain"]).alias("gain"),
+        n["rawCount"].alias("rows"),
+        n["prediction"].alias("prediction"),
+        F.when(inner, n["leftChild"]).alias("left_node"),
+        F.when(inner, n["rightChild"]).alias("right_node"),
+    )
+
 
+def feature_importance(nodes: DataFrame, columns: Sequence[str], by: Sequence[str] = (), k: int = 1) -> DataFrame:
+    """``feature, gain, split`` of all columns, unused ones included: share of the gain times rows in percent, and number of splits.
 
-def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
-    return spark.createDataFrame(importance_rows(trained), "feature string, gain double, split bigint")
+    ``by`` may name the fold of the nodes, one of 0 to ``k - 1``.
+    """
+    spark = nodes.sparkSession
+    weight = F.sum(F.col("gain") * F.col("rows"))
+    used = nodes.filter("feature IS NOT NULL").groupBy("feature", *by).agg(weight.alias("weight"), F.count("*").alias("split"))
+    every = spark.range(len(columns)).select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("id").cast("int")).alias("feature"))
+    for name in by:
+        every = every.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    total = F.sum("weight").over(Window.partitionBy(*by))
+    share = F.coalesce(100 * F.col("weight") / F.when(total > 0, total), F.lit(0.0))
+    return every.join(used, ["feature", *by], "left").select("feature", share.alias("gain"), F.coalesce("split", F.lit(0)).alias("split"), *by)
 
 
 def merge_importance(
@@ -209,14 +277,18 @@ def rfe_cv(
     the best count (the smaller one on ties). With c columns this is about c / step * (k + 1) fits.
     """
     folded = assign_folds(df, key, k, seed)
-    losses: dict[int, list[float]] = {}
-    for fold in range(k):
+
+    def walk(fold: int) -> dict[int, float]:
         inside, outside = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        losses = {}
         for fitted in _elimination_path(inside, columns, label, step, min_features, params):
             scored = predict(fitted, outside, label, [key])
-            loss = metrics.log_loss(scored, "score", label).first()["log_loss"]
-            losses.setdefault(len(fitted.columns), []).append(loss)
-    scores = {size: sum(found) / len(found) for size, found in losses.items()}
+            losses[len(fitted.columns)] = metrics.log_loss(scored, "score", label).first()["log_loss"]
+        return losses
+
+    found = _side_by_side(walk, range(k))
+    known = {size: [losses[size] for losses in found if losses[size] is not None] for size in found[0]}  # an empty fold says nothing
+    scores = {size: sum(losses) / len(losses) for size, losses in known.items()}
     best = min(sorted(scores), key=scores.get)
     selected = tuple(columns)
     for fitted in _elimination_path(df, columns, label, step, best, params):
@@ -232,8 +304,9 @@ def _elimination_path(train: DataFrame, columns: Sequence[str], label: str, step
         yield fitted
         if len(left) <= until:
             return
-        ranked = sorted(importance_rows(fitted), key=lambda row: (row[1], row[0]))
-        weakest = {name for name, _, _ in ranked[: min(step, len(left) - until)]}
+        gains = fitted.model.featureImportances  # one number a feature
+        ranked = sorted(left, key=lambda c: (float(gains[left.index(c)]), c))
+        weakest = set(ranked[: min(step, len(left) - until)])
         left = [c for c in left if c not in weakest]
 
 

@@ -126,7 +126,7 @@ def table_one(df: DataFrame, columns: Sequence[str], group: str, values: tuple =
     """Per variable: missing count, size, mean and sd in both groups, Welch's t, its degrees of freedom and p.
 
     Unequal variances, two-sided. A variable that is empty in a group is reported as not tested. One pass over
-    the rows; only the summary, one row per variable, meets Python for the p-value.
+    the rows; the p-value is an expression on the summary, one row per variable.
     """
     entries = []
     for c in columns:

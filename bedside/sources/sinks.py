@@ -53,9 +53,24 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder, else the warehouse."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder, else the warehouse.
+
+    On a cluster the warehouse may be a folder of the driver's machine alone, which is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if folder:
+        return folder
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if not spark.sparkContext.master.startswith("local") and (folder.startswith("file:") or "://" not in folder):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A subfolder of the shared one that goes when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def write_features(df: DataFrame, path: str, id_name: str | None = None, order: Sequence[str] = ()) -> None:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bedside.functions.student import two_sided_p
+from bedside.functions.student import t_p_value
 from bedside.operators import features, metrics, models, stats
 
 
@@ -81,11 +81,28 @@ def test_describe_and_correlation(frame):
     assert abs(corr["a", "b"] - 0.9979487157886735) < 1e-12 and corr["a", "b"] == corr["b", "a"]
 
 
-@pytest.mark.parametrize("t,df,p", [
-    (2.0, 10, 0.07338803477074037), (1.0, 1, 0.5), (0.0, 5, 1.0), (-2.228138852, 10, 0.05), (1.959963985, 1e9, 0.05), (12.706204736, 1, 0.05),
-])
-def test_p_values(t, df, p):
-    assert abs(two_sided_p(t, df) - p) < 1e-9
+def two_sided_p(t, df, steps=20_000):
+    """By Simpson's rule: with t = sqrt(df) tan(a), the density is a power of the cosine."""
+    end = math.atan(abs(t) / math.sqrt(df))
+    weight = lambda i: 1 if i in (0, steps) else 4 if i % 2 else 2
+    area = sum(weight(i) * math.cos(end * i / steps) ** (df - 1) for i in range(steps + 1)) * end / steps / 3
+    return 1 - 2 * area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+
+
+def test_p_values(frame):
+    known = [
+        (2.0, 10.0, 0.07338803477074037), (1.0, 1.0, 0.5), (0.0, 5.0, 1.0), (-2.228138852, 10.0, 0.05), (1.959963985, 1e9, 0.05),
+        (12.706204736, 1.0, 0.05), (5.0, 1e8, 5.733031437583869e-07), (2.9, 1e8, 0.003731627), (1e200, 4.0, 0.0),
+    ]
+    rng = random.Random(2)
+    drawn = [(rng.uniform(-6, 6), 10 ** rng.uniform(-0.3, 5)) for _ in range(60)]
+    undefined = [(None, 3.0), (1.0, None), (math.nan, 2.0), (math.inf, 2.0), (1.0, 0.0), (1.0, -2.0), (1.0, math.inf), (1.0, math.nan)]
+    rows = [(t, df, p) for t, df, p in known] + [(t, df, two_sided_p(t, df)) for t, df in drawn] + [(*u, None) for u in undefined]
+    for r in frame("t double, df double, p double", rows).withColumn("found", t_p_value("t", "df")).collect():
+        if r["p"] is None:
+            assert r["found"] is None, r
+        else:
+            assert abs(r["found"] - r["p"]) < 1e-8, r
 
 
 def test_table_one(frame):
@@ -96,7 +113,7 @@ def test_table_one(frame):
     # Welch by hand: variances 1 and 19/3 over three rows each
     se = math.sqrt(1 / 3 + (19 / 3) / 3)
     assert abs(a["t"] - (2.0 - 19 / 3) / se) < 1e-12
-    assert abs(a["p_value"] - two_sided_p(a["t"], a["df"])) < 1e-12 and 0.05 < a["p_value"] < 0.15
+    assert abs(a["p_value"] - two_sided_p(a["t"], a["df"])) < 1e-9 and 0.05 < a["p_value"] < 0.15
     assert out["b"]["test"] == "Not tested" and out["b"]["p_value"] is None and out["b"]["mean0"] is None
 
 
@@ -179,6 +196,59 @@ def test_cross_validation(training):
     assert models.top_features(merged, 1, "gain_mean").first()["feature"] == "x"
 
 
+def test_a_cut_model_is_the_shorter_fit(training):
+    rows = models._assemble(training, ["x", "noise"], "label", ["id"])
+    long = models._fit(rows, "label", PARAMS, 6)
+    for n in (1, 3, 6):
+        cut, short = models.first_trees(long, n), models._fit(rows, "label", PARAMS, n)
+        assert cut.getNumTrees == n
+        a, b = ({r["id"]: r["probability"][1] for r in m.transform(rows).collect()} for m in (cut, short))
+        assert max(abs(a[i] - b[i]) for i in a) < 1e-12
+
+
+def test_early_stopping_takes_the_best_round(training, monkeypatch):
+    train, valid = features.split(training.withColumn("label", (F.col("noise") > 0.5).cast("int")), "id")
+    fits = []
+    fit = models._fit
+    monkeypatch.setattr(models, "_fit", lambda rows, label, params, rounds: fits.append(rounds) or fit(rows, label, params, rounds))
+    params = models.GbtParams(learning_rate=0.8, max_depth=4, min_rows=2, rounds=64, patience=3)
+    found = models.train_gbt(train, valid, ["x"], "label", params)  # nothing to learn: the loss soon gets worse
+    assert fits == [1, 6] and found.rounds == found.model.getNumTrees <= 3
+    losses = fit(models._assemble(train, ["x"], "label"), "label", params, 6).evaluateEachIteration(models._assemble(valid, ["x"], "label"))
+    assert models.best_round(losses, 3) == (found.rounds, True)
+    fits.clear()
+    steady = models.train_gbt(train, valid, ["noise"], "label", models.GbtParams(learning_rate=0.05, max_depth=1, min_rows=2, rounds=9, patience=2))
+    assert fits == [1, 4, 8, 9] and steady.rounds == 9
+    fits.clear()
+    assert models.train_gbt(train, valid, ["noise"], "label", models.GbtParams(min_rows=1000)).rounds == 1 and fits == [1]
+    assert models.splitting_rounds([3, 5, 1, 3]) == 2 and models.splitting_rounds([3]) == 1
+
+
+def test_node_table(training):
+    fitted = models.Trained(models._fit(models._assemble(training, ["x", "noise", "z"], "label"), "label", PARAMS, 3), ("x", "noise", "z"), 3)
+    nodes = models.node_table(fitted)
+    kept = {(r["tree"], r["node"]): r for r in nodes.collect()}
+    assert len(kept) == sum(t.numNodes for t in fitted.model.trees) and all(kept[t, 0]["rows"] == 400 for t in range(3))
+    for (tree, _), r in kept.items():
+        if r["feature"] is None:
+            assert r["left_node"] is None and r["gain"] is None
+        else:
+            assert r["rows"] == kept[tree, r["left_node"]]["rows"] + kept[tree, r["right_node"]]["rows"] and r["gain"] > 0
+    # the nodes alone predict what the model predicts
+    row = training.select("x", "noise", "z").first().asDict()
+    margin = 0.0
+    for tree, weight in enumerate(fitted.model.treeWeights):
+        at = kept[tree, 0]
+        while at["feature"] is not None:
+            at = kept[tree, at["left_node"] if row[at["feature"]] <= at["threshold"] else at["right_node"]]
+        margin += weight * at["prediction"]
+    score = fitted.model.transform(models._assemble(training.limit(1), fitted.columns, "label")).first()["probability"][1]
+    assert abs(score - 1 / (1 + math.exp(-2 * margin))) < 1e-12
+    shares = {r["feature"]: r["gain"] for r in models.feature_importance(nodes, fitted.columns).collect()}
+    for i, c in enumerate(fitted.columns):
+        assert abs(shares[c] - 100 * fitted.model.featureImportances[i]) < 1e-9
+
+
 def test_elimination(training):
     found = models.rfe_cv(training, ["x", "noise", "z"], "label", "id", k=2, params=PARAMS)
     assert set(found.scores) == {1, 2, 3} and found.best == len(found.selected) and "x" in found.selected
