@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bedside.llm.common import Scratch, table
+from bedside.llm.common import Scratch, shuffle_partitions, table
 
 SHARD_BYTES = 16 << 20
 FILE_BYTES = 4 << 20
@@ -295,9 +295,9 @@ def write_archive(
     with_payload = rows.withColumn("digest", F.sha2("payload", 256))
     together = _with_shard(planned.unionByName(with_payload, allowMissingColumns=True), starts)
     order = ["shard", F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), "digest", F.col("copies").asc_nulls_last()]
-    dealt = together.repartition("shard").sortWithinPartitions(*order)
+    dealt = together.repartition(2 * len(starts), "shard").sortWithinPartitions(*order)
     written = scratch.keep(dealt.mapInArrow(_writer(folder, file_bytes, date), MANIFEST), "written")
-    done = scratch.keep(written.repartition("shard").mapInArrow(_commit(folder), MANIFEST), "committed")
+    done = scratch.keep(written.mapInArrow(_commit(folder), MANIFEST), "committed")
     done.drop("temporary").write.mode("overwrite").json(f"{folder.rstrip('/')}/manifest")
     scratch.drop("written", "committed")
     system, base = file_system(folder)
@@ -392,7 +392,7 @@ def read_archive(spark: SparkSession, folder: str, payloads: bool = False) -> Da
         if rows:
             yield batch_of()
 
-    return files.repartition("name").mapInArrow(read, schema)
+    return files.repartition(shuffle_partitions(spark), "name").mapInArrow(read, schema)
 
 
 def op11_warc_files(spark, folder):
