@@ -7,6 +7,8 @@ orders, ``lineitem`` with ``part`` prescriptions, ``documents`` echo reports.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,13 @@ from pyspark.sql import functions as F
 
 from bedside.catalog import codes
 from bedside.functions.time import elapsed_days
+from bedside.sources import sinks
 from bedside.sources.readers import read_table
 from bedside.sources.sinks import shared_folder
 
+#: Folder and schema of what :meth:`Tables.once` wrote.
+_WRITTEN: dict[tuple[str, str, str], tuple] = {}
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -32,6 +38,17 @@ class Tables:
         """The folder all executors share."""
         return shared_folder(self.spark)
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` makes of this folder, written once per application: several queries read one training run."""
+        known = (self.spark.sparkContext.applicationId, self.folder, name)
+        if known not in _WRITTEN:
+            frame = build()
+            path = sinks.passing_folder(self.spark, f"{name}-{uuid.uuid4().hex}")
+            sinks.materialize(frame, path)
+            _WRITTEN[known] = path, frame.schema
+        path, schema = _WRITTEN[known]
+        return self.spark.read.schema(schema).parquet(path)
+
     def events(self) -> DataFrame:
         return self["events"]
 

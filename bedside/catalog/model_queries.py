@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bedside.catalog.derived import Tables
@@ -96,10 +98,23 @@ def table_one_stats(t: Tables) -> DataFrame:
     return out.select("variable", "isnull", "n0", "n1", *rounded("mean0", "sd0", "mean1", "sd1", "t", "df"))
 
 
-@query("table_one_p")
+# p = 1 less the density's integral over [-t, t], by Simpson's rule over the angle a with t = sqrt(df) tan(a)
+P_VALUE_SQL = """CASE WHEN t IS NOT NULL THEN round(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * atan(abs(t) / sqrt(df)) / 6000 *
+    list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                                                   * pow(cos(atan(abs(t) / sqrt(df)) * i / 2000), df - 1))), 6) END"""
+
+
+@query(
+    "table_one_p",
+    f"""WITH d AS ({_LABELLED_SQL}), long AS ({" UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS x, quality FROM d" for c in _FEATURE_NAMES)}),
+    s AS (SELECT variable, count(x) FILTER (quality = 0) AS n0, count(x) FILTER (quality = 1) AS n1, avg(x) FILTER (quality = 0) - avg(x) FILTER (quality = 1) AS gap,
+                 var_samp(x) FILTER (quality = 0) / n0 AS e0, var_samp(x) FILTER (quality = 1) / n1 AS e1 FROM long GROUP BY variable),
+    w AS (SELECT variable, CASE WHEN e0 + e1 > 0 THEN gap / sqrt(e0 + e1) END AS t, (e0 + e1) ** 2 / (e0 ** 2 / (n0 - 1) + e1 ** 2 / (n1 - 1)) AS df FROM s)
+    SELECT variable, CASE WHEN t IS NULL THEN 'Not tested' ELSE 'Two Sample T-test' END AS test, {P_VALUE_SQL} AS p_value FROM w""",
+)
 def table_one_p(t: Tables) -> DataFrame:
-    """With the p-value, which SQL has no function for; it is tested against known values."""
-    return stats.table_one(labelled_documents(t), _FEATURE_NAMES, "quality")
+    """The p-value; the SQL finds it by numerical integration."""
+    return stats.table_one(labelled_documents(t), _FEATURE_NAMES, "quality").select("variable", "test", *rounded("p_value"))
 
 
 @query(
@@ -258,32 +273,116 @@ def parse_timestamps(t: Tables) -> DataFrame:
     return t.events().select("event_id", parse_timestamp(written).alias("parsed"))
 
 
-# ---- models; rows only ----
+# ---- models ----
+
+# what is trained has no SQL; what follows for any training run from rows, folds and labels is checked by SQL
+
+_DATA_SQL = f"""d AS ({_LABELLED_SQL}),
+    h AS (SELECT *, {_hash_sql('doc_id', 5, 520)} AS fold, CAST({_hash_sql('doc_id', 1000, 42)} < 200 AS INT) AS is_test FROM d)"""
+
+
+def _documents(t: Tables) -> modeling.Prepared:
+    rows = labelled_documents(t)
+    return modeling.prepare(rows.select("doc_id", *_FEATURE_NAMES), rows.select("doc_id", "quality"), "doc_id", "quality", 1.0)
+
+
+def _predictions(cv: models.CrossValidated, key: str, label: str) -> DataFrame:
+    held_out = cv.out_of_fold.select(key, label, "score", "fold", F.lit("out_of_fold").alias("part"))
+    return held_out.unionByName(cv.test.select(key, label, "score", F.lit(None).cast("int").alias("fold"), F.lit("test").alias("part")))
 
-_SMALL = models.GbtParams(learning_rate=0.3, max_depth=3, min_rows=10, rounds=6, patience=3)
 
+def trained(t: Tables, name: str, prepared, key: str, label: str, params: models.GbtParams) -> tuple[DataFrame, DataFrame]:
+    """Predictions and tree nodes of five folds, trained once per application."""
 
-def _training(t: Tables) -> tuple[DataFrame, list[str]]:
-    """Labelled documents with imputed features and a flag for what was missing."""
-    rows = features.with_null_flags(labelled_documents(t), ["stars"])
-    columns = [*_FEATURE_NAMES, "stars_isnull"]
-    marked = features.with_holdout(rows, "doc_id")
-    fitted = features.fit_imputer(marked.filter("is_test = 0"), _FEATURE_NAMES)
-    return fitted.transform(marked), columns
+    def run() -> DataFrame:
+        cv = modeling.cross_validate(prepared(), key, label, params)
+        t.once(f"{name}_nodes", lambda: cv.nodes)
+        return _predictions(cv, key, label)
 
+    predictions = t.once(f"{name}_predictions", run)
+    return predictions, t.once(f"{name}_nodes", lambda: predictions)
 
-def _cross_validated(t: Tables) -> models.CrossValidated:
-    marked, columns = _training(t)
-    train, test = marked.filter("is_test = 0"), marked.filter("is_test = 1")
-    return models.cross_predict(train, test, columns, "quality", "doc_id", k=3, params=_SMALL)
+
+#: The published settings but for the number of rounds: each is several Spark jobs, and 3,000 of them in five folds take hours.
+SETTINGS = models.shortened(models.DEFAULT, rounds=12, patience=6)
+
+
+def _gbt(t: Tables, params: models.GbtParams = SETTINGS, name: str = "gbt") -> tuple[DataFrame, DataFrame]:
+    return trained(t, name, lambda: _documents(t), "doc_id", "quality", params)
 
 
 @query("gbt_cv")
 def gbt_cv(t: Tables) -> DataFrame:
-    """Held-out and test predictions of every labelled document."""
-    cv = _cross_validated(t)
-    held_out = cv.out_of_fold.select("doc_id", "quality", "score", F.lit("out_of_fold").alias("part"))
-    return held_out.unionByName(cv.test.select("doc_id", "quality", "score", F.lit("test").alias("part")))
+    """Held-out and test predictions of every labelled document, with the published settings but fewer rounds."""
+    return _gbt(t)[0].select("doc_id", "quality", "score", "part")
+
+
+def coverage(predictions: DataFrame) -> DataFrame:
+    """Rows per part and fold, their positive labels, and scores that are no probabilities."""
+    label = next(c for c in ("quality", "og_label") if c in predictions.columns)
+    wrong = F.count(F.when(~F.col("score").between(0, 1), 1)).alias("not_probabilities")
+    return predictions.groupBy("part", "fold").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("positive"), wrong)
+
+
+def coverage_sql(source: str, label: str) -> str:
+    return f"""SELECT part, fold, count(*) AS n, CAST(sum({label}) AS BIGINT) AS positive, CAST(0 AS BIGINT) AS not_probabilities
+        FROM (SELECT CASE is_test WHEN 1 THEN 'test' ELSE 'out_of_fold' END AS part, CASE is_test WHEN 0 THEN fold END AS fold, {label} FROM {source})
+        GROUP BY part, fold"""
+
+
+@query("gbt_coverage", f"WITH {_DATA_SQL} {coverage_sql('h', 'quality')}")
+def gbt_coverage(t: Tables) -> DataFrame:
+    """Every labelled document is scored once, by the model of the fold it was held out from, or by all if it is a test row."""
+    return coverage(_gbt(t)[0])
+
+
+_OTHER_FOLDS = "FROM h JOIN (SELECT unnest(range(5)) AS f) ON f <> fold WHERE is_test = 0 GROUP BY f"
+
+
+@query(
+    "gbt_roots",
+    f"""WITH {_DATA_SQL} SELECT CAST(f AS INT) AS fold, count(*) AS rows, round(avg(2 * quality - 1), 9) AS prediction {_OTHER_FOLDS}""",
+)
+def gbt_roots(t: Tables) -> DataFrame:
+    """The first tree's root of each fold has seen the rows of the other folds and predicts their mean margin."""
+    roots = _gbt(t)[1].filter("tree = 0 AND node = 0")
+    return roots.select("fold", "rows", *rounded("prediction", digits=9))
+
+
+@query(
+    "gbt_node_balance",
+    "SELECT CAST(unnest(range(5)) AS INT) AS fold, CAST(0 AS BIGINT) AS unbalanced, CAST(0 AS BIGINT) AS too_small",
+)
+def gbt_node_balance(t: Tables) -> DataFrame:
+    """Inner nodes whose children do not hold their rows, and nodes below the published 100 rows: none in any fold."""
+    nodes = _gbt(t)[1]
+    child = nodes.select("fold", "tree", F.col("node").alias("child"), F.col("rows").alias("held"))
+    inner = nodes.filter("feature IS NOT NULL").withColumn("child", F.explode(F.array("left_node", "right_node")))
+    held = inner.join(child, ["fold", "tree", "child"]).groupBy("fold", "tree", "node").agg(F.first("rows").alias("rows"), F.sum("held").alias("held"), F.min("held").alias("least"))
+    wrong = held.groupBy("fold").agg(
+        F.count(F.when(F.col("rows") != F.col("held"), 1)).alias("unbalanced"), F.count(F.when(F.col("least") < 100, 1)).alias("too_small")
+    )
+    folds = nodes.select("fold").distinct()
+    return folds.join(wrong, "fold", "left").select("fold", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unbalanced", "too_small")])
+
+
+def _documents_columns() -> list[str]:
+    return [*_FEATURE_NAMES, *[f"{c}_isnull" for c in _FEATURE_NAMES]]
+
+
+@query(
+    "gbt_importance_shares",
+    """SELECT CAST(unnest(range(5)) AS INT) AS fold, CAST(12 AS BIGINT) AS n_features, true AS shares_complete, true AS splits_have_gain""",
+)
+def gbt_importance_shares(t: Tables) -> DataFrame:
+    """Per fold: importance covers all features, its shares add up to 100 (or nothing was split), a feature has gain where it has splits."""
+    importance = models.feature_importance(_gbt(t)[1], _documents_columns(), ["fold"], 5)
+    total = F.round(F.sum("gain"), 6)
+    return importance.groupBy("fold").agg(
+        F.count("*").alias("n_features"),
+        ((total == 100) | ((total == 0) & (F.sum("split") == 0))).alias("shares_complete"),
+        F.bool_and((F.col("gain") > 0) == (F.col("split") > 0)).alias("splits_have_gain"),
+    )
 
 
 @query("gbt_auc")
@@ -293,24 +392,77 @@ def gbt_auc(t: Tables) -> DataFrame:
 
 @query("model_report")
 def model_report(t: Tables) -> DataFrame:
-    """The modeling steps from raw features to validation and test scores."""
-    rows = labelled_documents(t)
-    data = modeling.prepare(rows.select("doc_id", *_FEATURE_NAMES), rows.select("doc_id", "quality"), "doc_id", "quality")
-    return modeling.evaluate(modeling.cross_validate(data, "doc_id", "quality", _SMALL, k=2), "quality")
+    """AUC, log-loss and error rate of held-out and test predictions."""
+    return modeling.scores(gbt_cv(t).replace({"out_of_fold": "valid"}, subset=["part"]), "quality")
 
 
 @query("gbt_importance")
 def gbt_importance(t: Tables) -> DataFrame:
-    cv = _cross_validated(t)
-    return models.top_features(models.merge_importance(cv.importance), 25, by="gain_mean")
+    importance = models.feature_importance(_gbt(t)[1], _documents_columns(), ["fold"], 5)
+    return models.top_features(models.merge_importance(importance), 25, by="gain_mean")
+
+
+_SHORT = models.GbtParams(learning_rate=0.3, max_depth=3, min_rows=10, rounds=6, patience=3)
+
+
+@query("gbt_feature_fraction", f"WITH {_DATA_SQL} {coverage_sql('h', 'quality')}")
+def gbt_feature_fraction(t: Tables) -> DataFrame:
+    """The earlier setting: each node looks at 0.7 of the features."""
+    return coverage(_gbt(t, replace(_SHORT, feature_fraction=models.OLD.feature_fraction), "gbt_fraction")[0])
+
+
+def _eliminated(t: Tables) -> DataFrame:
+    """``n_features, log_loss, chosen, selected``: one row per feature count."""
+
+    def run() -> DataFrame:
+        data = _documents(t)
+        params = models.GbtParams(learning_rate=0.3, max_depth=2, min_rows=10, rounds=3, seed=1)
+        found = models.rfe_cv(data.train, data.columns, "quality", "doc_id", step=1, k=5, params=params)
+        sizes = [(size, loss, size == found.best, list(found.selected)) for size, loss in sorted(found.scores.items())]  # one a feature
+        return t.spark.createDataFrame(sizes, "n_features int, log_loss double, chosen boolean, selected array<string>")
+
+    return t.once("rfe", run)
 
 
 @query("rfe")
 def rfe(t: Tables) -> DataFrame:
-    """Mean held-out loss per feature count, with the chosen count marked."""
-    marked, columns = _training(t)
-    train = marked.filter("is_test = 0")
-    params = models.GbtParams(learning_rate=0.3, max_depth=2, min_rows=10, rounds=3, seed=1)
-    found = models.rfe_cv(train, columns, "quality", "doc_id", step=3, k=2, params=params)
-    rows = [(size, loss, size == found.best) for size, loss in sorted(found.scores.items())]
-    return t.spark.createDataFrame(rows, "n_features int, log_loss double, chosen boolean")
+    """Mean held-out loss per feature count, one feature dropped at a time over five folds, with the chosen count marked."""
+    return _eliminated(t).drop("selected")
+
+
+@query(
+    "rfe_grid",
+    "SELECT CAST(unnest(range(1, 13)) AS INT) AS n_features, true AS scored, true AS consistent",
+)
+def rfe_grid(t: Tables) -> DataFrame:
+    """Every feature count from all to one is scored; the chosen one has the least loss and as many features are kept."""
+    least = F.min("log_loss").over(Window.partitionBy(F.size("selected")))
+    consistent = F.col("chosen") == ((F.col("n_features") == F.size("selected")) & (F.col("log_loss") == least))
+    return _eliminated(t).select("n_features", (F.col("log_loss") > 0).alias("scored"), consistent.alias("consistent"))
+
+
+@query("gbt_selected", f"WITH {_DATA_SQL} {coverage_sql('h', 'quality')}")
+def gbt_selected(t: Tables) -> DataFrame:
+    """Cross-validation once more on the features that elimination kept."""
+    kept = _eliminated(t).filter("chosen").first()["selected"]  # names of features
+    data = _documents(t)
+    chosen = lambda: modeling.Prepared(data.train, data.test, tuple(kept))
+    return coverage(trained(t, "gbt_selected", chosen, "doc_id", "quality", _SHORT)[0])
+
+
+@query(
+    "impute_median",
+    f"""WITH {_DATA_SQL}, m AS (SELECT quantile_disc(stars, 0.5) AS middle FROM h WHERE is_test = 0)
+    SELECT doc_id, is_test, coalesce(stars, middle) AS stars FROM h, m""",
+)
+def impute_median(t: Tables) -> DataFrame:
+    marked = features.with_holdout(labelled_documents(t), "doc_id")
+    fitted = features.fit_imputer(marked.filter("is_test = 0"), ["stars"], "median")
+    return fitted.transform(marked).select("doc_id", "is_test", "stars")
+
+
+@query("drop_empty_rows", "SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM (SELECT l_orderkey, l_linenumber, nullif(l_discount, 0) AS l_discount, nullif(l_tax, 0) AS l_tax FROM lineitem) WHERE l_discount IS NOT NULL OR l_tax IS NOT NULL")
+def drop_empty_rows(t: Tables) -> DataFrame:
+    """Rows in which none of the measured columns holds a value are dropped."""
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber", *[F.nullif(F.col(c), F.lit(0)).alias(c) for c in ("l_discount", "l_tax")])
+    return features.drop_all_null(lines, ["l_discount", "l_tax"])

@@ -55,8 +55,9 @@ def with_group_stats(wide: DataFrame, entity: str, drop: Sequence[str] = ()) ->
     return wide.join(aggregate_features(wide, entity, aggs=("max", "min"), drop=drop), entity, "inner")
 
 
-def drop_all_null(df: DataFrame) -> DataFrame:
-    return df.dropna(how="all")
+def drop_all_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Without the rows in which all (given) columns are null."""
+    return df.dropna(how="all", subset=list(columns) if columns else None)
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -79,6 +80,14 @@ def filter_missing_columns(df: DataFrame, rate: float, always: Sequence[str] = (
     return df.select(*always, *kept)
 
 
+def columns_with_values(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those of ``columns`` that hold a value in some row; one row of counts comes to the driver."""
+    if not columns:
+        return []
+    counted = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    return [c for c in columns if counted[c]]
+
+
 def label_summary(df: DataFrame, label: str) -> DataFrame:
     """Positive share in percent, positive count and total count."""
     return df.agg(

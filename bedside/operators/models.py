@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -51,7 +51,9 @@ ELIMINATION = GbtParams(learning_rate=0.03, max_depth=6, min_rows=20, rounds=300
 
 @dataclass(frozen=True)
 class Trained:
-    model: GBTClassificationModel
+    """A model, the columns it reads, and its rounds; no model where there was nothing to learn from."""
+
+    model: GBTClassificationModel | None
     columns: tuple[str, ...]
     rounds: int
 
@@ -102,7 +104,7 @@ def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel
     """The model after its first ``n`` rounds."""
     if n >= model.getNumTrees:
         return model
-    context = SparkSession.getActiveSession().sparkContext
+    context = SparkContext.getOrCreate()  # threads have no active session
     jvm, gateway = context._jvm, context._gateway
     trees, weights = model._java_obj.trees(), model.treeWeights
     some = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
@@ -124,8 +126,10 @@ def train_gbt(
 
     The first fit takes twice ``patience`` rounds, which usually shows the best one; the ensemble is then cut back to it. Only while
     the validation loss is still improving is a fit repeated with twice the rounds, up to ``params.rounds``. Rounds without any split end a fit as
-    well, at one tree at least. Labels of ``valid`` are read from the column ``label`` too.
+    well, at one tree at least. Without rows or columns there is no model.
     """
+    if not columns or train.isEmpty():
+        return Trained(None, tuple(columns), 0)
     rows = _assemble(train, columns, label).cache()
     held = None
     try:
@@ -151,7 +155,9 @@ def train_gbt(
 
 
 def predict(trained: Trained, df: DataFrame, label: str, keep: Sequence[str], score: str = "score") -> DataFrame:
-    """Probability of the positive class."""
+    """Probability of the positive class, null without a model."""
+    if trained.model is None:
+        return df.select(*dict.fromkeys([*keep, label]), F.lit(None).cast("double").alias(score))
     scored = trained.model.transform(_assemble(df, trained.columns, label, keep))
     kept = [c for c in dict.fromkeys([*keep, label]) if c in scored.columns]
     return scored.select(*kept, vector_to_array("probability")[1].alias(score))
@@ -174,7 +180,7 @@ def cross_predict(
         inside, outside = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
         return train_gbt(inside, outside, columns, label, params)
 
-    fits = _side_by_side(fit, range(k))
+    fits = _side_by_side(train.sparkSession, fit, range(k))
     held_out = [predict(fitted, folded.filter(F.col("fold") == fold), label, [key, "fold"]) for fold, fitted in enumerate(fits)]
     tests = [predict(fitted, test, label, [key]) for fitted in fits] if test is not None else []
     nodes = _union([node_table(fitted).withColumn("fold", F.lit(fold)) for fold, fitted in enumerate(fits)])
@@ -184,11 +190,11 @@ def cross_predict(
     return CrossValidated(_union(held_out), mean_test, nodes, feature_importance(nodes, columns, ["fold"], k), tuple(fits))
 
 
-def _side_by_side(work: Callable[[int], Trained], numbers: Sequence[int]) -> list[Trained]:
+def _side_by_side(spark: SparkSession, work: Callable, numbers: Sequence[int]) -> list:
     """``work`` of all numbers from one thread each, as Spark's own cross-validator does it."""
     pool = ThreadPool(processes=max(1, len(numbers)))
     try:
-        return pool.map(inheritable_thread_target(work), numbers)
+        return pool.map(inheritable_thread_target(spark)(work), numbers)
     finally:
         pool.close()
 
@@ -197,13 +203,18 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+NODES = "tree int, node int, feature string, threshold double, gain double, rows bigint, prediction double, left_node int, right_node int"
+
+
 def node_table(trained: Trained, folder: str | None = None) -> DataFrame:
     """One row per tree node: ``tree, node, feature, threshold, gain, rows, prediction, left_node, right_node``; leaves have no feature.
 
     The model is saved to ``folder`` (by default a new one in the folder all executors share, which goes when the driver ends) and Spark reads
     the nodes from there.
     """
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
+    if trained.model is None:
+        return spark.createDataFrame([], NODES)
     if folder is None:
         folder = sinks.passing_folder(spark, f"model-{uuid.uuid4().hex}")
     trained.model.write().overwrite().save(folder)
@@ -286,7 +297,7 @@ def rfe_cv(
             losses[len(fitted.columns)] = metrics.log_loss(scored, "score", label).first()["log_loss"]
         return losses
 
-    found = _side_by_side(walk, range(k))
+    found = _side_by_side(df.sparkSession, walk, range(k))
     known = {size: [losses[size] for losses in found if losses[size] is not None] for size in found[0]}  # an empty fold says nothing
     scores = {size: sum(losses) / len(losses) for size, losses in known.items()}
     best = min(sorted(scores), key=scores.get)

@@ -24,8 +24,10 @@ class Prepared:
     columns: tuple[str, ...]
 
 
-def prepare(feature: DataFrame, cohort: DataFrame, key: str, label: str, max_missing: float = MAX_MISSING) -> Prepared:
-    """Drop sparse features, attach labels, split, and impute with training means.
+def prepare(
+    feature: DataFrame, cohort: DataFrame, key: str, label: str, max_missing: float = MAX_MISSING, strategy: str = "mean"
+) -> Prepared:
+    """Drop sparse features, attach labels, split, and impute with training means (or medians).
 
     Trees here need complete rows, so every feature with gaps also gets a 0/1 column that marks them.
     """
@@ -35,10 +37,12 @@ def prepare(feature: DataFrame, cohort: DataFrame, key: str, label: str, max_mis
     flagged = features.with_null_flags(data, columns)
     train, test = features.split(flagged, key, TEST_SHARE, SPLIT_SEED)
     # a feature may be empty among the training rows although it is not overall
-    filled = [c for c in columns if c in features.filter_missing_columns(train.select(*columns), 0.9999).columns]
-    imputer = features.fit_imputer(train, filled)
+    filled = features.columns_with_values(train, columns)
     names = (*filled, *[f"{c}_isnull" for c in filled])
     wanted = [key, label, *names]
+    if not filled:
+        return Prepared(train.select(wanted), test.select(wanted), names)
+    imputer = features.fit_imputer(train, filled, strategy)
     return Prepared(imputer.transform(train).select(wanted), imputer.transform(test).select(wanted), names)
 
 
@@ -47,6 +51,11 @@ def evaluate(fitted: models.CrossValidated, label: str) -> DataFrame:
     parts = fitted.out_of_fold.select(label, "score", F.lit("valid").alias("part"))
     if fitted.test is not None:
         parts = parts.unionByName(fitted.test.select(label, "score", F.lit("test").alias("part")))
+    return scores(parts, label)
+
+
+def scores(parts: DataFrame, label: str) -> DataFrame:
+    """The same of given predictions (``part, score`` and the label)."""
     by = ["part"]
     scored = metrics.auc(parts, "score", label, by)
     scored = scored.join(metrics.log_loss(parts, "score", label, by), by, "left")
