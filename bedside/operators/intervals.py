@@ -12,11 +12,8 @@ from bedside.operators import pieces
 
 BUCKET = "__bucket"
 BUCKET_HOURS = 24
-# an entity with this many intervals, and this many starting within one bucket, gets narrower buckets
-CROWDED_INTERVALS = 10_000
-CROWDED_BUCKET = 500
-# copies of an interval, on average, from which an entity gets wider buckets
-MAX_COPIES = 64
+# size classes of intervals: powers of two in microseconds, from a second in steps of sixteen to more than any two timestamps are apart
+SIZES = tuple(range(20, 61, 4))
 
 
 def interval_join(
@@ -28,36 +25,28 @@ def interval_join(
     end: str,
     how: str = "left",
     closed: bool = False,
-    widths: DataFrame | None = None,
 ) -> DataFrame:
     """Pair each point with every interval of its entity that holds it.
 
     ``start <= time < end``, or ``<= end`` when ``closed``; overlapping intervals multiply points. Beside the
     entity both sides carry a time bucket as equality key: a long-lived entity is spread over its buckets, and
     an interval meets only the points of the buckets it touches. An interval is repeated once per bucket, so
-    the copies are bounded by its length. ``widths``, from :func:`bounded_widths`, fits the buckets of entities
-    with crowds of intervals, or with very long ones.
+    the copies are bounded by its length: this is for windows of hours and days, :func:`attach_intervals` for any others.
 
     The bucket is not part of the result: an aggregation per (entity, time) that reused its partitioning would
     keep a crowded bucket in one task and forbid the adaptive split of a skewed join. It shuffles the partly
     aggregated matches again instead, which are few beside the points.
     """
-    default = F.lit(BUCKET_HOURS * MICROS_PER_HOUR)
-    width = default if widths is None else F.coalesce(F.col("__w"), default)
-
-    def with_width(side: DataFrame) -> DataFrame:
-        return side if widths is None else side.join(widths, list(on), "left")
-
     def bucket(at):
-        return F.floor(order_micros(at) / width).cast("long")
+        return F.floor(order_micros(at) / F.lit(BUCKET_HOURS * MICROS_PER_HOUR)).cast("long")
 
     last = F.col(end) >= F.col(start) if closed else F.col(end) > F.col(start)
     spread = (
-        with_width(intervals.filter(last))
+        intervals.filter(last)
         .withColumn(BUCKET, F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
         .withColumnsRenamed({start: f"__{start}", end: f"__{end}"})
     )
-    keyed = with_width(points).withColumn(BUCKET, bucket(F.col(time)))
+    keyed = points.withColumn(BUCKET, bucket(F.col(time)))
     p, i = keyed.alias("p"), spread.alias("i")
     match = F.col(f"p.{BUCKET}") == F.col(f"i.{BUCKET}")
     for key in on:
@@ -71,26 +60,46 @@ def interval_join(
     )
 
 
-def bounded_widths(intervals: DataFrame, on: Sequence[str], start: str, end: str) -> DataFrame | None:
-    """Bucket widths (``__w``) of entities whose intervals would crowd a bucket or be repeated too often.
+def placed_by_size(intervals: DataFrame, start: str, end: str, closed: bool = False) -> DataFrame:
+    """Intervals with ``__size``, the exponent of the smallest class they fit in, once per ``__bucket`` of that width they touch.
 
-    The width is the larger of the mean distance of starts and the mean length, which bounds the copies of an entity's intervals
-    by thrice their number whether they follow each other, overlap, or reach over all times. None if there is no such entity.
+    An interval is no longer than its buckets are wide, so it touches two at most. ``__from`` and ``__to`` are its ends in microseconds.
     """
-    low, high = order_micros(start), order_micros(end)
-    counted = intervals.select(*on, low.alias("__t"), F.greatest(high - low, F.lit(0)).cast("double").alias("__l")).groupBy(*on)
-    counted = counted.agg(
-        F.count("__t").alias("__n"),
-        (F.max("__t").cast("double") - F.min("__t").cast("double")).alias("__length"),
-        F.sum("__l").alias("__lengths"),
-    )
-    day = float(BUCKET_HOURS * MICROS_PER_HOUR)
-    n = F.col("__n")
-    width = F.greatest(F.col("__length") / n, F.col("__lengths") / n, F.lit(1.0))
-    crowded = (n > CROWDED_INTERVALS) & (F.col("__length") / n * CROWDED_BUCKET < day)
-    repeated = F.col("__lengths") / day > MAX_COPIES * n + MAX_COPIES
-    widths = counted.filter(crowded | repeated).select(*on, F.ceil(width).cast("long").alias("__w"))
-    return None if widths.isEmpty() else widths
+    last = F.col(end) >= F.col(start) if closed else F.col(end) > F.col(start)
+    length = F.col("__to") - F.col("__from")
+    size = F.lit(SIZES[-1])
+    for exponent in reversed(SIZES[:-1]):
+        size = F.when(length <= F.lit(1 << exponent), F.lit(exponent)).otherwise(size)
+    sized = intervals.filter(last).withColumns({"__from": order_micros(start), "__to": order_micros(end)}).withColumn("__size", size)
+    touched = F.sequence(_bucket("__from"), _bucket("__to"))
+    return sized.withColumn("__bucket", F.explode(touched))
+
+
+def _bucket(at: str):
+    return F.call_function("shiftright", F.col(at), F.col("__size"))
+
+
+def attach_intervals(
+    points: DataFrame, intervals: DataFrame, on: Sequence[str], time: str, start: str, end: str, closed: bool = False
+) -> DataFrame:
+    """Left lookup of all intervals of a point's entity that hold it, whatever their lengths; overlapping ones multiply points.
+
+    Buckets are dyadic: an interval lies in at most two buckets of its own size class, and a time looks into the one bucket of
+    each class in use. So short intervals in a crowd and years-long ones of one entity do not disturb each other, and
+    nothing has to be known about an entity beforehand. What holds a point depends on its entity and time alone: only the
+    different (entity, time) pairs look up, and the points then join what was found. A bucket of a long class with many times is a
+    skewed equality join, which the adaptive plan splits.
+    """
+    placed = placed_by_size(intervals, start, end, closed)
+    in_use = F.broadcast(placed.select("__size").distinct())  # at most len(SIZES) rows
+    times = points.select(*on, order_micros(time).alias("__t")).filter(pieces.present(*on, "__t")).distinct()
+    probes = times.withColumn("__size", F.explode(F.array(*[F.lit(e) for e in SIZES]))).join(in_use, "__size", "left_semi")
+    probes = probes.withColumn("__bucket", _bucket("__t"))
+    inside = (F.col("__from") <= F.col("__t")) & ((F.col("__t") <= F.col("__to")) if closed else (F.col("__t") < F.col("__to")))
+    taken = [c for c in intervals.columns if c not in on]
+    found = probes.join(placed, [*on, "__size", "__bucket"]).filter(inside).select(*on, "__t", *[F.col(c).alias(f"__i_{c}") for c in taken])
+    held = points.withColumn("__t", order_micros(time)).join(found, [*on, "__t"], "left")
+    return held.select(*[F.col(c) for c in points.columns], *[F.col(f"__i_{c}").alias(c) for c in taken])
 
 
 def attach_interval_value(
@@ -103,8 +112,7 @@ def attach_interval_value(
     value: str,
 ) -> DataFrame:
     """Left lookup of the interval value in force at each point."""
-    widths = bounded_widths(intervals, on, start, end)
-    held = interval_join(points, intervals.select(*on, start, end, value), on, time, start, end, widths=widths)
+    held = attach_intervals(points, intervals.select(*on, start, end, value), on, time, start, end)
     return held.select(*points.columns, value)
 
 

@@ -64,24 +64,34 @@ def test_point_lookup(frame, rows):
     ]
 
 
-@pytest.mark.parametrize("crowded", [False, True])
-def test_lookup_in_a_crowd(frame, monkeypatch, crowded):
-    """Narrow buckets for the crowded entity change nothing, long intervals over them included."""
-    if crowded:
-        monkeypatch.setattr(intervals, "CROWDED_INTERVALS", 20)
-        monkeypatch.setattr(intervals, "CROWDED_BUCKET", 5)
+def test_lookup_in_a_crowd(frame):
+    """Seconds-long, day-long and years-long intervals of one entity, before and after 1970 too."""
     rng = random.Random(4)
     starts = sorted(rng.sample(range(5000), 120))
     held = [(1, at(s), at(e), float(s)) for s, e in zip(starts, [*starts[1:], 5200])] + [(1, at(100), at(3000), -1.0), (2, at(0), at(4000), 0.5)]
-    points = [(k, at(rng.randrange(5300))) for k in (1, 1, 1, 2) for _ in range(40)]
-    intervals_df = frame("k bigint, s timestamp_ntz, e timestamp_ntz, w double", held)
-    assert (intervals.bounded_widths(intervals_df, ["k"], "s", "e") is not None) == crowded
-    out = intervals.attach_interval_value(frame("k bigint, t timestamp_ntz", points), intervals_df, ["k"], "t", "s", "e", "w")
-    expected = []
-    for k, t in points:
-        found = [w for j, s, e, w in held if j == k and s <= t < e]
-        expected += [(k, t, w) for w in found or [None]]
-    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
+    held += [(1, at(s), at(s) + timedelta(seconds=rng.choice([1, 40, 3000])), 1e6 + i) for i, s in enumerate(rng.choices(range(5000), k=300))]
+    held += [(1, datetime(1950, 1, 1), datetime(2030, 1, 1), -2.0), (2, datetime(1, 1, 1), datetime(9999, 12, 31), -3.0), (1, at(7), at(7), -4.0), (1, at(9), at(8), -5.0), (None, at(0), at(9), -6.0)]
+    points = [(k, at(rng.randrange(5300)) + timedelta(seconds=rng.randrange(60))) for k in (1, 1, 1, 2) for _ in range(60)]
+    points += [(1, datetime(1960, 2, 3)), (1, at(7)), (1, at(7)), (2, datetime(1, 1, 1)), (None, at(1)), (1, None), (3, at(0))]
+    for closed in (False, True):
+        out = intervals.attach_intervals(
+            frame("k bigint, t timestamp_ntz", points), frame("k bigint, s timestamp_ntz, e timestamp_ntz, w double", held), ["k"], "t", "s", "e", closed
+        )
+        expected = []
+        for k, t in points:
+            found = [(s, e, w) for j, s, e, w in held if k is not None and t is not None and j == k and s <= t and (t <= e if closed else t < e)]
+            expected += [(k, t, *f) for f in found or [(None, None, None)]]
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
+
+
+def test_an_interval_lies_in_two_buckets_of_its_class_at_most(frame):
+    rng = random.Random(9)
+    held = [(1, at(0) + timedelta(microseconds=s), at(0) + timedelta(microseconds=s + rng.randrange(2 ** rng.randrange(1, 58)))) for s in rng.choices(range(10**12), k=400)]
+    held += [(1, datetime(1, 1, 1), datetime(9999, 12, 31))]
+    placed = intervals.placed_by_size(frame(DDL, held), "s", "e", closed=True)
+    copies = placed.groupBy("s", "e").agg(F.countDistinct("__bucket").alias("n"), F.countDistinct("__size").alias("sizes")).collect()
+    assert len(copies) == len(set(held)) and max(r["n"] for r in copies) == 2 and {r["sizes"] for r in copies} == {1}
+    assert placed.select("__size").distinct().count() > 5
 
 
 def test_lookup_in_a_crowd_of_overlaps(spark):
