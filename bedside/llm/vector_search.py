@@ -2,7 +2,8 @@
 
 Components become integers, ``floor(scale * x)``. Equal vectors are one class, which keeps its smallest ``k + 1`` ids: more can
 never be among the k best of any query. Each class is stored twice: as one byte per component (the cell it falls into) and as
-the exact vector.
+the exact vector. Cells divide the range of the vector's own largest component, to a power of two, so vectors of very different size do not
+coarsen each other's bounds.
 
 1. Scan: cells are packed into segments, query vectors into blocks, and every block meets every segment once (an equality join
    on block and segment group, so neither side is broadcast and no task holds more than a segment and a block). A matrix
@@ -13,8 +14,10 @@ the exact vector.
 3. Last reads: the other candidates are read only if their upper bound reaches that limit. What stays unread cannot belong to
    the result.
 
-Rows take no part if the id or the vector is null, if a component is null, not finite, or beyond +-2^26 after scaling (scores
-must fit a long). Vectors meet only vectors of their own length. Repeated equal rows count once. An empty table gives no rows.
+Scores are longs where both vectors are small enough and decimals of 38 digits otherwise, so they are exact at any size of the components
+up to 2^56 after scaling (from there on a score may have more digits than any column can hold).
+
+Rows take no part if the id or the vector is null, or if a component is null, not finite, or beyond that. Vectors meet only vectors of their own length. Repeated equal rows count once; a row with the query's id and another vector is a candidate. An empty table gives no rows.
 Other columns of the input are not read.
 """
 
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from bedside.llm.common import Scratch, shuffle_partitions, table
 
 SCALE = 256
-LIMIT = 1 << 26
+LIMIT = 1 << 56
+#: Bits of a component once its vector is brought to a common size, before it falls into a cell.
+BITS = 20
 #: Cells per component, vectors in a segment, queries in a block.
 CELLS = 64
 SEGMENT = 4096
@@ -63,23 +68,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scratch: Scratch, vec_id
         .select(F.element_at("ids", 1).alias("id"), "ids", "vec", F.size("vec").alias("dims"))
         # a class is named by its smallest id and a digest, since one id may come with several vectors
         .withColumn("key", F.struct("id", F.xxhash64("vec").alias("digest")))
+        .withColumn("largest", F.coalesce(F.array_max(F.transform("vec", lambda x: F.abs(x))), F.lit(0)))
     )
     classes = scratch.keep(classes, "classes")
     asked = rows.filter(is_query).withColumnRenamed("id", "query_id").join(classes.select("vec", "key"), "vec").select("query_id", "key")
     asked = scratch.keep(asked, "asked")
     query_classes = classes.join(asked.select("key").distinct(), "key", "left_semi")
 
-    n, low, high = classes.agg(F.count("*"), F.min(F.array_min("vec")), F.max(F.array_max("vec"))).first()
-    n_queries = query_classes.count()
-    low, high = low or 0, high or 0
-    width = -(-(high - low + 1) // CELLS)
+    n, n_queries = classes.count(), query_classes.count()
     segments, blocks = max(1, math.ceil(n / SEGMENT)), max(1, math.ceil(n_queries / BLOCK))
     groups = min(segments, max(1, math.ceil(2 * shuffle_partitions(spark) / blocks)))
 
-    cells = F.transform(F.col("vec"), lambda x: F.floor((x - F.lit(low)) / F.lit(width)).cast("byte"))
+    # the power of two that brings the largest component just below 2^BITS, up or down
+    unit = F.pow(F.lit(2.0), (F.length(F.bin("largest")) - BITS).cast("double"))
+    low, width = -(1 << BITS), (2 << BITS) // CELLS
+    place = lambda x: F.floor((F.floor(x.cast("double") / F.col("unit")) - low) / width)
+    cells = F.transform(F.col("vec"), lambda x: F.least(place(x), F.lit(CELLS - 1)).cast("byte"))
     packed = (
-        classes.groupBy("dims", F.pmod(F.xxhash64("key"), F.lit(segments)).alias("segment"))
-        .agg(F.collect_list(F.struct(F.col("id"), F.col("key.digest").alias("digest"), cells.alias("cells"))).alias("stored"))
+        classes.withColumn("unit", unit)
+        .groupBy("dims", F.pmod(F.xxhash64("key"), F.lit(segments)).alias("segment"))
+        .agg(F.collect_list(F.struct(F.col("id"), F.col("key.digest").alias("digest"), "unit", cells.alias("cells"))).alias("stored"))
         .select("dims", (F.col("segment") % groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "stored")
     )
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
@@ -97,7 +105,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scratch: Scratch, vec_id
     first = scratch.keep(_exact(found.filter(F.col("place") <= first_reads), classes), "first_reads")
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "key")
     limits = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k + 1).select("q", F.col("score").alias("limit"))
-    rest = found.filter(F.col("place") > first_reads).join(limits, "q").filter(F.col("bound") >= F.col("limit"))
+    rest = found.filter(F.col("place") > first_reads).join(limits, "q").filter(F.col("bound") >= F.col("limit").cast("double"))
     scored = first.unionByName(_exact(rest.drop("limit"), classes))
 
     members = scored.join(classes.select("key", "ids"), "key").select("q", "key", "score", F.explode("ids").alias("vec_id"))
@@ -111,9 +119,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scratch: Scratch, vec_id
 
 def _exact(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``q, key, score`` with the exact vectors read for just these pairs."""
-    mine = classes.select(F.col("key").alias("q"), F.col("vec").alias("q_vec"))
-    other = classes.select("key", "vec")
-    product = F.aggregate(F.zip_with("q_vec", "vec", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    mine = classes.select(F.col("key").alias("q"), F.col("vec").alias("q_vec"), F.col("largest").alias("q_largest"))
+    other = classes.select("key", "vec", "largest")
+
+    def dot(kind: str) -> Column:
+        pairs = F.zip_with("q_vec", "vec", lambda a, b: (a.cast(kind) * b.cast(kind)).cast("bigint" if kind == "bigint" else "decimal(38,0)"))
+        zero = F.lit(0).cast("bigint" if kind == "bigint" else "decimal(38,0)")
+        return F.aggregate(pairs, zero, lambda s, x: (s + x).cast("bigint" if kind == "bigint" else "decimal(38,0)")).cast("decimal(38,0)")
+
+    fits = F.col("q_largest").cast("double") * F.col("largest") * (F.size("vec") + 1) < 2.0**62
+    product = F.when(fits, dot("bigint")).otherwise(dot("decimal(19,0)"))
     return pairs.select("q", "key").join(other, "key").join(mine, "q").select("q", "key", product.alias("score"))
 
 
@@ -131,11 +146,13 @@ def _bounds(wanted: int, low: float, width: float):
                 stored, asking = batch.column("stored")[row].values, batch.column("asking")[row].values
                 q = matrix(asking.field("vec"), dims) if dims else np.zeros((len(asking), 0))
                 c = matrix(stored.field("cells"), dims) if dims else np.zeros((len(stored), 0))
-                corner = (q @ c.T) * width + low * q.sum(1)[:, None]
+                # a component lies between its cell's corner and the next one, times the vector's unit, but for a rounded division
+                unit = stored.field("unit").to_numpy(zero_copy_only=False)
+                corner = (q @ c.T) * width + (low - 1) * q.sum(1)[:, None]
                 # rounding of sums over doubles is far below this margin
                 margin = 1e-9 * (np.abs(q).sum(1) * (abs(low) + width * CELLS)) + 1
-                upper = corner + ((width - 1) * np.maximum(q, 0).sum(1) + margin)[:, None]
-                lower = corner + ((width - 1) * np.minimum(q, 0).sum(1) - margin)[:, None]
+                upper = (corner + ((width + 2) * np.maximum(q, 0).sum(1) + margin)[:, None]) * unit
+                lower = (corner + ((width + 2) * np.minimum(q, 0).sum(1) - margin)[:, None]) * unit
                 n = c.shape[0]
                 if n > wanted:
                     limit = np.partition(lower, n - wanted, axis=1)[:, n - wanted]
@@ -153,7 +170,8 @@ def _bounds(wanted: int, low: float, width: float):
 
 
 def op2_vector_search(spark, folder):
-    return top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5, Scratch(spark))
+    found = top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5, Scratch(spark))
+    return found.withColumn("score", F.col("score").try_cast("bigint"))
 
 
 OP2_SQL = """

@@ -248,3 +248,21 @@ def test_top_k(spark, scratch, seed, monkeypatch):
     found = v.top_k(table, F.col("id") % 50 == 0, 5, scratch).collect()
     assert sorted(map(tuple, found)) == sorted(brute_top(rows, 5))
     assert v.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0, 5, scratch).count() == 0
+
+
+def test_top_k_of_vectors_of_any_size(spark, scratch):
+    from bedside.llm import vector_search as v
+
+    found = v.top_k(spark.createDataFrame([(50, [1.0, 2.0]), (1, [300000.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0, 5, scratch)
+    assert [(r.vec_id, r.score) for r in found.orderBy("rank").collect()] == [(1, 256 * 256 * 300002), (2, 256 * 256 * 3)]
+    rnd = random.Random(7)
+    rows = [(i, [rnd.gauss(0, 1) * 10.0 ** rnd.choice([-3, 0, 0, 0, 5, 12, 13]) for _ in range(5)]) for i in range(300)]
+    # one id with two vectors: each is a candidate of the other
+    rows += [(50, rows[51][1]), (7, [3e5] * 5), (8, [-1e12] * 5), (9, [1e300] * 5), (150, [0.0] * 5)]
+    found = v.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0, 5, scratch).collect()
+    whole = [(i, [math.floor(256 * x) for x in vec]) for i, vec in rows if max(map(abs, vec)) * 256 < 2**56]
+    expected = []
+    for q, a in {(i, tuple(x)) for i, x in whole if i % 50 == 0}:
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in {(i, tuple(x)) for i, x in whole} if (i, b) != (q, a))[:5]
+        expected += [(q, n + 1, i, -minus) for n, (minus, i) in enumerate(scored)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, int(r.score)) for r in found) == sorted(expected)
