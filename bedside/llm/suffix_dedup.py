@@ -1,9 +1,9 @@
 """Removal of repeated byte strings by interval expansion on Burrows-Wheeler transforms.
 
-A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts anywhere else in the collection, the same text included.
+A byte goes if it is covered by a string of ``length`` bytes (``LENGTH`` by default; grams are five eighths of it) that also starts anywhere else in the collection, the same text included.
 Strings never cross texts, overlaps count, and all strings are judged on the input.
 
-Dealing out. The key of a window (of ``LENGTH`` bytes) is the smallest hash of its ``GRAM``-byte strings, so equal windows have equal keys.
+Dealing out. The key of a window (of ``length`` bytes) is the smallest hash of its ``gram``-byte strings, so equal windows have equal keys.
 Consecutive windows mostly share their key; such a run of windows is one entry (key, text, start, count, digest of its bytes).
 Entries are dealt by key to fragments, which hold a bounded number of entries at any size of the input. There
 
@@ -11,15 +11,15 @@ Entries are dealt by key to fragments, which hold a bounded number of entries at
 * keys with several different runs (the places where copies begin to differ) need their text.
 
 The transform. The distinct texts of such runs are fetched, once each, and gathered by key into shards of bounded size. Each shard
-sorts the suffixes of its texts to a depth of ``LENGTH`` and derives the longest common prefixes of neighbours from the transform:
-breadth-first backward extension over intervals finds the boundaries with common prefix 0, 1, 2, ... and stops at ``LENGTH``, so
+sorts the suffixes of its texts to a depth of ``length`` and derives the longest common prefixes of neighbours from the transform:
+breadth-first backward extension over intervals finds the boundaries with common prefix 0, 1, 2, ... and stops at ``length``, so
 only boundaries between suffixes that share that much remain open. A window at such a boundary is a repeat.
 
 A key with more than ``CROWD`` different runs (a passage in a great many texts) is too large for one shard; its windows are
 dealt by digest and counted there instead, exactly as well.
 
 Texts are identified by a 128-bit digest of their bytes, so repeated rows, null or repeated ids and clashing names do no harm. Null texts
-are empty; texts shorter than ``LENGTH`` bytes keep all bytes. Where a cut leaves part of a character, the digest holds its
+are empty; texts shorter than ``length`` bytes keep all bytes. Where a cut leaves part of a character, the digest holds its
 bytes and the text leaves them out. Empty tables give no rows.
 """
 
@@ -95,18 +95,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(key, text number, start within the text, windows, digest, whether the run may repeat itself) of the runs of all texts."""
     none = np.zeros(0, np.int64)
     first = np.concatenate([[0], ends[:-1]])
-    n = len(data) - LENGTH + 1
+    n = len(data) - length + 1
     if n <= 0:
         return none.astype(np.uint64), none, none, none, none.astype(np.uint64), none.astype(bool)
     rolling = Rolling(data)
-    grams = rolling.windows(GRAM)
-    key = sliding_min(grams, LENGTH - GRAM + 1)  # by start of the window
+    grams = rolling.windows(gram)
+    key = sliding_min(grams, length - gram + 1)  # by start of the window
     text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))[:n]
-    fits = np.arange(n) + LENGTH <= ends[text]
+    fits = np.arange(n) + length <= ends[text]
     begin = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])]) & fits
     begin = np.flatnonzero(begin)
     last = np.flatnonzero(fits & np.concatenate([(key[1:] != key[:-1]) | (text[1:] != text[:-1]) | ~fits[1:], [True]])) + 1
@@ -120,13 +120,13 @@ def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     own = text[begin]
     within = np.zeros(len(begin), bool)
     for t in np.unique(own).tolist():
-        part = grams[first[t] : max(first[t], ends[t] - GRAM + 1)]
+        part = grams[first[t] : max(first[t], ends[t] - gram + 1)]
         ordered = np.sort(part)
         if (ordered[1:] == ordered[:-1]).any():  # the text repeats a gram: look which runs hold their smallest gram twice
             for r in np.flatnonzero(own == t).tolist():
-                region = grams[begin[r] : begin[r] + size[r] + LENGTH - GRAM]
+                region = grams[begin[r] : begin[r] + size[r] + length - gram]
                 within[r] = np.count_nonzero(region == key[begin[r]]) > 1
-    return key[begin], own, begin - first[own], size, rolling.of(begin, begin + size - 1 + LENGTH), within
+    return key[begin], own, begin - first[own], size, rolling.of(begin, begin + size - 1 + length), within
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -156,7 +156,7 @@ def _deal(rows: np.ndarray, by: np.ndarray, n_fragments: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(fragment[bounds[:-1]].astype(np.int64), pa.int64()), pa.array(packed, pa.binary())], ["fragment", "entries"])
 
 
-def _entries(n_fragments: int):
+def _entries(n_fragments: int, length: int, gram: int):
     """Batches of (digest of the text, text) to packed entries."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def _entries(n_fragments: int):
             names = np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")
             found, size = [], 0
             for number, data, ends in _pieces(batch.column(1)):
-                key, own, start, count, digest, within = runs_of(data, ends)
+                key, own, start, count, digest, within = runs_of(data, ends, length, gram)
                 rows = np.empty(len(key), ENTRY)
                 rows["key"], rows["digest"], rows["text"], rows["start"], rows["size"], rows["self"] = key, digest, names[number + own], start, count, within
                 found.append(rows)
@@ -345,7 +345,7 @@ def _stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - edges[::2]
 
 
-def _expand(group: pa.Table) -> pa.Table:
+def _expand(group: pa.Table, length: int) -> pa.Table:
     """Repeats among the texts of a shard, for the runs that are not settled yet."""
     order = np.lexsort((group.column("digest").to_numpy(), group.column("key").to_numpy()))
     group = group.take(pa.array(order))
@@ -356,7 +356,7 @@ def _expand(group: pa.Table) -> pa.Table:
     sizes, known, begin = group.column("size").to_numpy(), np.array(group.column("known").to_pylist(), bool), group.column("start").to_numpy()
     names, starts, counts = [], [], []
     if not known.all():
-        for name, at, done, flags in zip(group.column("text").to_pylist(), begin.tolist(), known.tolist(), repeated_starts(texts, sizes)):
+        for name, at, done, flags in zip(group.column("text").to_pylist(), begin.tolist(), known.tolist(), repeated_starts(texts, sizes, length)):
             if not done and flags.any():
                 s, c = _stretches(flags)
                 names.append(name)
@@ -368,7 +368,7 @@ def _expand(group: pa.Table) -> pa.Table:
 WINDOW = np.dtype([("digest", "<u8"), ("check", "<u8"), ("text", "V16"), ("start", "<u4")])
 
 
-def _windows(n_fragments: int):
+def _windows(n_fragments: int, length: int):
     """Batches of run texts to packed windows, dealt by digest."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,8 +378,8 @@ def _windows(n_fragments: int):
             for name, start, size, data in rows:
                 data = np.frombuffer(data.as_buffer(), np.uint8)
                 windows = np.empty(size, WINDOW)
-                windows["digest"] = Rolling(data).windows(LENGTH)
-                windows["check"] = Rolling(data[::-1]).windows(LENGTH)[::-1]
+                windows["digest"] = Rolling(data).windows(length)
+                windows["check"] = Rolling(data[::-1]).windows(length)[::-1]
                 windows["text"] = np.frombuffer(name, "V16")[0]
                 windows["start"] = start + np.arange(size)
                 found.append(windows)
@@ -406,15 +406,15 @@ def text_name(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def repeat_marks(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
+def repeat_marks(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``text`` (digest), ``starts``, ``sizes``: per text the runs of places where a repeated string starts."""
-    spark = docs.sparkSession
-    read = docs.select(text_or_empty(text).alias("t")).filter(F.octet_length("t") >= LENGTH)
+    spark, gram = docs.sparkSession, GRAM * length // LENGTH
+    read = docs.select(text_or_empty(text).alias("t")).filter(F.octet_length("t") >= length)
     read = read.select(text_name(F.col("t")).alias("text"), F.col("t").cast("binary").alias("bytes"))
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    expected = 2 * total / (LENGTH - GRAM + 2)
+    expected = 2 * total / (length - gram + 2)
     n_fragments = max(shuffle_partitions(spark), math.ceil(expected / FRAGMENT))
-    found = read.mapInArrow(_entries(n_fragments), ENTRIES).groupBy("fragment").applyInArrow(_settle, FOUND)
+    found = read.mapInArrow(_entries(n_fragments, length, gram), ENTRIES).groupBy("fragment").applyInArrow(_settle, FOUND)
     found = scratch.keep(found, "found")
     settled = found.filter("kind = 0").select("text", "starts", "sizes")
 
@@ -435,7 +435,7 @@ def repeat_marks(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
             for name, runs, data in zip(batch.column("text"), batch.column("runs"), batch.column("bytes")):
                 name, data = name.as_py(), data.as_py()
                 for r in runs.as_py():
-                    row = (name, r["kind"], r["starts"], r["sizes"], r["keys"], r["digests"], r["known"], data[r["starts"] : r["starts"] + r["sizes"] - 1 + LENGTH])
+                    row = (name, r["kind"], r["starts"], r["sizes"], r["keys"], r["digests"], r["known"], data[r["starts"] : r["starts"] + r["sizes"] - 1 + length])
                     for column, value in zip(columns, row):
                         column.append(value)
                 if len(columns[0]) >= 20_000:
@@ -447,42 +447,42 @@ def repeat_marks(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataF
     texts = scratch.keep(once.join(asked, "text").mapInArrow(cut, fields), "texts")
     volume, windows = texts.agg(F.sum(F.when(F.col("kind") == 1, F.octet_length("bytes"))), F.sum(F.when(F.col("kind") == 2, F.col("size")))).first()
     shards = max(min(shuffle_partitions(spark), math.ceil((volume or 0) / 100_000)), math.ceil((volume or 0) / SHARD_BYTES), 1)
-    expanded = texts.filter("kind = 1").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_expand, MARKS)
+    expanded = texts.filter("kind = 1").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(lambda group: _expand(group, length), MARKS)
     marks = settled.unionByName(expanded)
     if windows:
         n = max(shuffle_partitions(spark), math.ceil(windows / FRAGMENT))
-        counted = texts.filter("kind = 2").select("text", "start", "size", "bytes").mapInArrow(_windows(n), ENTRIES).groupBy("fragment").applyInArrow(_count_windows, MARKS)
+        counted = texts.filter("kind = 2").select("text", "start", "size", "bytes").mapInArrow(_windows(n, length), ENTRIES).groupBy("fragment").applyInArrow(_count_windows, MARKS)
         marks = marks.unionByName(counted)
     joined = marks.groupBy("text").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
     return scratch.keep(joined, "marks")
 
 
-def kept_bytes(data: bytes, starts, sizes) -> tuple[bytes, int, int]:
+def kept_bytes(data: bytes, starts, sizes, length: int = LENGTH) -> tuple[bytes, int, int]:
     """(remaining bytes, removed bytes, maximal removed runs) for runs of places where repeated strings start."""
     if starts is None or not len(starts):
         return data, 0, 0
     begin = np.asarray(starts, np.int64)
     edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, begin, 1)
-    np.add.at(edge, begin + np.asarray(sizes, np.int64) - 1 + LENGTH, -1)
+    np.add.at(edge, begin + np.asarray(sizes, np.int64) - 1 + length, -1)
     gone = np.cumsum(edge[:-1]) > 0
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(np.count_nonzero(gone)), spans
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", digest: bool = False) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of its text.
+def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", digest: bool = False, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the bytes of repeated strings of ``length`` bytes taken out of its text.
 
-    With ``digest`` the text is replaced by ``n_bytes, n_removed, n_spans, kept_sha256`` (underscores are added to taken names).
+    With ``digest`` come ``n_bytes, n_removed, n_spans, kept_sha256`` (underscores are added to taken names) before the text.
     """
-    marks = repeat_marks(docs, scratch, text)
+    marks = repeat_marks(docs, scratch, text, length)
     own = [c for c in docs.columns if c != text]
     names = {c: free_name(c, docs.columns) for c in ("text_name", "mark_starts", "mark_sizes", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
     name, starts, sizes = names["text_name"], names["mark_starts"], names["mark_sizes"]
     named = docs.withColumn(text, text_or_empty(text)).withColumn(name, text_name(F.col(text)))
     joined = named.join(marks.withColumnsRenamed({"text": name, "starts": starts, "sizes": sizes}), name, "left")
-    out_names = [names[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")] if digest else [text]
-    kinds = ["long", "long", "long", "string"] if digest else ["string"]
+    out_names = [*([names[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")] if digest else []), text]
+    kinds = [*(["long", "long", "long", "string"] if digest else []), "string"]
     schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema
     for c, k in zip(out_names, kinds):
         schema = schema.add(c, k)
@@ -494,10 +494,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", digest
             rows = []
             for data, s, c in zip(texts, batch.column(at + 1), batch.column(at + 2)):
                 data = data.encode()
-                kept, removed, spans = kept_bytes(data, s.values.to_numpy() if s.is_valid else None, c.values.to_numpy() if c.is_valid else None)
-                rows.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest()) if digest else (kept.decode("utf-8", "ignore"),))
+                kept, removed, spans = kept_bytes(data, s.values.to_numpy() if s.is_valid else None, c.values.to_numpy() if c.is_valid else None, length)
+                figures = (len(data), removed, spans, hashlib.sha256(kept).hexdigest()) if digest else ()
+                rows.append((*figures, kept.decode("utf-8", "ignore")))
             columns = zip(*rows) if rows else [()] * len(out_names)
-            kinds_ = [pa.int64()] * 3 + [pa.string()] if digest else [pa.string()]
+            kinds_ = ([pa.int64()] * 3 + [pa.string()] if digest else []) + [pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(c, k) for c, k in zip(columns, kinds_)]], [*own, *out_names])
 
     rewritten = joined.select(*[F.col(f"`{c}`") for c in own], text, starts, sizes).mapInArrow(rewrite, schema)
