@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from bedside.llm import jaccard_join, mixing, piece_scan, quality_rules, suffix_dedup
 from bedside.llm.common import Scratch, table
 
+#: Bytes of a repeated passage, about 35 words: passages of 50 words and more are well above it.
+REPEATED = 200
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the threshold table."""
@@ -19,8 +22,8 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of strings of 400 bytes that come more than once."""
-    return suffix_dedup.remove_repeats(docs, Scratch(spark))
+    """All documents, without the bytes of strings of ``REPEATED`` bytes that come more than once."""
+    return suffix_dedup.remove_repeats(docs, Scratch(spark), length=REPEATED)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
