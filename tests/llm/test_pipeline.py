@@ -113,7 +113,7 @@ def test_pipeline_against_brute_force(spark, docs, scratch, tmp_path):
             assert Counter(r.doc_id for r in found) == ids
             rows = [(r.doc_id, r.text, r.source) for r in found]
         elif number == 2:
-            kept = [e[4].decode("utf-8", "ignore") for e in brute_repeats([t for _, t, _ in rows], 400)]
+            kept = [e[4].decode("utf-8", "ignore") for e in brute_repeats([t for _, t, _ in rows], corpus_pipeline.REPEATED)]
             assert Counter((r.doc_id, r.text) for r in found) == Counter((d, k) for (d, _, _), k in zip(rows, kept))
             rows = [(r.doc_id, r.text, r.source) for r in found]
         elif number == 3:
