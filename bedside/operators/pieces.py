@@ -2,18 +2,20 @@
 
 A window function puts every row of one partition key into one task. Here entities are counted first. When
 none has more than ``max_rows`` rows, the plan is the plain window. Otherwise such heavy entities are cut along
-their order column into pieces of about ``max_rows`` rows; windows run per (entity, piece), and what crosses a
+their order into pieces of about ``max_rows`` rows; windows run per (entity, piece), and what crosses a
 piece border (the running maximum so far, the last known value, the count so far, the next row) is carried by a
 small table with one row per piece.
 
-* Counting is one map-side-combined pass over keys and order column. ``sized_by`` lets a caller count the raw
+* Counting is one map-side-combined pass over the keys. ``sized_by`` lets a caller count the raw
   rows an expensive frame was derived from, which bound its own rows.
-* At most N / max_rows entities are heavy and they have at most 2 N / max_rows pieces. Both small tables are
-  bounded that way, which is why they are broadcast; ordinary entities have no row in either.
-* Pieces are equal widths of the order column, and pieces that are still too full because the values cluster
-  are cut once more. Null order values have the first piece, then come minus infinity, the finite values, infinity and NaN,
-  which is the order of a window, so that the result is the same whether a key is cut or not.
-* Rows with equal order values always share a piece, so peers are never separated.
+* Borders are places (order value and tie-break columns together) taken at equal steps from a sample of a heavy key's different
+  places, chosen by their hash. So they follow the density of the values, whatever their type, and crowds of null, infinite
+  or tied order values are cut along the tie-break. Places compare as in a window: nulls first, NaN last.
+* A level makes at most ``FAN`` pieces of a key, from at most about ``FAN * SAMPLED`` places. Pieces above twice ``max_rows`` are cut again,
+  unless all their rows have one place: such rows have no order, and a window would not tell them apart either.
+* The hash makes borders the same in every run. They are written to the shared folder, once, and read back by the plans
+  that need them; they have at most 2 N / max_rows entries, and Spark decides by size whether to broadcast them.
+* Rows with equal places always share a piece. Without ``ties`` peers are therefore never separated.
 * The shuffle on (entity, piece) is asked for explicitly. A frame that arrives partitioned by entity alone,
   say from a join, would satisfy the window too and leave a heavy entity in one task.
 
@@ -25,14 +27,19 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from bedside.sources.shared import keep_in, shared_folder
+
 PIECE = "__piece"
 MAX_ROWS = 1_000_000
-_LEVEL_BITS = 20
-_CUT = ("__lo", "__width", "__pieces")
+#: Pieces a level makes of a key at most, sampled places per piece, borders compared at once, levels.
+FAN, SAMPLED, CHUNK, LEVELS = 256, 32, 16, 7
+_LEVEL_BITS = FAN.bit_length() - 1
+_HASHES = 1 << 40
 
 
 def before(w: WindowSpec) -> WindowSpec:
@@ -102,28 +109,35 @@ def cut_rows(
     order: str | Column,
     max_rows: int | None = MAX_ROWS,
     sized_by: DataFrame | None = None,
+    ties: Sequence[str | Column] = (),
 ) -> Pieces:
-    """Cut the heavy keys of ``df`` along ``order``; ``sized_by`` has the same keys and order to count instead.
+    """Cut the heavy keys of ``df`` along ``order`` and ``ties``; ``sized_by`` has the same keys and order to measure instead.
 
+    Only ties that are given by name, ascending, and that ``sized_by`` has as well, help to cut.
     Without ``max_rows`` no key is heavy and nothing is counted.
     """
-    keys, order = tuple(keys), _col(order)
+    keys = tuple(keys)
     if max_rows is None:
         return Pieces(df, keys, False)
     sized = df if sized_by is None else sized_by
-    heavy = _heavy(sized, keys, order, max_rows)
-    if heavy.isEmpty():
+    counts = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_rows)
+    if counts.isEmpty():
         return Pieces(df, keys, False)
 
-    def first_level(rows: DataFrame) -> DataFrame:
-        return _lookup(rows, heavy, keys).withColumn(PIECE, F.shiftleft(_piece(order), _LEVEL_BITS)).drop(*_CUT)
-
-    out = first_level(df)
-    full = _heavy(first_level(sized).filter(F.col(PIECE).isNotNull()), (*keys, PIECE), order, max_rows)
-    if not full.isEmpty():
-        inner = F.col(PIECE) + F.coalesce(_piece(order), F.lit(0))
-        out = _lookup(out, full, (*keys, PIECE)).withColumn(PIECE, inner).drop(*_CUT)
-    return Pieces(out, keys, True)
+    usable = takewhile(lambda t: isinstance(t, str) and t in sized.columns, ties)
+    place = F.struct(*[_col(c).alias(f"c{i}") for i, c in enumerate((order, *usable))])
+    keep = keep_in(shared_folder(df.sparkSession))
+    heavy = keep("heavy", counts)
+    rows = _lookup(sized, heavy, keys).filter(F.col("__n").isNotNull()).drop("__n")
+    out, by, level = df, keys, 0
+    while level < LEVELS:
+        full = keep(f"full_{level}", _full(rows, by, place, max_rows if level == 0 else 2 * max_rows))
+        if full.isEmpty():
+            break
+        borders = keep(f"borders_{level}", _borders(rows, by, place, full, max_rows, level))
+        out, rows = (_numbered(part, by, place, borders, level) for part in (out, rows))
+        by, level = (*keys, PIECE), level + 1
+    return Pieces(out, keys, level > 0)
 
 
 def limit_for(sized: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_ROWS) -> int | None:
@@ -137,42 +151,35 @@ def limit_for(sized: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_
     return None if heavy.isEmpty() else max_rows
 
 
-def _heavy(df: DataFrame, keys: Sequence[str], order: Column, max_rows: int) -> DataFrame:
-    """Start, piece width and piece count of every key with more than ``max_rows`` rows."""
-    n, lo, hi = F.col("__n"), F.col("__lo"), F.col("__hi")
-    pieces = F.ceil(n / F.lit(max_rows))
-    return (
-        df.select(*keys, F.when(_finite(order), order.cast("double")).alias("__x"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-        .filter(n > max_rows)
-        .select(
-            *keys,
-            "__lo",
-            ((hi - lo) / pieces).alias("__width"),
-            pieces.cast("long").alias("__pieces"),
-        )
-    )
+def _full(rows: DataFrame, by: Sequence[str], place: Column, limit: int) -> DataFrame:
+    """Rows and different places of every group with more than ``limit`` rows that can be cut."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.approx_count_distinct(place).alias("__places"))
+    return sizes.filter((F.col("__n") > limit) & (F.col("__places") > 1))
 
 
-def _piece(order: Column) -> Column:
-    """Piece number of an order value, null for keys that are not heavy."""
-    x, n = order.cast("double"), F.col("__pieces")
-    raw = F.floor((x - F.col("__lo")) / F.when(F.col("__width") > 0, F.col("__width")))
-    inside = F.greatest(F.least(raw, n - 1), F.lit(0))
-    place = (
-        F.when(x.isNull(), F.lit(0))
-        .when(F.isnan(x), n + 4)
-        .when(x == float("inf"), n + 3)
-        .when(x == float("-inf"), F.lit(1))
-        .otherwise(F.coalesce(inside, F.lit(0)) + 2)
-    )
-    return F.when(n.isNotNull(), place).cast("long")
+def _borders(rows: DataFrame, by: Sequence[str], place: Column, full: DataFrame, max_rows: int, level: int) -> DataFrame:
+    """For every full group its borders in chunks, ascending; a border is the first place of a piece."""
+    pieces = F.least(F.ceil(F.col("__n") / F.lit(max_rows)), F.lit(FAN)).cast("int")
+    share = F.least(pieces * F.lit(SAMPLED) / F.col("__places"), F.lit(1.0))
+    drawn = F.pmod(F.xxhash64(place, F.lit(level)), F.lit(_HASHES)) < share * F.lit(_HASHES)
+    sample = _lookup(rows, full, by).filter(F.col("__n").isNotNull() & drawn)
+    sample = sample.groupBy(*by).agg(F.first("__n").alias("__n"), F.sort_array(F.collect_set(place)).alias("__sample"))
+    steps = F.sequence(F.lit(1), pieces - 1)
+    taken = F.transform(steps, lambda i: F.get("__sample", F.floor(i * F.size("__sample") / pieces).cast("int")))
+    borders = sample.select(*by, F.array_distinct(taken).alias("__b"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size("__b") - 1) / CHUNK).cast("int"))
+    return borders.select(*by, F.transform(chunks, lambda c: F.slice("__b", c * CHUNK + 1, F.lit(CHUNK))).alias("__borders"))
 
 
-def _finite(order: Column) -> Column:
-    x = order.cast("double")
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+def _numbered(rows: DataFrame, by: Sequence[str], place: Column, borders: DataFrame, level: int) -> DataFrame:
+    """``rows`` with the piece each lies in; pieces of earlier levels keep their order."""
+    upto = lambda places: F.size(F.filter(places, lambda b: b <= place))
+    chunk = upto(F.transform("__borders", lambda c: F.get(c, F.lit(0))))
+    inner = F.when(chunk > 0, (chunk - 1) * CHUNK + upto(F.get("__borders", chunk - 1))).otherwise(0)
+    inner = F.when(F.col("__borders").isNotNull(), inner).cast("long")
+    if level:
+        inner = F.shiftleft(F.col(PIECE), _LEVEL_BITS) + F.coalesce(inner, F.lit(0))
+    return _lookup(rows, borders, by).withColumn(PIECE, inner).drop("__borders")
 
 
 def _lookup(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -194,7 +201,7 @@ def add_row_number(
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """``row_number`` over ``keys`` by ``order`` then ``ties`` (BIGINT, from 1); global without keys."""
-    cut = cut_rows(df, keys, order, max_rows, sized_by)
+    cut = cut_rows(df, keys, order, max_rows, sized_by, ties)
     cut = cut.carry({"__n": F.count(F.lit(1))}, lambda w: {"__seen": F.sum("__n").over(before(w))})
     number = F.row_number().over(cut.window(_col(order), *ties)).cast("long")
     return cut.with_column(name, number + F.coalesce("__seen", F.lit(0))).result().drop("__seen")
@@ -250,7 +257,7 @@ def _add_neighbour(df, keys, order, columns, ties, max_rows, sized_by, edge, mov
     """``edge`` picks the row of a piece its neighbour piece looks at, ``move`` steps to the neighbour."""
     row = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
     place = F.struct(F.col(order), *[F.col(t) for t in ties])
-    cut = cut_rows(df, keys, order, max_rows, sized_by)
+    cut = cut_rows(df, keys, order, max_rows, sized_by, ties)
     cut = cut.carry({"__edge": edge(row, place)}, lambda w: {"__edge": move("__edge").over(w)})
     cut = cut.with_column("__near", F.coalesce(move(row).over(cut.window(order, *ties)), F.col("__edge")))
     return cut.result(*df.columns, *[F.col(f"__near.{out}").alias(out) for out in columns])

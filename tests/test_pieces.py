@@ -109,3 +109,42 @@ def test_cut_and_plain_agree_on_hostile_order_values(frame, order):
         return sorted(map(str, (tuple(r[c] for c in ("k", "v", "n", "p", "f")) for r in out.collect())))
 
     assert result(3) == result(10**6)
+
+
+@pytest.mark.parametrize("crowd", ["tied", "null", "infinite", "undefined", "nested"])
+def test_crowds_of_one_order_value_are_cut_along_the_tie_break(frame, crowd):
+    """A thousand rows that an order value does not tell apart leave no piece above twice the limit."""
+    value = {"tied": 5.0, "null": None, "infinite": float("inf"), "undefined": float("nan")}
+    # nested: ever closer crowds, so that equal widths would leave nearly all rows in one piece
+    orders = [2.0 ** -(i // 25) for i in range(1000)] if crowd == "nested" else [value[crowd]] * 1000
+    rows = [(1, x, i) for i, x in enumerate(orders)] + [(1, float(i), 1000 + i) for i in range(-20, 20)] + [(2, 1.0, -1)]
+    df = frame("k int, x double, id bigint", rows).repartition(4)
+    cut = pieces.cut_rows(df, ["k"], "x", 10, ties=["id"])
+    sizes = [r["count"] for r in cut.rows.filter("k = 1").groupBy(pieces.PIECE).count().collect()]
+    assert cut.cut and sum(sizes) == 1040 and max(sizes) <= 20
+
+    def result(limit):
+        out = pieces.add_row_number(df, ["k"], "x", ["id"], "n", limit)
+        out = pieces.add_previous(out, ["k"], "x", {"p": "id"}, ["id"], limit)
+        return sorted(map(str, out.select("k", "id", "n", "p").collect()))
+
+    assert result(10) == result(None)
+
+
+def test_texts_and_times_as_tie_break(frame):
+    rows = [(1, 3, None if i % 50 == 0 else f"w{i:04d}", f"2024-01-01T00:{i % 60:02d}:00") for i in range(600)]
+    df = frame("k int, x int, s string, t timestamp_ntz", rows)
+    cut = pieces.cut_rows(df, ["k"], "x", 20, ties=["s", "t"])
+    sizes = [r["count"] for r in cut.rows.groupBy(pieces.PIECE).count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 40
+    wide = pieces.add_row_number(df, ["k"], "x", ["s", "t"], "n", 20)
+    assert sorted(r["n"] for r in wide.collect()) == list(range(1, 601))
+
+
+def test_rows_of_one_place_stay_together(frame):
+    df = frame("k int, x int", [(1, 7)] * 100)
+    assert not pieces.cut_rows(df, ["k"], "x", 10).cut
+    df = frame("k int, x int", [(1, 7)] * 100 + [(1, i) for i in range(100)])
+    cut = pieces.cut_rows(df, ["k"], "x", 10)
+    sizes = sorted(r["count"] for r in cut.rows.groupBy(pieces.PIECE).count().collect())
+    assert sum(sizes) == 200 and sizes[-1] <= 120 and sizes[-2] <= 20
