@@ -11,8 +11,8 @@ Two sets link when ``100 * intersection >= 75 * union``.
 3. Candidates. A class can link only if three quarters of its set are shared n-grams. By frequency, rarest first, two linked sets
    meet within their prefixes; the positions there bound the overlap, which drops pairs that share only frequent passages.
 4. Verify: a pair's partial overlaps are counted per (coarser) fragment and summed. Every candidate pair is counted exactly.
-5. Groups. Only pairs between different groups can change the result. So rounds first compare each n-gram's holders with one pivot of a
-   random order (a number of pairs linear in the holders), merge groups, and go on with n-grams that still join several groups;
+5. Groups. Only pairs between different groups can change the result. So rounds first compare each n-gram's holders with a few pivots, which are
+   the holders with the smallest share of n-grams of their own (a number of pairs linear in the holders), merge groups, and go on with n-grams that still join several groups;
    when few pairs are left, all of them are verified. No link between groups is lost, and a crowd of near copies costs about its
    size, not its square.
 
@@ -277,7 +277,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
     need = F.ceil(F.col("n") * LINK_PART / LINK_TOP).cast("int")
     prefix = F.slice("grams", F.lit(1), F.col("m") - need + 1)
     postings = able.select("v", "n", "m", F.posexplode(prefix).alias("i", "gram"))
-    postings = postings.select("v", "n", "gram", (F.col("n") - F.col("m") + F.col("i") + 1).alias("place"))
+    postings = postings.select("v", "n", "gram", (F.col("n") - F.col("m") + F.col("i") + 1).alias("place"), ((F.col("n") - F.col("m")) / F.col("n")).alias("alone"))
     postings = scratch.keep(postings, "postings")
     # n-grams held by one class in its prefix join nothing; of n-grams with the same holders the first in order does for all
     # (it comes first in each of them, which the sum of places shows)
@@ -324,11 +324,13 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
         if last:
             rows = open_.select("gram", *side("a")).join(open_.select("gram", *side("b")), "gram").filter("label_a < label_b")
         else:
+            # the member with the smallest share of n-grams of its own is the middle of a crowd; later rounds take that of random parts
             seeds = range(PIVOTS if step else 1)
-            order = [F.struct(F.xxhash64("v", F.lit(step * PIVOTS + k)).alias("h"), *side("a")) for k in seeds]
-            pivots = open_.groupBy("gram").agg(*[F.min(o).alias(f"p{k}") for k, o in zip(seeds, order)])
-            drawn = F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{k}.{c}") for c in ("a", "n_a", "place_a", "label_a")]) for k in seeds])))
-            rows = open_.select("gram", *side("b")).join(pivots.select("gram", drawn.alias("p")).select("gram", "p.*"), "gram").filter("label_a <> label_b")
+            order = F.struct("alone", F.xxhash64("v", F.lit(step)).alias("h"), *side("a"))
+            part = F.pmod(F.xxhash64("v", F.lit(step)), F.lit(len(seeds)))
+            pivots = open_.groupBy("gram").agg(*[F.min(F.when(part == k, order)).alias(f"p{k}") for k in seeds])
+            drawn = F.explode(F.array_compact(F.array(*[F.col(f"p{k}") for k in seeds])))
+            rows = open_.select("gram", *side("b")).join(pivots.select("gram", drawn.alias("p")).select("gram", *[f"p.{c}" for c in ("a", "n_a", "place_a", "label_a")]), "gram").filter("label_a <> label_b")
         pairs = possible(rows)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -377,7 +379,7 @@ def keep_one_per_group(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id"
     columns have the smallest digest, once). Documents without shingles all stay."""
     columns = docs.columns
     v, n, mark = (free_name(c, columns) for c in ("set_class", "n_shingles", "mark"))
-    marked = docs.withColumn(mark, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))))
+    marked = docs.withColumn(mark, F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))))
     rows = scratch.keep(signed(marked.select(doc_id, mark, text), text, v, n), "signed")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(mark).alias("mark"))
     classes = rows.filter(F.col(v).isNotNull()).groupBy(F.col(v).alias("v")).agg(F.first(n).alias("n"), F.min(order).alias("best"))
@@ -385,14 +387,14 @@ def keep_one_per_group(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id"
     groups = class_groups(docs, classes.select("v", "n"), scratch, text)
     labels = classes.join(groups, "v", "left").withColumn("label", F.coalesce("label", "v"))
     winners = labels.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.mark").alias(mark), F.lit(True).alias("wins"))
-    alone = rows.filter(F.col(v).isNull()).select(mark, F.lit(False).alias("wins"))
-    chosen = scratch.keep(winners.unionByName(alone.distinct()).distinct(), "chosen")
+    alone = rows.filter(F.col(v).isNull()).select(mark, F.lit(False).alias("wins")).distinct()
+    times = rows.groupBy(mark).agg(F.count("*").alias("times"))
+    chosen = scratch.keep(winners.unionByName(alone).join(times, mark), "chosen")
     # rows of one mark are equal: a winner stays once, a row without shingles as often as it comes
-    own, times = free_name("own", columns), free_name("times", columns)
-    kept = marked.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(own), mark).join(chosen, mark)
-    kept = kept.groupBy(mark, "wins").agg(F.first(own).alias(own), F.count("*").alias(times))
-    kept = kept.select(own, F.explode(F.sequence(F.lit(1), F.when(F.col("wins"), 1).otherwise(F.col(times)).cast("int"))))
-    return kept.select(*[F.col(own).getField(c).alias(c) for c in columns])
+    repeated = F.col("wins") & (F.col("times") > 1)
+    stay = marked.join(chosen.filter(~repeated).select(mark), mark, "left_semi")
+    once = marked.join(chosen.filter(repeated).select(mark), mark, "left_semi").dropDuplicates([mark])
+    return stay.unionByName(once).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op7_jaccard_join(spark, folder):
