@@ -2,7 +2,8 @@
 
 Writing. Documents are range-partitioned and sorted by id; each partition encodes its texts and cuts the ids into shards of
 about ``SHARD_IDS``. In a shard, rounds of Re-Pair replace frequent neighbouring pairs by nonterminals: a round counts all pairs
-(never across the end of a document), takes the most frequent ones as rules and replaces them from left to right, until no pair is frequent. A shard is one
+that may still be frequent (never across the end of a document; from the second round on those around replaced places and those that were frequent
+before), takes the most frequent ones as rules and replaces them from left to right, until no pair is frequent. A shard is one
 Parquet row: part, number, document ids, and a block of bytes with the rules, their expansion lengths, and the documents' symbols.
 
 Block: ``RPR1``, the numbers of documents, rules and symbols and the first nonterminal (uint32 each); the rules' left and right symbols
@@ -43,6 +44,7 @@ SHARD_IDS = 1 << 20
 PIECE = 2048
 ROUND_RULES = 3000
 MIN_COUNT = 8
+SMALL = 100_000
 MAGIC = b"RPR1"
 WORDS_KEPT = 600_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,6 +64,7 @@ class Encoder:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.plain.model
         self.words_kept = words_kept
         self.number: dict[str, int] = {}
         self.parts: dict[str, list[int]] = {}
@@ -71,6 +74,8 @@ class Encoder:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of a text without white space. Its leading letters are a token run of their own, unless a mark may join them."""
+        if word.isascii() and word.isalpha():
+            return self._letters(word.lower())
         run = LETTERS.match(word)
         if run is None:
             return self._part(word, self.tokenizer)
@@ -78,9 +83,20 @@ class Encoder:
         fine = letters.isascii() or (letters.isalpha() and unicodedata.is_normalized("NFC", letters) and not SPECIAL_CASE.search(letters))
         if not fine or rest and not rest[0].isascii():
             return self._part(word, self.tokenizer)
-        ids = self._part(letters.lower(), self.plain)
+        ids = self._letters(letters.lower())
         return ids + self._part(rest, self.tokenizer) if rest else ids
 
+    def _letters(self, text: str) -> list[int]:
+        """Ids of a run of lower-case letters. ASCII letters stand for themselves at byte level, so the model takes them as they are."""
+        if not text.isascii():
+            return self._part(text, self.plain)
+        found = self.parts.get(text)
+        if found is None:
+            found = [t.id for t in self.model.tokenize(text)]
+            if len(text) <= 64:
+                self.parts[text] = found
+        return found
+
     def _part(self, text: str, tokenizer) -> list[int]:
         found = self.parts.get(text)
         if found is None:
@@ -148,28 +164,35 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
     first = int(x.max()) + 1 if len(x) else 0
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     top = first
-    while len(x) > 1:  # each round makes it shorter
-        pair = (x[:-1] << 32) | x[1:]
-        pair[last[:-1]] = -1
+    # places whose pair may be frequent; a pair that once was rare stays rare, as new pairs always hold a new symbol
+    live = np.flatnonzero(~last[:-1]) if len(x) > 1 else np.zeros(0, np.int64)
+    while len(live):  # each round makes it shorter
+        pair = (x[live] << 32) | x[live + 1]
         ordered = np.sort(pair)
         begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         times = np.diff(np.append(begins, len(ordered)))
-        often = np.flatnonzero((times >= MIN_COUNT) & (ordered[begins] >= 0))
-        if not len(often):
+        frequent = times >= MIN_COUNT
+        known, times = ordered[begins[frequent]], times[frequent]
+        if not len(known):
             break
-        if len(often) > ROUND_RULES:
+        rule = np.ones(len(known), bool)
+        if len(known) > ROUND_RULES:
             # the most frequent ones; ties by pair, so that a retried task makes the same block
-            order = np.lexsort((ordered[begins[often]], -times[often]))
-            often = np.sort(often[order[:ROUND_RULES]])
-        rules = ordered[begins[often]]
-        # most positions are sorted out by a small table of hashed rules before the exact look-up
-        slot = lambda p: (p * np.int64(-7046029254386353131) >> np.int64(42)) & 0x3FFFFF
-        maybe = np.zeros(1 << 22, bool)
-        maybe[slot(rules)] = True
-        at = np.flatnonzero(maybe[slot(pair)])
-        found = np.minimum(np.searchsorted(rules, pair[at]), len(rules) - 1)
-        hit = rules[found] == pair[at]
-        at, found = at[hit], found[hit]
+            rule[:] = False
+            rule[np.lexsort((known, -times))[:ROUND_RULES]] = True
+        rules = known[rule]
+        if len(live) > SMALL:
+            # most places are sorted out by a small table of hashed pairs before the exact look-up
+            slot = lambda p: (p * np.int64(-7046029254386353131) >> np.int64(42)) & 0x3FFFFF
+            maybe = np.zeros(1 << 22, bool)
+            maybe[slot(known)] = True
+            passed = maybe[slot(pair)]
+            live, pair = live[passed], pair[passed]
+        found = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        hit = known[found] == pair
+        live, found = live[hit], found[hit]
+        hit = rule[found]
+        at, found = live[hit], (np.cumsum(rule) - 1)[found[hit]]
         # of overlapping places take the first, third, ... of each run
         starts = np.concatenate([[True], np.diff(at) != 1])
         run_start = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
@@ -182,8 +205,13 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
         last[at] = last[at + 1]
         stay = np.ones(len(x), bool)
         stay[at + 1] = False
-        x, last = x[stay], last[stay]
+        again = np.zeros(len(x), bool)
+        again[live] = True
+        again[at] = True
+        x, last, again = x[stay], last[stay], again[stay]
         top += len(used)
+        again[:-1] |= x[1:] >= top - len(used)  # before a new symbol
+        live = np.flatnonzero(again & ~last)
     lefts, rights = np.concatenate(left), np.concatenate(right)
     lengths = np.ones(len(lefts), np.int64)
     at = 0
