@@ -24,7 +24,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +35,16 @@ from pyspark.sql import types as T
 from bedside.llm.common import Scratch, free_name, shuffle_partitions, table, text_or_empty
 
 CHUNK = 16_384
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
 PAIRS_KEPT = 500_000
 SPACE = "▁"
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit integers side by side: small, quick to join, and no work for the garbage collector."""
+    return np.array(ids, np.int32).tobytes()
+
+
 class Model:
     """Pieces of a merge model, and paths over them."""
 
@@ -66,6 +70,17 @@ class Model:
         self._fits: dict[tuple[str, str], bool] = {}
         #: Pieces that are their own encoding.
         self.good = {p for p in self.ids if len(p) == 1 or len(self.merges(p)) == 1}
+        #: Possible steps of a path: good pieces and single characters; and a tree of their characters, whose nodes are
+        #: (number of the step that ends here or -1, nodes by next character).
+        self.steps = sorted(self.good | {c for p in self.ids for c in p})
+        self.tree: tuple[int, dict] = (-1, {})
+        for k, step in enumerate(self.steps):
+            node = self.tree
+            for c in step[:-1]:
+                node = node[1].setdefault(c, (-1, {}))
+            node[1][step[-1]] = (k, {})  # in this order a step comes before all that begin with it
+        self.step_ids = [packed(self.piece_ids(p)) for p in self.steps]
+        self._side_by_side: dict[int, bool] = {}
         self.words = Words(self)
 
     def merges(self, text: str) -> list[str]:
@@ -96,9 +111,12 @@ class Model:
         if found is None:
             if len(self._fits) > PAIRS_KEPT:
                 self._fits.clear()
-            found = self._fits[a, b] = a[-1] + b[0] not in self.inside or (a + b not in self.good and self.merges(a + b) == [a, b])
+            found = self._fits[a, b] = self.stand(a, b)
         return found
 
+    def stand(self, a: str, b: str) -> bool:
+        return a[-1] + b[0] not in self.inside or (a + b not in self.good and self.merges(a + b) == [a, b])
+
     def forced(self, text: str, i: int) -> bool:
         return text[i - 1 : i + 1] not in self.inside
 
@@ -131,21 +149,62 @@ class Model:
         found = self.ids.get(piece)
         return [found] if found is not None else [self.bytes[b] for b in piece.encode()]
 
-    def trace(self, text: str) -> list[int]:
-        """Ids of a stretch without a forced boundary."""
-        last, end, out = self.path(text), len(text), []
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return [i for piece in reversed(out) for i in self.piece_ids(piece)]
+    def trace(self, text: str) -> bytes:
+        """Packed ids of a stretch without a forced boundary.
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text in which white space is already marked (a document begins with the space put before it)."""
-        out: list[int] = []
+        The path is searched depth first, longest step first. A position has one state at most, so one from which the end
+        was not reached is closed for good.
+        """
+        root, known, n = self.tree[1], self._side_by_side.get, len(text)
+        if n == 1 and text not in root:
+            return packed(self.piece_ids(text))
+        path: list[int] = []
+        ends, closed = [0], set()
+        open_: list[list[tuple[int, int]]] = []
+        while ends[-1] < n:
+            start = ends[-1]
+            if len(open_) < len(ends):
+                choices, node, end = [], root, start
+                for c in text[start:]:
+                    found = node.get(c)
+                    if found is None:
+                        break
+                    end += 1
+                    step, node = found
+                    if step >= 0:
+                        choices.append((step, end))
+                open_.append(choices)
+            choices = open_[-1]
+            while choices:
+                step, end = choices.pop()
+                if end in closed:
+                    continue
+                if not path:
+                    break
+                pair = path[-1] << 32 | step
+                fit = known(pair)
+                if fit is None:
+                    if len(self._side_by_side) > PAIRS_KEPT:
+                        self._side_by_side.clear()
+                    fit = self._side_by_side[pair] = self.stand(self.steps[path[-1]], self.steps[step])
+                if fit:
+                    break
+            else:
+                closed.add(start)
+                open_.pop(), ends.pop(), path.pop()
+                continue
+            path.append(step)
+            ends.append(end)
+        ids = self.step_ids
+        return b"".join([ids[step] for step in path])
+
+    def encode_packed(self, text: str) -> bytes:
+        """Packed ids of a text in which white space is already marked (a document begins with the space put before it)."""
         words = self.words
-        for word in PARTS.findall(text):
-            out += words[word]
-        return out
+        return b"".join([words[word] for word in PARTS.findall(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
     def decode(self, ids) -> str:
         texts = self.texts
@@ -215,41 +274,48 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, PIECE)
 
 
-def _id_lists(found: list[list[int]]) -> pa.Array:
-    flat = np.fromiter(chain.from_iterable(found), np.int32)
+def _id_lists(found: list[bytes]) -> pa.Array:
     offsets = np.zeros(len(found) + 1, np.int32)
-    np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
 class Words(dict):
-    """Ids by word; a word is cut at its forced boundaries, and the parts are remembered too."""
+    """Packed ids by word; a word is cut at its forced boundaries, and the parts are remembered too.
+
+    When it is full, the words of the generation before go; those of it that are used again stay.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.before: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> list[int]:
-        inside = self.model.inside
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside), len(word)]
-        if len(self) > WORDS_KEPT:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > WORDS_KEPT // 2:
+            self.before = dict(self)
             self.clear()
-        if len(cuts) == 2:
-            ids = self.model.trace(word)
-        else:
-            ids = []
-            for a, b in zip(cuts, cuts[1:]):
-                part = word[a:b]
-                known = self.get(part)
-                if known is None:
-                    known = self.model.trace(part)
-                    if b - a <= 64:
-                        self[part] = known
-                ids += known
+        ids = self.before.get(word)
+        if ids is None:
+            inside, trace, at, found = self.model.inside, self.model.trace, 0, []
+            for i in range(1, len(word)):
+                if word[i - 1 : i + 1] not in inside:
+                    found.append(self._part(word[at:i]))
+                    at = i
+            found.append(self._part(word[at:]) if at else trace(word))
+            ids = b"".join(found) if at else found[0]
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def _part(self, part: str) -> bytes:
+        ids = self.get(part) or self.before.get(part)
+        if ids is None:
+            ids = self.model.trace(part)
+            if len(part) <= 64:
+                self[part] = ids
+        return ids
+
 
 _MODELS: dict[str, Model] = {}
 
@@ -300,7 +366,7 @@ def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: s
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
         for batch in (piece for whole_ in batches for piece in _slices(whole_)):
-            found = [model.encode(" " + t) if t else [] for t in batch.column(len(own)).to_pylist()]
+            found = [model.encode_packed(" " + t) if t else b"" for t in batch.column(len(own)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], _id_lists(found)], [*own, ids])
 
     short = read.filter(size <= chunk).mapInArrow(whole, schema)
@@ -348,7 +414,7 @@ def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: s
         model = model_of(model_path)
         for batch in (piece for whole_ in batches for piece in _slices(whole_)):
             rows = zip(*(batch.column(c).to_pylist() for c in ("left", "body", "enter", "leave")))
-            found = [model.encode((left + body)[len(left) - a : len(left) + len(body) - b]) for left, body, a, b in rows]
+            found = [model.encode_packed((left + body)[len(left) - a : len(left) + len(body) - b]) for left, body, a, b in rows]
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(part), _id_lists(found)], [key, part, ids])
 
     pieces = chunks.select(key, part, "left", "body").join(edges, [key, part]).select(key, "left", "body", "enter", "leave", part)
