@@ -5,8 +5,9 @@ neighbours are: merging their joined text gives just these two pieces. So encodi
 neighbours) and minus infinity (not), and each position has one last piece at most. Two things follow:
 
 * The state at a cut through the text is the last piece that ends at or before the cut. From its boundary regions alone a chunk yields
-  a transfer matrix over such states (max-plus over {0, -inf}, kept as its finite entries). Matrices combine associatively; the
-  scan over a document's chunks gives every chunk its entry and exit.
+  a transfer matrix over such states (max-plus over {0, -inf}, kept as its finite entries). Matrices combine associatively, so ``BLOCK``
+  neighbours become one, in as many rounds as a document needs, each a shuffle of small matrices. On the way down every
+  block hands its parts their entries and exits. No row holds more than ``BLOCK`` matrices.
 * Any run of neighbours in the encoding is itself the encoding of its own text. So with entry and exit known, each chunk is
   traced on its own, in any task.
 
@@ -35,6 +36,8 @@ from pyspark.sql import types as T
 from bedside.llm.common import Scratch, free_name, shuffle_partitions, table, text_or_empty
 
 CHUNK = 16_384
+#: Matrices combined at once.
+BLOCK = 64
 WORDS_KEPT = 500_000
 PAIRS_KEPT = 500_000
 SPACE = "▁"
@@ -337,23 +340,80 @@ def combine(a: dict, b: dict) -> dict:
     return joined
 
 
-def scan(matrices: list[dict]) -> list[tuple[int, int]]:
-    """(entry distance, exit distance) of each chunk, from the chunks' matrices in order."""
-    start = (0, None)
-    sofar, reached = None, []
+#: The state at both ends of a text.
+END = (0, None)
+
+
+def product(matrices: list[dict]) -> dict:
+    whole = matrices[0]
+    for matrix in matrices[1:]:
+        whole = combine(whole, matrix)
+    return whole
+
+
+def scan(matrices: list[dict], enter: tuple = END, leave: tuple = END) -> list[tuple[tuple, tuple]]:
+    """(entry, exit) state of each matrix, in order, on the way from ``enter`` to ``leave``."""
+    reached = [{enter}]
     for matrix in matrices:
-        sofar = matrix if sofar is None else combine(sofar, matrix)
-        reached.append(sofar.get(start, set()))
-    state, out = (0, None), []
+        reached.append({x for e in reached[-1] for x in matrix.get(e, ())})
+    state, out = leave, []
     for k in range(len(matrices) - 1, -1, -1):
-        before = reached[k - 1] if k else {start}
-        entry = next(e for e in sorted(before, key=str) if state in matrices[k].get(e, ()))
-        out.append((entry[0], state[0]))
+        entry = next(e for e in sorted(reached[k], key=str) if state in matrices[k].get(e, ()))
+        out.append((entry, state))
         state = entry
     return out[::-1]
 
 
-def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def write_matrix(matrix: dict) -> str:
+    return json.dumps([[e, sorted(exits, key=str)] for e, exits in matrix.items()])
+
+
+def read_matrix(text: str) -> dict:
+    return {tuple(e): {tuple(x) for x in exits} for e, exits in json.loads(text)}
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (key, part, parts) to their matrices; the parts are handed on for the way down."""
+    for batch in batches:
+        found = [write_matrix(product([read_matrix(m["matrix"]) for m in parts.as_py()])) for parts in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.string())], [*batch.schema.names[:3], "matrix"])
+
+
+def _handed_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (key, part, parts, enter, leave) to the entries and exits of their parts."""
+    for batch in batches:
+        rows = []
+        for name, parts, *ends in zip(batch.column(0).to_pylist(), batch.column(2), *(batch.column(c).to_pylist() for c in ("enter", "leave"))):
+            parts = parts.as_py()
+            enter, leave = (tuple(json.loads(e)) for e in ends)
+            states = scan([read_matrix(m["matrix"]) for m in parts], enter, leave)
+            rows += [(name, m["part"], json.dumps(a), json.dumps(b)) for m, (a, b) in zip(parts, states)]
+        columns = zip(*rows) if rows else [()] * 4
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "part", "enter", "leave"])
+
+
+def borders(matrices: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """``key, part, enter, leave`` (states as JSON) of every part, from ``key, part, matrix`` with parts 0, 1, ... of each key."""
+    blocks, level = [], matrices
+    last = matrices.agg(F.max("part")).first()[0] or 0
+    while not blocks or last:
+        parts = F.sort_array(F.collect_list(F.struct("part", "matrix"))).alias("parts")
+        grouped = level.groupBy("key", F.expr(f"cast(part div {block} as int)").alias("block")).agg(parts)
+        grouped = grouped.select("key", F.col("block").alias("part"), "parts")
+        above = "key bigint, part int, parts array<struct<part int, matrix string>>, matrix string"
+        blocks.append(scratch.keep(grouped.mapInArrow(_products, above), "blocks"))
+        level = blocks[-1].select("key", "part", "matrix")
+        last //= block
+    end = F.lit(json.dumps(END))
+    known = blocks.pop().select("key", "part", "parts", end.alias("enter"), end.alias("leave"))
+    down = "key bigint, part int, enter string, leave string"
+    while blocks:
+        known = blocks.pop().select("key", "part", "parts").join(known.mapInArrow(_handed_down, down), ["key", "part"])
+    return known.mapInArrow(_handed_down, down)
+
+
+def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: str = "text", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """``docs`` without its text, with ``ids`` (array of int) and ``n_tokens`` (underscores are added where names are taken)."""
     own = [c for c in docs.columns if c != text]
     ids, n_tokens, key, part = (free_name(c, docs.columns) for c in ("ids", "n_tokens", "key", "part"))
@@ -393,22 +453,12 @@ def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: s
         for batch in (piece for whole_ in batches for piece in _slices(whole_)):
             rows = zip(*(batch.column(c).to_pylist() for c in ("left", "body", "last")))
             found = [json.dumps(model.transfer(*row)) for row in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(part), pa.array(found, pa.string())], [key, part, "matrix"])
-
-    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read_matrix = lambda t: {tuple(e): {tuple(x) for x in exits} for e, exits in json.loads(t)}
-        for batch in batches:
-            rows = []
-            for name, chunks_ in zip(batch.column(key).to_pylist(), batch.column("matrices")):
-                found = scan([read_matrix(m["matrix"]) for m in chunks_.as_py()])
-                rows += [(name, k, enter, leave) for k, (enter, leave) in enumerate(found)]
-            columns = zip(*rows) if rows else [()] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [key, part, "enter", "leave"])
-
-    transfer = chunks.select(key, part, "left", "body", "last").mapInArrow(matrices, f"`{key}` bigint, `{part}` int, matrix string")
-    of_document = transfer.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(part, "matrix"))).alias("matrices"))
-    edges = of_document.mapInArrow(borders, f"`{key}` bigint, `{part}` int, enter int, leave int")
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(part), pa.array(found, pa.string())], ["key", "part", "matrix"])
+
+    transfer = chunks.select(key, part, "left", "body", "last").mapInArrow(matrices, "key bigint, part int, matrix string")
+    states = borders(scratch.keep(transfer, "matrices"), scratch, block)
+    back = lambda state: F.get_json_object(state, "$[0]").cast("int")
+    edges = states.select(F.col("key").alias(key), F.col("part").alias(part), back("enter").alias("enter"), back("leave").alias("leave"))
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)

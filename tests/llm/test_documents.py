@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -271,7 +272,7 @@ def test_paths_give_the_ids_of_the_library(library):
         ids = []
         for left, body, (enter, leave) in zip(lefts, bodies, p.scan(matrices)):
             whole = left + body
-            ids += model.encode(whole[len(left) - enter : len(whole) - leave])
+            ids += model.encode(whole[len(left) - enter[0] : len(whole) - leave[0]])
         assert ids == library.encode(text)
 
 
@@ -285,13 +286,34 @@ def test_matrices_combine_associatively(library):
         assert p.combine(p.combine(a, b), c) == p.combine(a, p.combine(b, c))
 
 
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_borders_are_the_same_in_any_number_of_rounds(spark, scratch, library, block):
+    from bedside.llm import piece_scan as p
+
+    model, rnd = p.model_of(p.default_model()), random.Random(7)
+    rows, expected = [], set()
+    for key, n in enumerate([1, 2, 3, 17, 64, 65]):
+        text = " " + "".join(rnd.choice(["in", "ing", "er", "the", "     ", "--", "a"]) for _ in range(40 * n))
+        size = len(text) // n + 1
+        cuts = list(range(0, len(text), size))
+        found = []
+        for a in cuts:
+            found.append(p.write_matrix({tuple(e): {tuple(x) for x in exits} for e, exits in model.transfer(text[max(0, a - 2 * model.longest - 2) : a], text[a : a + size], a == cuts[-1])}))
+        rows += [(key, k, m) for k, m in enumerate(found)]
+        expected |= {(key, k, enter, leave) for k, (enter, leave) in enumerate(p.scan([p.read_matrix(m) for m in found]))}
+    made = p.borders(spark.createDataFrame(rows, "key long, part int, matrix string"), scratch, block)
+    read = lambda t: tuple(json.loads(t))
+    assert {(r.key, r.part, read(r.enter), read(r.leave)) for r in made.collect()} == expected
+    assert p.borders(made.selectExpr("key", "part", "enter AS matrix").limit(0), scratch, block).count() == 0
+
+
 def test_encoding_and_decoding(docs, scratch, library):
     from bedside.llm import piece_scan as p
 
     rnd = random.Random(8)
     texts = ODD + ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 300))) for _ in range(60)]
     table = docs([(i % 50 or None, t, "s") for i, t in enumerate(texts)]).withColumnsRenamed({"lang": "ids", "source": "key"})
-    encoded = p.encode_documents(table, p.default_model(), scratch, chunk=64)
+    encoded = p.encode_documents(table, p.default_model(), scratch, chunk=64, block=3)
     found = Counter((r.doc_id, tuple(r["ids_"]), r.n_tokens) for r in encoded.collect())
     assert found == Counter((i % 50 or None, tuple(library.encode(t or "")), len(library.encode(t or ""))) for i, t in enumerate(texts))
     decoded = p.decode_documents(encoded.select("doc_id", F.col("ids_").alias("ids")), p.default_model())
