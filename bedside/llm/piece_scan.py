@@ -38,8 +38,8 @@ from bedside.llm.common import Scratch, free_name, shuffle_partitions, table, te
 CHUNK = 16_384
 #: Matrices combined at once.
 BLOCK = 64
-WORDS_KEPT = 500_000
-PAIRS_KEPT = 500_000
+WORDS_KEPT = 400_000
+PAIRS_KEPT = 300_000
 SPACE = "▁"
 
 
@@ -268,13 +268,14 @@ class Model:
 PARTS = re.compile(r" *[^ \n]+|\n| +(?=\n|\Z)")
 
 
-#: Documents that a worker holds as lists at once.
-PIECE = 256
+#: Documents, and about the bytes of them, that a worker holds as lists at once.
+PIECE, PIECE_BYTES = 256, 4 << 20
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, PIECE):
-        yield batch.slice(at, PIECE)
+    rows = max(1, min(PIECE, PIECE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def _id_lists(found: list[bytes]) -> pa.Array:
@@ -413,8 +414,11 @@ def borders(matrices: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFr
     return known.mapInArrow(_handed_down, down)
 
 
-def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: str = "text", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """``docs`` without its text, with ``ids`` (array of int) and ``n_tokens`` (underscores are added where names are taken)."""
+def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: str = "text", chunk: int = CHUNK, block: int = BLOCK, decoded: str | None = None) -> DataFrame:
+    """``docs`` without its text, with ``ids`` (array of int) and ``n_tokens`` (underscores are added where names are taken).
+
+    With a name ``decoded``, which must be free, the text that the ids decode to comes too.
+    """
     own = [c for c in docs.columns if c != text]
     ids, n_tokens, key, part = (free_name(c, docs.columns) for c in ("ids", "n_tokens", "key", "part"))
     kept = [F.col(f"`{c}`") for c in own]
@@ -422,12 +426,16 @@ def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: s
     read = docs.select(*kept, F.replace(text_or_empty(text), F.lit(SPACE), F.lit(" ")).alias(text))
     size = F.char_length(F.col(text))
     schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, "string")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
         for batch in (piece for whole_ in batches for piece in _slices(whole_)):
             found = [model.encode_packed(" " + t) if t else b"" for t in batch.column(len(own)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], _id_lists(found)], [*own, ids])
+            lists = _id_lists(found)
+            texts = [decoded_texts(lists, model_path)] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], lists, *texts], schema.names)
 
     short = read.filter(size <= chunk).mapInArrow(whole, schema)
 
@@ -473,6 +481,8 @@ def encode_documents(docs: DataFrame, model_path: str, scratch: Scratch, text: s
     joined = pieces.groupBy(key).agg(F.flatten(F.transform(in_order, lambda x: x[ids])).alias(ids))
     heads = chunks.filter(F.col(part) == 0).select(key, "own")
     long_rows = heads.join(joined, key).select(*[F.col("own").getField(c).alias(c) for c in own], ids)
+    if decoded:
+        long_rows = decode_documents(long_rows.withColumn(decoded, F.col(ids)), model_path, decoded, decoded)
     return short.unionByName(long_rows).withColumn(n_tokens, F.size(ids).cast("long"))
 
 
@@ -495,20 +505,21 @@ def strip(text: str) -> str:
     return text[1:] if text[:1] == " " else text
 
 
+def decoded_texts(lists: pa.Array, model_path: str) -> pa.Array:
+    pieces, begin = piece_bytes(model_path), np.asarray(lists.offsets)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin - begin[0]), pieces.take(lists.flatten())), b"")
+    return pa.array([strip(x.decode("utf-8", "replace")) for x in joined.to_pylist()], pa.string())
+
+
 def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """``encoded`` with ``into``: the text of ``ids`` (null: empty) in place of them."""
     own = [c for c in encoded.columns if c != ids]
     schema = encoded.select(*[F.col(f"`{c}`") for c in own]).schema.add(into, "string")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_bytes(model_path)
         for batch in (piece for whole_ in batches for piece in _slices(whole_)):
-            lists = batch.column(len(own)).fill_null([])
-            begin = np.asarray(lists.offsets)
-            taken = pieces.take(lists.flatten())
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin - begin[0]), taken), b"")
-            found = [strip(x.decode("utf-8", "replace")) for x in joined.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(found, pa.string())], [*own, into])
+            found = decoded_texts(batch.column(len(own)).fill_null([]), model_path)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*own, into])
 
     return encoded.select(*[F.col(f"`{c}`") for c in own], ids).mapInArrow(texts, schema)
 
@@ -522,10 +533,8 @@ def default_model() -> str:
 def encoded_and_checked(docs: DataFrame, model_path: str, scratch: Scratch) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_same``: the ids of each text, and whether they decode to it (U+2581 as a space)."""
     digest = F.xxhash64(F.replace(text_or_empty("text"), F.lit(SPACE), F.lit(" ")))
-    encoded = encode_documents(docs.select("doc_id", digest.alias("digest"), "text"), model_path, scratch)
-    kept = encoded.withColumn("copy", F.col("ids"))
-    decoded = decode_documents(kept, model_path, "copy", "decoded")
-    return decoded.select("doc_id", "n_tokens", "ids", (F.xxhash64("decoded") == F.col("digest")).alias("decoded_same"))
+    made = encode_documents(docs.select("doc_id", digest.alias("digest"), "text"), model_path, scratch, decoded="decoded")
+    return made.select("doc_id", "n_tokens", "ids", (F.xxhash64("decoded") == F.col("digest")).alias("decoded_same"))
 
 
 def op1_piece_scan(spark, folder):

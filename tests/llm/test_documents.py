@@ -318,6 +318,10 @@ def test_encoding_and_decoding(docs, scratch, library):
     assert found == Counter((i % 50 or None, tuple(library.encode(t or "")), len(library.encode(t or ""))) for i, t in enumerate(texts))
     decoded = p.decode_documents(encoded.select("doc_id", F.col("ids_").alias("ids")), p.default_model())
     assert Counter((r.doc_id, r.text) for r in decoded.collect()) == Counter((i % 50 or None, (t or "").replace(p.SPACE, " ")) for i, t in enumerate(texts))
+    both = p.encode_documents(table, p.default_model(), scratch, chunk=64, decoded="read back")
+    assert Counter((r.doc_id, tuple(r["ids_"]), r["read back"]) for r in both.collect()) == Counter(
+        (i % 50 or None, tuple(library.encode(t or "")), (t or "").replace(p.SPACE, " ")) for i, t in enumerate(texts)
+    )
     assert p.encoded_and_checked(docs([]), p.default_model(), scratch).count() == 0
     assert p.encoded_and_checked(docs(texts), p.default_model(), scratch).filter("not decoded_same").count() == 0
 
