@@ -9,6 +9,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bedside.sources.shared import shared_folder
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,13 +47,12 @@ class Scratch:
     """Relations written under the folder that all executors share, so that lineage ends at files which outlive them.
 
     The folder is ``spark.checkpoint.dir``, else the context's checkpoint folder, else the warehouse. ``drop`` deletes a
-    relation that no later step reads; what is left goes when the driver ends.
+    relation that no later step reads; what is left goes when the driver ends. Off local mode a warehouse on the driver's
+    machine is refused.
     """
 
     def __init__(self, spark: SparkSession):
-        context = spark.sparkContext
-        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-        base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        base = shared_folder(spark)
         self.spark = spark
         self.folder = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
         self.latest: dict[str, str] = {}

@@ -168,9 +168,15 @@ def verdict(rules=RULES) -> Column:
 
 
 def quality(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """``docs`` (without a column ``m``) with the struct ``m`` of measures, ``base_failed`` and ``kept``."""
-    base, kept = free_name("base_failed", docs.columns), free_name("kept", docs.columns)
-    return measured(docs, text).withColumns({base: base_failed(), kept: ~base_failed() & verdict(rules)})
+    """``docs`` with the struct ``m`` of measures, ``base_failed`` and ``kept`` (underscores are added where names are taken)."""
+    columns = docs.columns
+    base, kept = free_name("base_failed", columns), free_name("kept", columns)
+    clash = {c: free_name("m_own", columns) for c in columns if c.lower() == "m"}
+    judged = measured(docs.withColumnsRenamed(clash), clash.get(text, text)).withColumns({base: base_failed(), kept: ~base_failed() & verdict(rules)})
+    if not clash:
+        return judged
+    own = [F.col(f"`{clash.get(c, c)}`").alias(c) for c in columns]
+    return judged.select(*own, F.col("m").alias(free_name("m", columns)), base, kept)
 
 
 def filter_quality(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
@@ -178,7 +184,7 @@ def filter_quality(docs: DataFrame, rules=RULES, text: str = "text") -> DataFram
     columns = docs.columns
     clash = {c: free_name("m_own", columns) for c in columns if c.lower() == "m"}
     ready = docs.withColumnsRenamed(clash)
-    good = measured(ready, text).filter(~base_failed() & verdict(rules))
+    good = measured(ready, clash.get(text, text)).filter(~base_failed() & verdict(rules))
     return good.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in columns])
 
 

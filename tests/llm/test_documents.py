@@ -53,6 +53,15 @@ def test_quality_measures(docs):
         assert not (row["kept_"] and row["base_failed_"])
 
 
+def test_quality_beside_a_column_of_that_name(docs):
+    from bedside.llm import quality_rules as q
+
+    table = docs(["one two", None]).withColumnRenamed("lang", "m")
+    judged = q.quality(table)
+    assert judged.columns == [*table.columns, "m_", "base_failed", "kept"]
+    assert sorted((r["m"], r["m_"].n_words, r["base_failed"]) for r in judged.collect()) == [("en", 0, True), ("en", 2, True)]
+
+
 def test_quality_filter_keeps_columns_and_good_rows(docs):
     from bedside.llm import quality_rules as q
 
