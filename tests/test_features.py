@@ -254,6 +254,33 @@ def test_elimination(training):
     assert set(found.scores) == {1, 2, 3} and found.best == len(found.selected) and "x" in found.selected
 
 
+@pytest.fixture
+def counted(spark, training):
+    """The training rows with a column that counts how often it is worked out, and that count."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def worked_out(x):
+        seen.add(1)
+        return x
+
+    return training.withColumn("x", F.udf(worked_out, "double")("x")), seen
+
+
+def test_elimination_works_its_rows_out_once(counted):
+    rows, seen = counted
+    found = models.rfe_cv(rows, ["x", "noise", "z"], "label", "id", k=2, params=PARAMS)
+    assert set(found.scores) == {1, 2, 3} and "x" in found.selected
+    assert seen.value == 400
+
+
+def test_elimination_keeps_the_features_of_the_path_over_all_rows(training):
+    names = ["x", "noise", "z"]
+    found = models.rfe_cv(training, names, "label", "id", step=2, k=2, params=PARAMS)
+    assert set(found.scores) == {3, 1}
+    path = [fitted.columns for fitted in models._elimination_path(training, names, "label", 2, found.best, PARAMS)]
+    assert found.selected == path[-1]
+
+
 def test_modeling_steps(training):
     from bedside.plans import modeling
 
