@@ -273,6 +273,14 @@ def test_elimination_works_its_rows_out_once(counted):
     assert seen.value == 400
 
 
+def test_cross_validation_works_its_rows_out_once(counted):
+    rows, seen = counted
+    train, test = rows.filter("id < 300"), rows.filter("id >= 300")
+    cv = models.cross_predict(train, test, ["x", "noise", "z"], "label", "id", k=2, params=PARAMS)
+    assert cv.out_of_fold.count() == 300 and cv.test.count() == 100 and cv.importance.count() == 6
+    assert seen.value == 400
+
+
 def test_elimination_keeps_the_features_of_the_path_over_all_rows(training):
     names = ["x", "noise", "z"]
     found = models.rfe_cv(training, names, "label", "id", step=2, k=2, params=PARAMS)
