@@ -478,3 +478,24 @@ def test_words_fire_their_most_specific_voter(docs):
     cases = {"Grump": [0], "grumping": [2], "idiots, IDIOTIC": [1, 3], "idea\ngrump grumps": [0, 2, 4], "lucid regrump": [], "please": [10], None: []}
     found = docs(list(cases)).select("text", voters.mask(F.coalesce("text", F.lit(""))).alias("mask")).collect()
     assert {r.text: r["mask"] for r in found} == cases
+
+
+def test_suffix_dedup_hands_texts_over_in_small_batches(spark, docs, scratch, monkeypatch):
+    import pyarrow as pa
+
+    from bedside.llm import suffix_dedup as x
+
+    monkeypatch.setattr(x, "BATCH_BYTES", 3_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 2_000, "b" * 900, None, "c" * 5_000, "d" * 200, ""])], ["text"])
+    parts = [part.column(0).to_pylist() for part in x.sliced(batch, 0)]
+    assert [v for part in parts for v in part] == batch.column(0).to_pylist()
+    assert all(len(part) == 1 or sum(len(v or "") for v in part) <= 3_000 for part in parts) and len(parts) == 3
+    assert [len(part) for part in x.sliced(batch.slice(0, 0), 0)] == [0]
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, kept = spark.conf.get(name), {}, scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, to, *more: seen.update({to: int(spark.conf.get(name))}) or kept(df, to, *more))
+    passage = "".join(f"passage word {i} " for i in range(60))
+    found = x.remove_repeats(docs([f"{i} opens {passage} and {i} closes" for i in range(8)]), scratch, length=200).collect()
+    assert all(passage.strip() not in r["text"] and "closes" in r["text"] for r in found)
+    assert seen["found"] <= 4 and seen["texts"] <= 4 and seen["marks"] == int(before) == int(spark.conf.get(name))
