@@ -499,3 +499,13 @@ def test_suffix_dedup_hands_texts_over_in_small_batches(spark, docs, scratch, mo
     found = x.remove_repeats(docs([f"{i} opens {passage} and {i} closes" for i in range(8)]), scratch, length=200).collect()
     assert all(passage.strip() not in r["text"] and "closes" in r["text"] for r in found)
     assert seen["found"] <= 4 and seen["texts"] <= 4 and seen["marks"] == int(before) == int(spark.conf.get(name))
+
+
+def test_suffix_dedup_writes_no_more_than_it_reads_again(docs, scratch):
+    from bedside.llm import suffix_dedup as x
+
+    passage = "".join(f"passage word {i} " for i in range(60))
+    texts = [f"{i} opens {passage} and {i} closes" for i in range(8)] + ["short", None]
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in x.remove_repeats(docs(texts), scratch, digest=True).collect()}
+    assert found == {i: e[1:3] for i, e in enumerate(brute_repeats(texts, 400))}
+    assert set(scratch.latest) == {"found", "texts", "marks"}
