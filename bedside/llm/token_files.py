@@ -9,15 +9,16 @@ Parquet row: part, number, document ids, and a block of bytes with the rules, th
 Block: ``RPR1``, the numbers of documents, rules and symbols and the first nonterminal (uint32 each); the rules' left and right symbols
 and expansion lengths (uint32); the documents' symbol ends and token counts (uint32); the symbols (uint32). Little-endian.
 
-Reading. ``decode_block`` expands all rules level by level; ``read_slice`` walks the grammar by expansion lengths and touches
+Reading. ``decode_block`` expands the rules level by level and then all documents at once; ``read_slice`` walks the grammar by expansion lengths and touches
 only what covers the wanted tokens of one document.
 
 Files are written and read by Spark's Parquet source, so any store works. A retried task makes the same shard again. Null texts count as
 empty; null ids come first; repeated rows are documents of their own; an empty table gives no files and no rows. A text longer
 than a shard makes one longer shard. Other columns are not read.
 
-Encoding. The tokenizer drops white space and splits letters from marks anyhow, so a batch's distinct words are encoded once, and a
-bounded memory of words and letter runs is kept between batches.
+Encoding. The tokenizer drops white space, lower-cases, and splits letters from marks anyhow, so texts are cut and lower-cased byte by byte
+where that is sure to change nothing, and a batch's distinct words are encoded once: runs of letters many in one call of the library, which its
+ids that end a run cut again, and everything else by a call each. A bounded memory of words and letter runs is kept between batches.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,101 +47,195 @@ MIN_COUNT = 8
 SMALL = 100_000
 MAGIC = b"RPR1"
 WORDS_KEPT = 600_000
-LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = 10_000
+RUN = re.compile("[a-z]+")
+PARTS = re.compile(r"^([^\W\d_]*)([^\n]*)$", re.MULTILINE)  # leading letters and the rest of each line
+SPACES = b" \t\n\v\f\r"
+SPACE, LETTER, MARK = b"sam"
+LOWER = bytes(range(256)).lower()
+#: Kinds of bytes; those of other letters and signs have none.
+KINDS = bytes(SPACE if c in SPACES else LETTER if c < 128 and chr(c).isalpha() else MARK if 32 < c < 127 and c != ord("|") else 0 for c in range(256))
 SPECIAL_CASE = re.compile("[\u0130\u03a3]")  # letters whose lower case depends on the place or is longer
 SCHEMA = "part int, shard int, n_ids bigint, doc_ids array<bigint>, block binary"
 
 
+def plain_letters(text: str) -> bool:
+    """Whether a text is letters in composed form that are lower-cased one by one."""
+    return text.isalpha() and (text.isascii() or unicodedata.is_normalized("NFC", text) and not SPECIAL_CASE.search(text))
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, number of words up to the end of each text).
+
+    White space of ASCII is left out. A mark of ASCII after a letter of ASCII begins a word, as the tokenizer splits them anyhow (but for ``|`` of
+    its special tokens). Letters of ASCII are lower-cased as the tokenizer does, but not before a byte of another kind, which a mark may begin that
+    joins the upper-case letter only or the lower-case one only, and not in a text that may hold a special token.
+    """
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]])
+    offsets = offsets - offsets[0]
+    whole, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(KINDS), np.uint8)
+    data = np.frombuffer(bytearray(raw.translate(LOWER)), np.uint8)
+    joins = np.flatnonzero((kind[:-1] == LETTER) & (kind[1:] == 0))
+    data[joins] = whole[joins]
+    if b"<|" in raw:
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            if b"<|" in raw[a:b]:
+                data[a:b] = whole[a:b]
+    solid = kind != SPACE
+    begin = np.ones(len(kind) + 1, bool)
+    begin[1:-1] = ~solid[:-1] | (kind[1:] == MARK) & (kind[:-1] == LETTER)
+    begin[offsets] = True
+    stops = np.flatnonzero(solid & (begin[1:] | np.append(~solid[1:], True)))  # last bytes of the words
+    begins = np.flatnonzero(begin[:-1] & solid)
+    starts = np.zeros(len(begins) + 1, np.int64)
+    np.cumsum(stops - begins + 1, out=starts[1:])
+    words = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(starts), pa.py_buffer(data[solid])])
+    return words, np.searchsorted(begins, offsets[1:])
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places ``begin, begin + 1, ...`` of neighbouring stretches, one stretch after the other."""
+    upto = np.cumsum(sizes)
+    places = np.repeat(begins - upto + sizes, sizes)
+    places += np.arange(len(places))
+    return places
+
+
+class Pieces:
+    """Id lists of strings by number, in two flat arrays."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def full(self, most: int) -> bool:
+        return len(self.number) > most or self.used > 16 * max(most, 1 << 16)
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New names, with their ids one after the other."""
+        more, have = len(ids), len(self.number)
+        while self.used + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while have + len(names) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.used : self.used + more] = ids
+        self.ends[have + 1 : have + 1 + len(names)] = self.used + np.cumsum(sizes)
+        self.used += more
+        self.number.update(zip(names, range(have, have + len(names))))
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.ends[numbers + 1] - self.ends[numbers]
+
+    def joined(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of the numbers' strings (of those sizes) one after the other."""
+        return self.ids[spread(self.ends[numbers], sizes)]
+
+    def clear(self) -> None:
+        self.number.clear()
+        self.used = 0
+
+
 class Encoder:
-    """Texts to ids by a tokenizer file; the words met so far are remembered up to a bound."""
+    """Texts to ids by a tokenizer file; the words met so far and their pieces are remembered up to a bound."""
 
     def __init__(self, path: str, words_kept: int = WORDS_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # for one run of lower-case letters in composed form, normalisation and splitting change nothing
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.model = self.plain.model
+        # for runs of lower-case letters in composed form, normalisation and splitting change nothing; one call takes many runs
+        at_spaces, at_bytes = pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ascii_runs, self.other_runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.ascii_runs.pre_tokenizer = at_spaces  # ASCII letters stand for themselves at byte level
+        self.other_runs.pre_tokenizer = pre_tokenizers.Sequence([at_spaces, at_bytes])
+        for runs in (self.ascii_runs, self.other_runs):
+            runs.normalizer = normalizers.Sequence([])
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id ends a run: only the last one of a run holds the suffix.
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.closes[[i for v, i in vocabulary.items() if v.endswith(suffix)]] = True
         self.words_kept = words_kept
-        self.number: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.words, self.pieces = Pieces(), Pieces()
 
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of a text without white space. Its leading letters are a token run of their own, unless a mark may join them."""
-        if word.isascii() and word.isalpha():
-            return self._letters(word.lower())
-        run = LETTERS.match(word)
-        if run is None:
-            return self._part(word, self.tokenizer)
-        letters, rest = run[0], word[run.end() :]
-        fine = letters.isascii() or (letters.isalpha() and unicodedata.is_normalized("NFC", letters) and not SPECIAL_CASE.search(letters))
-        if not fine or rest and not rest[0].isascii():
-            return self._part(word, self.tokenizer)
-        ids = self._letters(letters.lower())
-        return ids + self._part(rest, self.tokenizer) if rest else ids
-
-    def _letters(self, text: str) -> list[int]:
-        """Ids of a run of lower-case letters. ASCII letters stand for themselves at byte level, so the model takes them as they are."""
-        if not text.isascii():
-            return self._part(text, self.plain)
-        found = self.parts.get(text)
-        if found is None:
-            found = [t.id for t in self.model.tokenize(text)]
-            if len(text) <= 64:
-                self.parts[text] = found
-        return found
-
-    def _part(self, text: str, tokenizer) -> list[int]:
-        found = self.parts.get(text)
-        if found is None:
-            found = tokenizer.encode(text, add_special_tokens=False).ids
-            if len(text) <= 64:
-                self.parts[text] = found
-        return found
+    def _whole(self, texts: list[str], store: Pieces) -> None:
+        """Learn strings one by one, with all of the tokenizer's steps."""
+        found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        store.add(texts, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
+
+    def _runs(self, runs: list[str], tokenizer, store: Pieces) -> None:
+        """Learn runs of lower-case letters, many in one call."""
+        for at in range(0, len(runs), RUNS):
+            some = runs[at : at + RUNS]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                store.add(some, ids, np.diff(ends, prepend=0))
+            else:  # a model without such a suffix
+                self._whole(some, store)
+
+    def _split(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """For each word the leading letters in lower case, a token run of their own, and the rest.
+
+        A word stays whole, as a rest, if a mark may join its letters, or if their lower case depends on the place.
+        """
+        pairs = PARTS.findall("\n".join(words))
+        heads, rests = [p[0] for p in pairs], [p[1] for p in pairs]
+        joined = "\n".join(heads)
+        if not (joined.isascii() and "".join(rests).isascii()):
+            fine = joined.isascii() or plain_letters(joined.replace("\n", ""))
+            for i, (head, rest) in enumerate(pairs):
+                if head and (not fine and not plain_letters(head) or rest and not rest[0].isascii()):
+                    heads[i], rests[i] = "", words[i]
+            joined = "\n".join(heads)
+        return joined.lower().split("\n"), rests
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.parts) > self.words_kept // 2:
-            self.parts.clear()
-        found = [self.word_ids(w) for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        more, have = int(sizes.sum()), len(self.number)
-        while self.used + more > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while have + len(words) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(found), np.int32, more)
-        self.ends[have + 1 : have + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.used += more
-        self.number.update(zip(words, range(have, have + len(words))))
+        self._runs([w for w in words if RUN.fullmatch(w)], self.ascii_runs, self.words)
+        words = [w for w in words if w not in self.words.number]
+        if not words:
+            return
+        if self.pieces.full(self.words_kept // 2):
+            self.pieces.clear()
+        heads, rests = self._split(words)
+        number = self.pieces.number
+        missing = [h for h in dict.fromkeys(heads) if h and h not in number]
+        self._runs([h for h in missing if h.isascii()], self.ascii_runs, self.pieces)
+        self._runs([h for h in missing if not h.isascii()], self.other_runs, self.pieces)
+        self._whole([r for r in dict.fromkeys([*rests, ""]) if r not in number], self.pieces)
+        numbers = np.empty(2 * len(words), np.int64)
+        numbers[::2] = np.fromiter(map(number.__getitem__, heads), np.int64, len(words))
+        numbers[1::2] = np.fromiter(map(number.__getitem__, rests), np.int64, len(words))
+        sizes = self.pieces.sizes(numbers)
+        self.words.add(words, self.pieces.joined(numbers, sizes), sizes[::2] + sizes[1::2])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with the end id after each text, number of ids of each text)."""
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
+        words_of, ends = cut_words(texts)
+        coded = words_of.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.number) + len(words) > self.words_kept:
-            self.number.clear()
-            self.used = 0
-        get = self.number.get
-        unknown = [w for w in words if w not in self.number]
-        if unknown:
+        numbers = np.fromiter(map(self.words.number.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(numbers < 0)
+        if self.words.full(self.words_kept - len(at)):
+            self.words.clear()
+            at = np.arange(len(words))
+        if len(at):
+            unknown = [words[i] for i in at.tolist()]
             self._learn(unknown)
-        numbers = np.fromiter(map(get, words), np.int64, len(words))
+            numbers[at] = np.fromiter(map(self.words.number.__getitem__, unknown), np.int64, len(at))
         word = numbers[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        begin, size = self.ends[word], self.ends[word + 1] - self.ends[word]
-        offsets = split.offsets.to_numpy()
+        size = self.words.sizes(word)
         upto = np.concatenate([[0], np.cumsum(size)])
-        counts = np.diff(upto[offsets - offsets[0]]) + 1
+        counts = np.diff(upto[ends], prepend=0) + 1
         out = np.full(int(counts.sum()), END_ID, np.int32)
         place = np.ones(len(out), bool)
         place[np.cumsum(counts) - 1] = False
-        out[place] = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(int(upto[-1]))]
+        out[place] = self.words.joined(word, size)
         return out, counts
 
 
@@ -155,6 +249,32 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _places_of(known: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where ``pair`` holds one of ``known``, sorted and none twice; which one there)."""
+    if len(pair) <= SMALL:
+        found = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        at = np.flatnonzero(known[found] == pair)
+        return at, found[at]
+    # a table of hashed pairs; those that share a slot are searched for
+    slot = lambda p: (p * np.int64(-7046029254386353131) >> np.int64(44)) & 0xFFFFF
+    number = np.full(1 << 20, -1, np.int32)
+    slots = slot(known)
+    number[slots] = np.arange(len(known), dtype=np.int32)
+    crowded = np.flatnonzero(number[slots] != np.arange(len(known)))
+    found = number[slot(pair)]
+    at = np.flatnonzero(found >= 0)
+    found, pair = found[at], pair[at]
+    hit = known[found] == pair
+    if len(crowded):
+        miss = np.flatnonzero(~hit)
+        others = known[crowded]
+        other = np.minimum(np.searchsorted(others, pair[miss]), len(others) - 1)
+        right = others[other] == pair[miss]
+        found[miss[right]] = crowded[other[right]]
+        hit[miss[right]] = True
+    return at[hit], found[hit]
+
+
 def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """A block from the ids of consecutive documents."""
     x = ids.astype(np.int64)
@@ -164,10 +284,14 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
     first = int(x.max()) + 1 if len(x) else 0
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     top = first
+    narrow = first + len(x) < 1 << 31  # a rule takes the place of at least one symbol
+    x = x.astype(np.int32) if narrow else x
     # places whose pair may be frequent; a pair that once was rare stays rare, as new pairs always hold a new symbol
     live = np.flatnonzero(~last[:-1]) if len(x) > 1 else np.zeros(0, np.int64)
     while len(live):  # each round makes it shorter
-        pair = (x[live] << 32) | x[live + 1]
+        pair = x[live].astype(np.int64)
+        pair <<= 32
+        pair |= x[1:][live]
         ordered = np.sort(pair)
         begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         times = np.diff(np.append(begins, len(ordered)))
@@ -181,33 +305,28 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
             rule[:] = False
             rule[np.lexsort((known, -times))[:ROUND_RULES]] = True
         rules = known[rule]
-        if len(live) > SMALL:
-            # most places are sorted out by a small table of hashed pairs before the exact look-up
-            slot = lambda p: (p * np.int64(-7046029254386353131) >> np.int64(42)) & 0x3FFFFF
-            maybe = np.zeros(1 << 22, bool)
-            maybe[slot(known)] = True
-            passed = maybe[slot(pair)]
-            live, pair = live[passed], pair[passed]
-        found = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-        hit = known[found] == pair
-        live, found = live[hit], found[hit]
-        hit = rule[found]
+        hit, found = _places_of(known, pair)
+        live = live[hit]
+        hit = np.flatnonzero(rule[found])
         at, found = live[hit], (np.cumsum(rule) - 1)[found[hit]]
         # of overlapping places take the first, third, ... of each run
         starts = np.concatenate([[True], np.diff(at) != 1])
-        run_start = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        keep = (np.arange(len(at)) - run_start) % 2 == 0
-        at, found = at[keep], found[keep]
-        used, number = np.unique(found, return_inverse=True)
+        if not starts.all():
+            run_start = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+            keep = (np.arange(len(at)) - run_start) % 2 == 0
+            at, found = at[keep], found[keep]
+        taken = np.bincount(found, minlength=len(rules)) > 0
+        used, number = np.flatnonzero(taken), (np.cumsum(taken) - 1)[found]
         left.append(rules[used] >> 32)
         right.append(rules[used] & 0xFFFFFFFF)
         x[at] = top + number
         last[at] = last[at + 1]
-        stay = np.ones(len(x), bool)
-        stay[at + 1] = False
         again = np.zeros(len(x), bool)
         again[live] = True
         again[at] = True
+        stay = np.ones(len(x), bool)
+        stay[at + 1] = False
+        stay = np.flatnonzero(stay)
         x, last, again = x[stay], last[stay], again[stay]
         top += len(used)
         again[:-1] |= x[1:] >= top - len(used)  # before a new symbol
@@ -247,7 +366,8 @@ class Block:
 def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all documents, number of ids of each)."""
     b = Block(data)
-    x = b.symbols
+    # the rules are expanded level by level, the documents at once
+    x = np.stack([b.left, b.right], 1).ravel()
     while len(x) and (inner := x >= b.first).any():
         at = np.cumsum(inner + 1) - (inner + 1)
         out = np.empty(len(x) + int(inner.sum()), np.int64)
@@ -255,7 +375,11 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         rule = x[inner] - b.first
         out[at[inner]], out[at[inner] + 1] = b.left[rule], b.right[rule]
         x = out
-    return x.astype(np.uint32), b.counts
+    inner = b.symbols >= b.first
+    rule = b.symbols[inner] - b.first
+    begin, size = len(x) + np.arange(len(b.symbols)), np.ones(len(b.symbols), np.int64)
+    begin[inner], size[inner] = (np.cumsum(b.lengths) - b.lengths)[rule], b.lengths[rule]
+    return np.concatenate([x, b.symbols]).astype(np.uint32)[spread(begin, size)], b.counts
 
 
 def read_slice(data: bytes, document: int, start: int, stop: int) -> list[int]:
@@ -304,7 +428,7 @@ def blocks(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
 
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
-                piece = batch.take(pa.array(range(at, min(batch.num_rows, at + PIECE))))
+                piece = batch.slice(at, PIECE)
                 got, sizes = encode(piece.column("text"))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 begin = 0

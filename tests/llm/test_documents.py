@@ -509,3 +509,40 @@ def test_suffix_dedup_writes_no_more_than_it_reads_again(docs, scratch):
     found = {r.doc_id: (r.n_removed, r.n_spans) for r in x.remove_repeats(docs(texts), scratch, digest=True).collect()}
     assert found == {i: e[1:3] for i, e in enumerate(brute_repeats(texts, 400))}
     assert set(scratch.latest) == {"found", "texts", "marks"}
+
+
+def test_words_are_cut_by_bytes_and_learnt_together():
+    import pyarrow as pa
+
+    tokenizers = pytest.importorskip("tokenizers")
+    places = pytest.importorskip("public_tokenizers")
+    from bedside.llm import token_files as t
+
+    path = places.path("word_bpe_49k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    tight, roomy = t.Encoder(path, words_kept=20), t.Encoder(path)
+    rnd = random.Random(6)
+    signs = ["a", "B", "the", "ſ", "É", "e\u0301", "H\u0331", "İ", "ΑΣ", " ", "\n", "'S", "n't", ".", "|", "½", "字", "\x00", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "각", "_"]
+    for some in [[""], ["", " \n", ""], *([["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 9))) for _ in range(40)] for _ in range(30)])]:
+        expected = [plain.encode(x, add_special_tokens=False).ids + [1] for x in some]
+        for encoder in (tight, roomy):
+            ids, counts = encoder.encode(pa.array(["out", *some]).slice(1))
+            assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+    assert t.Encoder(path).encode(pa.array([], pa.string()))[0].tolist() == []
+    fresh = t.Encoder(path)
+    fresh.encode(pa.array(["The, the. THE", "the 'The'"]))
+    assert set(fresh.words.number) == {"the", ",", ".", "'the", "'"}
+
+
+def test_frequent_pairs_are_found_where_slots_are_shared(monkeypatch):
+    import numpy as np
+
+    from bedside.llm import token_files as t
+
+    rng = np.random.default_rng(8)
+    known = np.unique(rng.integers(0, 1 << 60, 300_000))
+    pair = np.concatenate([rng.choice(known, 5_000), rng.integers(0, 1 << 60, 5_000)])
+    sought = t._places_of(known, pair)
+    monkeypatch.setattr(t, "SMALL", 0)
+    hashed = t._places_of(known, pair)
+    assert [x.tolist() for x in hashed] == [x.tolist() for x in sought] and len(sought[0]) >= 5_000
