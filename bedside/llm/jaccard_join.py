@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedside.llm.common import Scratch, free_name, table, text_or_empty
+from bedside.llm.common import Scratch, free_name, small_batches, table, text_or_empty
 from bedside.llm.graph import components
 
 SHINGLE = 5
 #: Linked if LINK_TOP * intersection >= LINK_PART * union.
 LINK_TOP, LINK_PART = 100, 75
-#: N-grams in a fragment (about), coarser fragments for verification, bytes of text hashed at once.
+#: N-grams in a fragment (about), slices (a power of two) in which a task sorts them, coarser fragments for verification, bytes of text hashed at once.
 FRAGMENT = 3_000_000
+SLICES = 8
 VERIFY_FRAGMENTS = 4
 PIECE_BYTES = 1 << 18
 #: Pivot rounds end when the pairs left are at most ENOUGH times the postings, when a round leaves more than the share SLOW of them,
@@ -212,7 +213,10 @@ def fragment_of(grams: np.ndarray, n_fragments: int) -> np.ndarray:
 
 
 def _shared(n_buckets: int):
-    """A fragment's n-grams that occur in two classes or more, with their number of classes, dealt by class."""
+    """A fragment's n-grams that occur in two classes or more, with their number of classes, dealt by class.
+
+    N-grams are sorted and dealt in ``SLICES``, so that beside them a worker needs room for a small part of them only.
+    """
 
     def shared(group: pa.Table) -> pa.Table:
         name, size, count, gram = _unpack(group, "<u8")
@@ -221,18 +225,24 @@ def _shared(n_buckets: int):
         chosen = np.zeros(len(name), bool)
         chosen[order[new]] = True
         owner = np.repeat(np.arange(len(name), dtype=np.int32), count)
-        mine = chosen[owner]
-        owner, gram = owner[mine], gram[mine]
-        by_gram = np.argsort(gram, kind="stable")
-        ordered = gram[by_gram]
-        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        runs = np.diff(np.append(begin, len(ordered)))
-        uses = np.empty(len(gram), "<u4")
-        uses[by_gram] = np.repeat(runs, runs)
-        keep = uses > 1  # still in the order of owners
-        owner, gram, uses = owner[keep], gram[keep], uses[keep]
+        uses = np.zeros(len(gram), "<u4")  # stays 0 in copies
+        last = gram.view("u1")[::8] & np.uint8(SLICES - 1)
+        for k in range(SLICES):
+            at = np.flatnonzero((last == k) & chosen[owner])
+            by_gram = np.argsort(gram[at], kind="stable")
+            at = at[by_gram]
+            ordered = gram[at]
+            begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(at) else at
+            runs = np.diff(np.append(begin, len(ordered)))
+            uses[at] = np.repeat(runs, runs)
         bucket = fragment_of(_mix(name.view([("a", "<u8"), ("b", "<u8")])["a"]), n_buckets)
-        return pa.Table.from_batches([_pack(bucket[owner], name, size, owner, gram, uses)])
+        part = bucket * np.uint64(SLICES) // np.uint64(n_buckets)
+        tables = []
+        for k in range(SLICES):
+            at = np.flatnonzero((uses > 1) & (part == k)[owner])  # still in the order of owners
+            own = owner[at]
+            tables.append(_pack(bucket[own], name, size, own, gram[at], uses[at]))
+        return pa.Table.from_batches(tables)
 
     return shared
 
@@ -241,26 +251,30 @@ ABLE = "v binary, n int, m int, grams array<bigint>"
 
 
 def _able(group: pa.Table) -> pa.Table:
-    """The classes of a bucket that can link: digest, size, number of shared n-grams, and these, rarest first."""
+    """The classes of a bucket that can link: digest, size, number of shared n-grams, and these, rarest first (sorted in ``SLICES``)."""
     name, size, count, gram, uses = _unpack(group, "<u8", "<u4")
     order, new = _order_of(name)
-    number = np.empty(len(name), np.int64)
+    number = np.empty(len(name), np.int32)
     number[order] = np.cumsum(new) - 1
     first = order[new]
     owner = np.repeat(number, count)
     m, n = np.bincount(owner, minlength=len(first)), size[first].astype(np.int64)
     able = LINK_TOP * m >= LINK_PART * n
-    keep = able[owner]
-    owner, gram, uses = owner[keep], gram[keep], uses[keep]
-    in_order = np.lexsort((gram, uses, owner))
-    offsets = np.concatenate([[0], np.cumsum(m[able])]).astype(np.int32)
-    columns = [
-        pa.array([x.tobytes() for x in name[first[able]]], pa.binary()),
-        pa.array(n[able].astype(np.int32)),
-        pa.array(m[able].astype(np.int32)),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram[in_order].view(np.int64))),
-    ]
-    return pa.Table.from_arrays(columns, names=["v", "n", "m", "grams"])
+    part = np.arange(len(first)) * SLICES // max(1, len(first))
+    tables = []
+    for k in range(SLICES):
+        chosen = able & (part == k)
+        at = np.flatnonzero(chosen[owner])
+        at = at[np.lexsort((gram[at], uses[at], owner[at]))]
+        offsets = np.concatenate([[0], np.cumsum(m[chosen])]).astype(np.int32)
+        columns = [
+            pa.array([x.tobytes() for x in name[first[chosen]]], pa.binary()),
+            pa.array(n[chosen].astype(np.int32)),
+            pa.array(m[chosen].astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram[at].view(np.int64))),
+        ]
+        tables.append(pa.Table.from_arrays(columns, names=["v", "n", "m", "grams"]))
+    return pa.concat_tables(tables)
 
 
 def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
@@ -270,7 +284,8 @@ def class_groups(docs: DataFrame, classes: DataFrame, scratch: Scratch, text: st
     n_fragments = max(1, math.ceil(total / FRAGMENT))
     segments = docs.select(text_or_empty(text).alias("text")).mapInArrow(_cut(n_fragments), PACKED)
     shared = segments.groupBy("bucket").applyInArrow(_shared(n_fragments), PACKED)
-    able = scratch.keep(shared.groupBy("bucket").applyInArrow(_able, ABLE), "able")
+    with small_batches(spark):
+        able = scratch.keep(shared.groupBy("bucket").applyInArrow(_able, ABLE), "able")
     parts = able.select("v", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("part"), "grams")
     parts = parts.select("v", "part", F.filter("grams", lambda g: F.pmod(F.shiftright(g, 32), F.lit(VERIFY_FRAGMENTS)) == F.col("part")).alias("grams"))
     # the rarest n - ceil(.75 n) + 1 of all n-grams are the prefix; those in one class only come first and find no partner
@@ -363,7 +378,8 @@ def join_groups(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     """
     names = {k: free_name(k, docs.columns) for k in ("n_shingles", "component_id", "set_class")}
     n, component, v = names["n_shingles"], names["component_id"], names["set_class"]
-    rows = scratch.keep(signed(docs, text, v, n), "signed")
+    with small_batches(docs.sparkSession):
+        rows = scratch.keep(signed(docs, text, v, n), "signed")
     classes = rows.filter(F.col(v).isNotNull()).groupBy(F.col(v).alias("v")).agg(F.first(n).alias("n"), F.min(doc_id).alias("smallest"))
     classes = scratch.keep(classes, "classes")
     groups = class_groups(docs, classes.select("v", "n"), scratch, text)
@@ -380,7 +396,8 @@ def keep_one_per_group(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id"
     columns = docs.columns
     v, n, mark = (free_name(c, columns) for c in ("set_class", "n_shingles", "mark"))
     marked = docs.withColumn(mark, F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))))
-    rows = scratch.keep(signed(marked.select(doc_id, mark, text), text, v, n), "signed")
+    with small_batches(docs.sparkSession):
+        rows = scratch.keep(signed(marked.select(doc_id, mark, text), text, v, n), "signed")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(mark).alias("mark"))
     classes = rows.filter(F.col(v).isNotNull()).groupBy(F.col(v).alias("v")).agg(F.first(n).alias("n"), F.min(order).alias("best"))
     classes = scratch.keep(classes, "classes")

@@ -192,6 +192,70 @@ def test_jaccard_keeps_one_per_group(docs, scratch):
     assert j.join_groups(docs([]), scratch).count() == 0
 
 
+@pytest.mark.parametrize("common", [0, 1])
+def test_jaccard_fragments_need_little_room(common):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from bedside.llm import jaccard_join as j
+
+    def peak(work, group):
+        tracemalloc.start()
+        try:
+            return work(group), tracemalloc.get_traced_memory()[1] / group.nbytes
+        finally:
+            tracemalloc.stop()
+
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 1 << 62 if k % 4 else 1 << 17, 1_000, dtype=np.uint64)) for k in range(600)]
+    sets = [s % np.uint64(1 << 17) if common else s for s in sets]
+    sets = [np.unique(j._mix(s)) for s in sets]
+    names = [j.digest(s) for s in sets]
+    twice = [*range(600), *range(0, 600, 9)]  # copies count once
+    owner = np.repeat(np.arange(len(twice), dtype=np.int32), [len(sets[k]) for k in twice])
+    grams = np.concatenate([sets[k] for k in twice])
+    sizes = np.array([len(sets[k]) for k in twice])
+    packed = j._pack(np.zeros(len(grams), np.uint64), np.frombuffer(b"".join(names[k] for k in twice), "V16"), sizes, owner, grams)
+    shared, room = peak(j._shared(3), pa.Table.from_batches([packed]))
+    assert room < 5.5  # 6.2 and 9.5 when all n-grams were sorted at once
+
+    times = Counter(g for s in sets for g in s.tolist())
+    found, able = {}, []
+    for bucket in sorted(shared.column("bucket").to_pylist()):
+        part = shared.filter(pa.array([b == bucket for b in shared.column("bucket").to_pylist()]))
+        name, _, count, gram, uses = j._unpack(part, "<u8", "<u4")
+        for v, a, c in zip(name, np.cumsum(count), count):
+            assert found.setdefault(v.tobytes(), dict(zip(gram[a - c : a].tolist(), uses[a - c : a].tolist()))) is not None
+        result, room = peak(j._able, part)
+        assert room < 3  # 3.4 with common n-grams
+        able += result.to_pylist()
+    wanted = {n: {g: times[g] for g in s.tolist() if times[g] > 1} for n, s in zip(names, sets)}
+    assert found == {n: w for n, w in wanted.items() if w}
+    wanted = {n: (len(s), sorted(w, key=lambda g: (w[g], g))) for s, (n, w) in zip(sets, wanted.items()) if 100 * len(w) >= 75 * len(s)}
+    assert {r["v"]: (r["n"], [g % (1 << 64) for g in r["grams"]]) for r in able} == wanted and len(able) == len(wanted)
+
+
+def test_jaccard_hands_texts_and_sets_over_in_small_batches(spark, docs, scratch, monkeypatch):
+    from bedside.llm import jaccard_join as j
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, kept = spark.conf.get(name), {}, scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, to, *more: seen.update({to: spark.conf.get(name)}) or kept(df, to, *more))
+    table = docs(near_copies(random.Random(3)))
+    for work in (j.join_groups, j.keep_one_per_group):
+        seen.clear()
+        assert work(table, scratch).count() > 0
+        assert seen["signed"] == seen["able"] == "4000000" and seen["postings"] == spark.conf.get(name) == before
+    spark.conf.set(name, "1k")
+    try:
+        work(table, scratch)
+        assert seen["able"] == "1024" and spark.conf.get(name) in ("1k", "1024b")
+    finally:
+        spark.conf.set(name, before)
+
+
 # -- suffix dedup
 
 
