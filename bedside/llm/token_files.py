@@ -18,7 +18,8 @@ than a shard makes one longer shard. Other columns are not read.
 
 Encoding. The tokenizer drops white space, lower-cases, and splits letters from marks anyhow, so texts are cut and lower-cased byte by byte
 where that is sure to change nothing, and a batch's distinct words are encoded once: runs of letters many in one call of the library, which its
-ids that end a run cut again, and everything else by a call each. A bounded memory of words and letter runs is kept between batches.
+ids that end a run cut again, and everything else by a call each. A bounded memory of words and letter runs is kept between batches; the words of
+a batch are looked up all at once, and when the memory is full, those go that no later batch had.
 """
 
 from __future__ import annotations
@@ -44,9 +45,12 @@ SHARD_IDS = 1 << 20
 PIECE = 2048
 ROUND_RULES = 3000
 MIN_COUNT = 8
-SMALL = 100_000
+SMALL = 20_000
 MAGIC = b"RPR1"
 WORDS_KEPT = 600_000
+SHORT = 15
+#: Of 8 bytes the first 0, 1, ..., 8.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 RUNS = 10_000
 RUN = re.compile("[a-z]+")
 PARTS = re.compile(r"^([^\W\d_]*)([^\n]*)$", re.MULTILINE)  # leading letters and the rest of each line
@@ -103,40 +107,154 @@ def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return places
 
 
-class Pieces:
-    """Id lists of strings by number, in two flat arrays."""
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a longer one that begins with it."""
+    while size > len(array):
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
+
+
+class Lists:
+    """Id lists by number, in two flat arrays."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.have = self.used = 0
 
     def full(self, most: int) -> bool:
-        return len(self.number) > most or self.used > 16 * max(most, 1 << 16)
+        return self.have > most or self.used > 16 * max(most, 1 << 16)
 
-    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New names, with their ids one after the other."""
-        more, have = len(ids), len(self.number)
-        while self.used + more > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while have + len(names) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + more] = ids
-        self.ends[have + 1 : have + 1 + len(names)] = self.used + np.cumsum(sizes)
-        self.used += more
-        self.number.update(zip(names, range(have, have + len(names))))
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = grown(self.ids, self.used + len(ids))
+        self.ends = grown(self.ends, self.have + len(sizes) + 1)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[self.have + 1 : self.have + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.have += len(sizes)
 
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
-        return self.ends[numbers + 1] - self.ends[numbers]
+        return self.ends.take(numbers + 1) - self.ends.take(numbers)
 
     def joined(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The ids of the numbers' strings (of those sizes) one after the other."""
-        return self.ids[spread(self.ends[numbers], sizes)]
+        """The lists of the numbers (of those sizes) one after the other."""
+        return self.ids.take(spread(self.ends.take(numbers), sizes))
+
+
+class Pieces(Lists):
+    """Id lists of strings."""
+
+    def __init__(self):
+        super().__init__()
+        self.number: dict[str, int] = {}
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New names, with their ids one after the other."""
+        self.number.update(zip(names, range(self.have, self.have + len(names))))
+        self.append(ids, sizes)
 
     def clear(self) -> None:
         self.number.clear()
-        self.used = 0
+        self.have = self.used = 0
+
+
+def halves(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(first 8 bytes, next 7 bytes and the size) of each word, which tell words of at most ``SHORT`` bytes apart; 0, 0 for longer ones."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    begin, size = offsets[:-1], np.diff(offsets)
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    tail = size - 8
+    low = eight[begin] & FIRST[np.minimum(size, 8)]
+    high = eight[begin + 8] & FIRST[np.clip(tail, 0, 7)]
+    high |= size.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > SHORT)
+    low[long] = high[long] = 0
+    return low, high
+
+
+class Words(Lists):
+    """Id lists of words, looked up many at once: those of at most ``SHORT`` bytes in a table of hashed bytes, longer ones by their strings."""
+
+    def __init__(self):
+        super().__init__()
+        self.low, self.high = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        self.again = np.zeros(1 << 16, bool)  # whether a batch after the word's first one had it
+        self.slots = np.full(1 << 17, -1, np.int32)
+        self.long: dict[str, int] = {}
+
+    @property
+    def number(self) -> dict[str, int]:
+        """All words and their numbers."""
+        short = np.flatnonzero(self.high[: self.have])
+        raw = np.stack([self.low[short], self.high[short]], 1).astype("<u8").tobytes()
+        return {raw[i : i + raw[i + SHORT]].decode(): n for i, n in zip(range(0, len(raw), SHORT + 1), short.tolist())} | self.long
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = (low ^ high * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _place(self, numbers: np.ndarray) -> None:
+        """Give words a slot of the table: their own or the next free one."""
+        numbers = numbers[self.high[numbers] > 0].astype(np.int32)
+        slot = self._slot(self.low[numbers], self.high[numbers])
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            left = self.slots[slot] != numbers
+            numbers, slot = numbers[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _insert(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        begin = self.have
+        self.append(ids, sizes)
+        new = slice(begin, self.have)
+        self.low, self.high, self.again = (grown(x, self.have) for x in (self.low, self.high, self.again))
+        self.low[new], self.high[new], self.again[new] = low, high, False
+        if 2 * self.have > len(self.slots):  # half of the slots stay free
+            begin, self.slots = 0, np.full(1 << (2 * self.have).bit_length(), -1, np.int32)
+        self._place(np.arange(begin, self.have))
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New names, with their ids one after the other."""
+        low, high = halves(pa.array(names, pa.large_string()))
+        self.long.update((names[i], self.have + i) for i in np.flatnonzero(high == 0).tolist())
+        self._insert(low, high, ids, sizes)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words, -1 for those not known."""
+        low, high = halves(words)
+        out, at = np.full(len(words), -1, np.int32), np.flatnonzero(high == 0)
+        if len(at):
+            coded = words.take(pa.array(at)).dictionary_encode()
+            found = np.fromiter(map(self.long.get, coded.dictionary.to_pylist(), repeat(-1)), np.int32, len(coded.dictionary))
+            out[at] = found[coded.indices.to_numpy()]
+            at = np.flatnonzero(high)
+            low, high = low[at], high[at]
+        else:
+            at = np.arange(len(words))
+        slot = self._slot(low, high)
+        while len(at):
+            number = self.slots.take(slot)
+            taken = number >= 0
+            same = taken & (self.low.take(number, mode="wrap") == low) & (self.high.take(number, mode="wrap") == high)
+            out[at[same]] = number[same]
+            on = np.flatnonzero(taken & ~same)
+            at, low, high, slot = at[on], low[on], high[on], (slot[on] + 1) & (len(self.slots) - 1)
+        self.again[out[out >= 0]] = True
+        return out
+
+    def forget(self) -> None:
+        """Keep the words that batches after their first one had since the last time; none if they are most of all."""
+        kept = np.flatnonzero(self.again[: self.have])
+        kept = kept[: 0 if 2 * len(kept) > self.have else None]
+        low, high, sizes = self.low[kept], self.high[kept], self.sizes(kept)
+        ids = self.joined(kept, sizes)
+        now = np.full(self.have, -1)
+        now[kept] = np.arange(len(kept))
+        self.long = {w: n for w, i in self.long.items() if (n := int(now[i])) >= 0}
+        self.have = self.used = 0
+        self.slots[:] = -1
+        self._insert(low, high, ids, sizes)
 
 
 class Encoder:
@@ -160,15 +278,15 @@ class Encoder:
         if suffix:
             self.closes[[i for v, i in vocabulary.items() if v.endswith(suffix)]] = True
         self.words_kept = words_kept
-        self.words, self.pieces = Pieces(), Pieces()
+        self.words, self.pieces = Words(), Pieces()
 
-    def _whole(self, texts: list[str], store: Pieces) -> None:
+    def _whole(self, texts: list[str], store: Pieces | Words) -> None:
         """Learn strings one by one, with all of the tokenizer's steps."""
         found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         store.add(texts, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
 
-    def _runs(self, runs: list[str], tokenizer, store: Pieces) -> None:
+    def _runs(self, runs: list[str], tokenizer, store: Pieces | Words) -> None:
         """Learn runs of lower-case letters, many in one call."""
         for at in range(0, len(runs), RUNS):
             some = runs[at : at + RUNS]
@@ -195,11 +313,21 @@ class Encoder:
             joined = "\n".join(heads)
         return joined.lower().split("\n"), rests
 
-    def _learn(self, words: list[str]) -> None:
-        self._runs([w for w in words if RUN.fullmatch(w)], self.ascii_runs, self.words)
-        words = [w for w in words if w not in self.words.number]
-        if not words:
-            return
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of new words."""
+        plain = np.fromiter(map(bool, map(RUN.fullmatch, words)), bool, len(words))
+        order = np.argsort(~plain, kind="stable")
+        numbers = np.empty(len(words), np.int32)
+        numbers[order] = np.arange(self.words.have, self.words.have + len(words))
+        words = [words[i] for i in order.tolist()]
+        at = np.count_nonzero(plain)
+        self._runs(words[:at], self.ascii_runs, self.words)
+        if words[at:]:
+            self._mixed(words[at:])
+        return numbers
+
+    def _mixed(self, words: list[str]) -> None:
+        """Learn words by their leading letters and the rest."""
         if self.pieces.full(self.words_kept // 2):
             self.pieces.clear()
         heads, rests = self._split(words)
@@ -214,21 +342,21 @@ class Encoder:
         sizes = self.pieces.sizes(numbers)
         self.words.add(words, self.pieces.joined(numbers, sizes), sizes[::2] + sizes[1::2])
 
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """(number of each word, places of those not known, these words)."""
+        numbers = self.words.find(words)
+        at = np.flatnonzero(numbers < 0)
+        return numbers, at, words.take(pa.array(at)).dictionary_encode()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with the end id after each text, number of ids of each text)."""
         words_of, ends = cut_words(texts)
-        coded = words_of.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        numbers = np.fromiter(map(self.words.number.get, words, repeat(-1)), np.int64, len(words))
-        at = np.flatnonzero(numbers < 0)
-        if self.words.full(self.words_kept - len(at)):
-            self.words.clear()
-            at = np.arange(len(words))
+        word, at, new = self._look_up(words_of)
+        if len(at) and self.words.full(self.words_kept - len(new.dictionary)):
+            self.words.forget()
+            word, at, new = self._look_up(words_of)
         if len(at):
-            unknown = [words[i] for i in at.tolist()]
-            self._learn(unknown)
-            numbers[at] = np.fromiter(map(self.words.number.__getitem__, unknown), np.int64, len(at))
-        word = numbers[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+            word[at] = self._learn(new.dictionary.to_numpy(zero_copy_only=False).tolist())[new.indices.to_numpy()]
         size = self.words.sizes(word)
         upto = np.concatenate([[0], np.cumsum(size)])
         counts = np.diff(upto[ends], prepend=0) + 1
@@ -256,42 +384,46 @@ def _places_of(known: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndar
         at = np.flatnonzero(known[found] == pair)
         return at, found[at]
     # a table of hashed pairs; those that share a slot are searched for
-    slot = lambda p: (p * np.int64(-7046029254386353131) >> np.int64(44)) & 0xFFFFF
+    if pair.dtype == np.uint32:
+        slot = lambda p: (p * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    else:
+        slot = lambda p: (p * np.int64(-7046029254386353131) >> np.int64(44)) & 0xFFFFF
     number = np.full(1 << 20, -1, np.int32)
     slots = slot(known)
     number[slots] = np.arange(len(known), dtype=np.int32)
     crowded = np.flatnonzero(number[slots] != np.arange(len(known)))
-    found = number[slot(pair)]
-    at = np.flatnonzero(found >= 0)
-    found, pair = found[at], pair[at]
-    hit = known[found] == pair
+    found = number.take(slot(pair))
+    hit = known.take(found, mode="wrap") == pair  # the last one has a slot, so an empty slot's pair is another
     if len(crowded):
-        miss = np.flatnonzero(~hit)
+        shared = np.zeros(len(known), bool)
+        shared[number[slots[crowded]]] = True
+        miss = np.flatnonzero(shared[found] & ~hit)
         others = known[crowded]
         other = np.minimum(np.searchsorted(others, pair[miss]), len(others) - 1)
         right = others[other] == pair[miss]
         found[miss[right]] = crowded[other[right]]
         hit[miss[right]] = True
-    return at[hit], found[hit]
+    at = np.flatnonzero(hit)
+    return at, found[at]
 
 
 def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """A block from the ids of consecutive documents."""
-    x = ids.astype(np.int64)
-    last = np.zeros(len(x), bool)
-    ends = np.cumsum(counts)
-    last[ends[counts > 0] - 1] = True
-    first = int(x.max()) + 1 if len(x) else 0
+    first = int(ids.max()) + 1 if len(ids) else 0
+    last = np.cumsum(counts)[counts > 0] - 1  # places of the documents' last symbols
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     top = first
-    narrow = first + len(x) < 1 << 31  # a rule takes the place of at least one symbol
-    x = x.astype(np.int32) if narrow else x
+    narrow = first + len(ids) < 1 << 31  # a rule takes the place of at least one symbol
+    x = ids.astype(np.int32 if narrow else np.int64)
     # places whose pair may be frequent; a pair that once was rare stays rare, as new pairs always hold a new symbol
-    live = np.flatnonzero(~last[:-1]) if len(x) > 1 else np.zeros(0, np.int64)
+    again = np.ones(len(x), bool)
+    again[last] = False
+    live = np.flatnonzero(again)
     while len(live):  # each round makes it shorter
-        pair = x[live].astype(np.int64)
-        pair <<= 32
-        pair |= x[1:][live]
+        half = 16 if top <= 1 << 16 else 32
+        pair = x.take(live).astype(np.uint32 if half == 16 else np.int64)
+        pair <<= half
+        pair |= x.take(live + 1).astype(pair.dtype)
         ordered = np.sort(pair)
         begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         times = np.diff(np.append(begins, len(ordered)))
@@ -306,31 +438,34 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
             rule[np.lexsort((known, -times))[:ROUND_RULES]] = True
         rules = known[rule]
         hit, found = _places_of(known, pair)
-        live = live[hit]
-        hit = np.flatnonzero(rule[found])
-        at, found = live[hit], (np.cumsum(rule) - 1)[found[hit]]
+        live = live.take(hit)
+        hit = np.flatnonzero(rule.take(found))
+        at, found = live.take(hit), (np.cumsum(rule) - 1).take(found.take(hit))
         # of overlapping places take the first, third, ... of each run
         starts = np.concatenate([[True], np.diff(at) != 1])
         if not starts.all():
             run_start = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-            keep = (np.arange(len(at)) - run_start) % 2 == 0
-            at, found = at[keep], found[keep]
+            keep = np.flatnonzero((np.arange(len(at)) - run_start) & 1 == 0)
+            at, found = at.take(keep), found.take(keep)
         taken = np.bincount(found, minlength=len(rules)) > 0
         used, number = np.flatnonzero(taken), (np.cumsum(taken) - 1)[found]
-        left.append(rules[used] >> 32)
-        right.append(rules[used] & 0xFFFFFFFF)
+        rules = rules[used].astype(np.int64)
+        left.append(rules >> half)
+        right.append(rules & (1 << half) - 1)
         x[at] = top + number
-        last[at] = last[at + 1]
+        top += len(used)
         again = np.zeros(len(x), bool)
         again[live] = True
         again[at] = True
+        again[at[at > 0] - 1] = True  # before a new symbol
         stay = np.ones(len(x), bool)
         stay[at + 1] = False
+        last -= ~stay[last]
+        again[last] = False
+        last -= np.searchsorted(at, last)
         stay = np.flatnonzero(stay)
-        x, last, again = x[stay], last[stay], again[stay]
-        top += len(used)
-        again[:-1] |= x[1:] >= top - len(used)  # before a new symbol
-        live = np.flatnonzero(again & ~last)
+        x, again = x.take(stay), again.take(stay)
+        live = np.flatnonzero(again)
     lefts, rights = np.concatenate(left), np.concatenate(right)
     lengths = np.ones(len(lefts), np.int64)
     at = 0
@@ -341,7 +476,7 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> bytes:
             lengths[here] = size(lefts[here]) + size(rights[here])
         at += len(part)
     symbol_ends = np.zeros(len(counts), np.int64)
-    symbol_ends[counts > 0] = np.flatnonzero(last) + 1
+    symbol_ends[counts > 0] = last + 1
     symbol_ends = np.maximum.accumulate(symbol_ends) if len(counts) else symbol_ends
     head = MAGIC + struct.pack("<4I", len(counts), len(lefts), len(x), first)
     return head + b"".join(a.astype("<u4").tobytes() for a in (lefts, rights, lengths, symbol_ends, counts, x))

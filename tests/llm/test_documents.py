@@ -610,3 +610,60 @@ def test_frequent_pairs_are_found_where_slots_are_shared(monkeypatch):
     monkeypatch.setattr(t, "SMALL", 0)
     hashed = t._places_of(known, pair)
     assert [x.tolist() for x in hashed] == [x.tolist() for x in sought] and len(sought[0]) >= 5_000
+
+
+def test_words_met_again_are_not_learnt_again():
+    import pyarrow as pa
+
+    tokenizers = pytest.importorskip("tokenizers")
+    places = pytest.importorskip("public_tokenizers")
+    from bedside.llm import token_files as t
+
+    path = places.path("word_bpe_49k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    encoder, learnt = t.Encoder(path, words_kept=300), Counter()
+    learn = encoder._learn
+    encoder._learn = lambda words: (learnt.update(words), learn(words))[1]
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(9, 24)))
+    common = [word() for _ in range(80)] + ["a\x00", "a\x00\x00", "éa" * 7, "é" * 8, "0123456789abcde", "0123456789abcdef"]
+    for _ in range(12):  # 60 words of its own fill the memory every few batches
+        text = " ".join(common + [word() for _ in range(60)])
+        ids, counts = encoder.encode(pa.array([text]))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [1] and counts.tolist() == [len(ids)]
+        assert encoder.words.have <= 300
+    assert all(learnt[w] == 1 for w in common) and len(learnt) == len(common) + 12 * 60
+
+
+def test_words_are_found_in_a_table_that_grows():
+    import numpy as np
+    import pyarrow as pa
+
+    pytest.importorskip("tokenizers")
+    from bedside.llm import token_files as t
+
+    words, names = t.Words(), [f"{'w' * (i % 17)}{i}" for i in range(150_000)]
+    for at in range(0, len(names), 30_000):
+        words.add(names[at : at + 30_000], np.arange(at, at + 30_000, dtype=np.int32), np.ones(30_000, np.int64))
+    sought = pa.array(["none", *names[::7], "w" * 30], pa.large_string())
+    assert words.find(sought).tolist() == [-1, *range(0, len(names), 7), -1]
+    assert words.number == {w: i for i, w in enumerate(names)}
+    words.forget()  # of the words only those looked up
+    assert words.find(pa.array(names, pa.large_string())).tolist() == [i // 7 if i % 7 == 0 else -1 for i in range(len(names))]
+    words.forget()
+    assert words.have == 0 and words.number == {}
+
+
+def test_blocks_with_symbols_around_two_bytes():
+    import numpy as np
+
+    from bedside.llm import token_files as t
+
+    rng = np.random.default_rng(5)
+    for top in (65_500, 65_535, 65_536):  # pairs get wider from 65,536 symbols on
+        ids = np.tile(np.concatenate([rng.permutation(top)[:2_000], [top - 1]]).astype(np.int32), 20)
+        counts = np.array([7, 0, 30_000, len(ids) - 30_007])
+        block = t.compress(ids, counts)
+        whole, sizes = t.decode_block(block)
+        assert whole.tolist() == ids.tolist() and sizes.tolist() == counts.tolist()
+        assert len(t.Block(block).symbols) < len(ids) // 2
