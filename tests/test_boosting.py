@@ -109,3 +109,9 @@ def test_gbt_auc_trains_with_the_published_settings(spark, copied, fits):
     assert {params for params, _ in fits} == {PUBLISHED}
     assert sum(rounds >= 200 for _, rounds in fits) >= 5  # a fold is first fitted for twice the patience, then for more if it still gains
     assert set(found) == {"out_of_fold", "test"} and min(found.values()) > 0.7
+
+
+def test_gbt_importance_counts_the_trees_of_the_published_settings(spark, copied, fits):
+    found = entry.queries()["gbt_importance"](spark, copied()).collect()
+    assert {params for params, _ in fits} == {PUBLISHED} and len(found) == 12
+    assert sum(r["split_mean"] for r in found) > 30 and abs(sum(r["gain_mean"] for r in found) - 100) < 1e-6  # a tree of some 270 rows has one split
