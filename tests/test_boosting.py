@@ -115,3 +115,12 @@ def test_gbt_importance_counts_the_trees_of_the_published_settings(spark, copied
     found = entry.queries()["gbt_importance"](spark, copied()).collect()
     assert {params for params, _ in fits} == {PUBLISHED} and len(found) == 12
     assert sum(r["split_mean"] for r in found) > 30 and abs(sum(r["gain_mean"] for r in found) - 100) < 1e-6  # a tree of some 270 rows has one split
+
+
+ELIMINATED = models.GbtParams(learning_rate=0.03, max_depth=6, min_rows=20, rounds=300, seed=1)
+
+
+def test_rfe_eliminates_with_the_published_settings(spark, copied, fits):
+    found = entry.queries()["rfe"](spark, copied()).collect()
+    assert fits == [(ELIMINATED, 300)] * 72  # 12 feature counts on the paths of five folds and of all rows
+    assert sorted(r["n_features"] for r in found) == list(range(1, 13)) and sum(r["chosen"] for r in found) == 1
