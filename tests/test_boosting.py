@@ -124,3 +124,9 @@ def test_rfe_eliminates_with_the_published_settings(spark, copied, fits):
     found = entry.queries()["rfe"](spark, copied()).collect()
     assert fits == [(ELIMINATED, 300)] * 72  # 12 feature counts on the paths of five folds and of all rows
     assert sorted(r["n_features"] for r in found) == list(range(1, 13)) and sum(r["chosen"] for r in found) == 1
+
+
+def test_rfe_grid_scores_every_count_with_the_published_settings(spark, copied, fits):
+    found = entry.queries()["rfe_grid"](spark, copied()).collect()
+    assert fits == [(ELIMINATED, 300)] * 72
+    assert sorted(tuple(r) for r in found) == [(n, True, True) for n in range(1, 13)]
